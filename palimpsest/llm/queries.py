@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, jaccard_join, packing, quality, sharding, substring_dedup, toxicity, url_rules
+from palimpsest.llm import decontaminate, jaccard_join, packing, pii, quality, sharding, substring_dedup, token_counts, toxicity, url_rules
 from palimpsest.llm.common import table
 
 
+def op1_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
@@ -19,6 +23,11 @@ def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("start")
 
 
+def op4_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.edited_counts(docs, token_counts.review_edits(docs["text"]))
+
+
 def op5_label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
