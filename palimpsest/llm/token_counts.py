@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.tokens import ChunkEncoder
 from palimpsest.session import share_package
 
-LEAF, CONTEXT = 512, 2
+LEAF, CONTEXT = 256, 2
 
 
 def safe(text: str, at: int) -> bool:

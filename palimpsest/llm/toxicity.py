@@ -261,3 +261,16 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     out = T.StructType([*kinds.fields[: len(keep)], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return chosen.mapInArrow(scored, out)
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is under the threshold, with all their columns."""
+    share_package(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([of(x.as_py()) < threshold for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
