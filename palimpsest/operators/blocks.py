@@ -15,8 +15,10 @@ from palimpsest.functions import text as T
 #: Rows of a page by default and at most, patterns of a search at most.
 PAGE_ROWS, PAGE_MOST, PATTERNS_MOST = 16, 64, 8
 
-IN_DOCUMENT = Window.partitionBy("doc_id").orderBy("pos")
-SO_FAR = IN_DOCUMENT.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def so_far():
+    """A document's blocks up to this one."""
+    return Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def blocks(documents: DataFrame) -> DataFrame:
@@ -24,8 +26,9 @@ def blocks(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
 
 
-def heading_level(text: Column = F.col("text")) -> Column:
+def heading_level(text: Column | None = None) -> Column:
     """The level of a heading, null for body text. Plain text has no styles, so short lines stand for headings."""
+    text = F.col("text") if text is None else text
     n = T.n_words(text)
     return F.when((F.char_length(text) == 0) | (n > 5), F.lit(None).cast("int")).when(n <= 2, 1).otherwise(2)
 
@@ -37,7 +40,7 @@ def outline(blk: DataFrame) -> DataFrame:
         "doc_id",
         "pos",
         F.when(F.col("level").isNull(), "body").otherwise(F.concat(F.lit("heading"), F.col("level"))).alias("role"),
-        F.coalesce(F.last("level", ignorenulls=True).over(SO_FAR), F.lit(0)).cast("int").alias("depth"),
+        F.coalesce(F.last("level", ignorenulls=True).over(so_far()), F.lit(0)).cast("int").alias("depth"),
         F.left("text", F.lit(T.PREVIEW_CHARS)).alias("preview"),
         F.char_length("text").cast("long").alias("char_len"),
         F.octet_length("text").cast("long").alias("byte_len"),
@@ -108,10 +111,10 @@ def pages(blk: DataFrame, offset: int, rows: int = PAGE_ROWS) -> DataFrame:
 
 def section_of(blk: DataFrame, heading: int) -> DataFrame:
     """The heading'th heading of each document and what follows, up to a heading of its level or above."""
-    marked = blk.withColumn("level", heading_level()).withColumn("nth", F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(SO_FAR))
-    own = F.max(F.when((F.col("nth") == heading) & F.col("level").isNotNull(), F.col("level"))).over(SO_FAR)
+    marked = blk.withColumn("level", heading_level()).withColumn("nth", F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(so_far()))
+    own = F.max(F.when((F.col("nth") == heading) & F.col("level").isNotNull(), F.col("level"))).over(so_far())
     after = marked.where(F.col("nth") >= heading).withColumn("own", own)
-    ends = F.sum(F.when((F.col("nth") > heading) & (F.col("level") <= F.col("own")), 1).otherwise(0)).over(SO_FAR)
+    ends = F.sum(F.when((F.col("nth") > heading) & (F.col("level") <= F.col("own")), 1).otherwise(0)).over(so_far())
     return after.withColumn("ends", ends).where("ends = 0").select("doc_id", "pos", "text")
 
 

@@ -56,7 +56,9 @@ def aligned(base: DataFrame, target: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["doc_id", "seq", "change_type", "base_pos", "target_pos", "old_text", "new_text"]).astype({"base_pos": "Int32", "target_pos": "Int32"})
 
     schema = "doc_id long, seq int, change_type string, base_pos int, target_pos int, old_text string, new_text string"
-    return base.select("doc_id", "pos", "text").groupBy("doc_id").cogroup(target.select("doc_id", "pos", "text").groupBy("doc_id")).applyInPandas(run, schema)
+    # Own names on each side, so that a version can be compared with itself.
+    one, two = (df.select(*(F.col(c).alias(c) for c in ("doc_id", "pos", "text"))) for df in (base, target))
+    return one.groupBy("doc_id").cogroup(two.groupBy("doc_id")).applyInPandas(run, schema)
 
 
 def with_unrelated_split(changes: DataFrame) -> DataFrame:
@@ -142,7 +144,8 @@ def aligned_rows(old: DataFrame, new: DataFrame) -> DataFrame:
         rows += [(key[0], None, int(r), "inserted") for j, r in enumerate(b["row"]) if j not in used_b]
         return pd.DataFrame(rows, columns=["table_id", "old_row", "new_row", "change"]).astype({"old_row": "Int64", "new_row": "Int64"})
 
-    return old.groupBy("table_id").cogroup(new.groupBy("table_id")).applyInPandas(run, "table_id long, old_row long, new_row long, change string")
+    one, two = (df.select(*(F.col(c).alias(c) for c in ("table_id", "row", "signature"))) for df in (old, new))
+    return one.groupBy("table_id").cogroup(two.groupBy("table_id")).applyInPandas(run, "table_id long, old_row long, new_row long, change string")
 
 
 def structural(one: DataFrame, two: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

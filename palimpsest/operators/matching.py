@@ -16,7 +16,7 @@ from palimpsest.functions.kernels import content_similarity, increasing
 from palimpsest.session import share_package
 
 
-def content_hash(text: Column = F.col("text")) -> Column:
+def content_hash(text: Column) -> Column:
     """The hash by which blocks are the same."""
     return F.sha2(text.cast("binary"), 256)
 

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import occurrences  # noqa: F401  (part of this module's surface)
-
 
 def status(has_ins: Column, has_del: Column) -> Column:
     """The four states as one letter: n(ormal), i(nserted), d(eleted), s(tacked)."""
