@@ -3,9 +3,9 @@
 Documents with equal texts are linked through a hub (the text's hashes), never by
 pairs. Every document starts in a shard of its own hash. In each round a join with
 the histogram of its hub's shards tells each linked document where most of its
-neighbours are among the shards with room, and as many move as the quotas admit,
-the largest hubs first. Documents without links are ballast: they fill each shard
-up to its size, which cuts no edge. The law is ``rows``: counts differ by one at
+neighbours are among the open shards, and as many settle there as the quotas admit,
+the largest hubs first. Documents without links are ballast: they fill each shard up
+to its size, which cuts no edge. The law is ``rows``: counts differ by one at
 most, exactly, because final places come from ranks.
 
 Every table of a round has a row per (hub, shard) or a few rows in all; a hub with
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import bytes_plus_one, dropped, stored
 
 SHARDS = 8
-ROUNDS = 5
+ROUNDS = 8
+#: Hubs of fewer documents are taken or left as a whole.
+SMALL = 64
 #: Ranks are counted in so many buckets.
 BUCKETS = 1024
 
@@ -34,46 +36,71 @@ def quotas(total: int, shards: int) -> list[int]:
     return [total // shards + (s < total % shards) for s in range(shards)]
 
 
-def linked_shares(hubs: DataFrame) -> DataFrame:
-    """(hub, shard, n, most): how many of a hub's documents are in each shard."""
-    return hubs.groupBy("hub", "shard").agg(F.count("*").alias("n"))
+def admitted(asked: dict[tuple[int, int], int], room: list[float]) -> dict[tuple[int, int], float]:
+    """The share of the documents asked for by (shard, level) that fits, the highest levels first; ``room`` shrinks.
 
+    What a level could not place keeps whole shards free of lower levels, the
+    emptiest ones, so that a hub larger than a shard goes on in few shards.
+    """
+    shares = {}
+    kept: set[int] = set()
+    for level in sorted({k[1] for k in asked}, reverse=True):
+        left = 0.0
+        for shard in sorted(k[0] for k in asked if k[1] == level):
+            n = asked[shard, level]
+            taken = 0.0 if shard in kept else min(n, max(0.0, room[shard]))
+            room[shard] -= taken
+            left += n - taken
+            shares[shard, level] = taken / n
+        for shard in sorted((s for s in range(len(room)) if s not in kept and room[s] >= 1), key=lambda s: (-room[s], s)):
+            if left < 1:
+                break
+            kept.add(shard)
+            left -= room[shard]
+    return shares
 
-def propagate(linked: DataFrame, rooms: list[int], shards: int, rounds: int) -> DataFrame:
-    """Moves the documents of ``linked`` (hub, u, shard, ...) towards their neighbours' shards.
 
-    ``rooms``: how many linked documents each shard may hold. ``u`` in [0, 1) is
-    the document's own hash; it picks those that a quota admits.
+def propagate(linked: DataFrame, rooms: list[int], shards: int, rounds: int) -> DataFrame:
+    """Settles the documents of ``linked`` (doc_id, hub, shard, ...) next to their neighbours.
+
+    ``rooms``: how many linked documents each shard may hold. In each round the
+    unsettled documents of a hub ask for the open shard where most of them are; a
+    shard takes the largest hubs first, and hubs that it has no room for ask again
+    in the next round, as does the rest of a hub that is larger than a shard. What
+    a quota cuts is decided by hash: of the hub where it is small, so that it stays
+    together, else of the document.
     """
-    for _ in range(rounds):
-        shares = stored(linked_shares(linked), "hub-shares")
-        held = {r["shard"]: r["n"] for r in shares.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        open_shards = [s for s in range(shards) if held.get(s, 0) < rooms[s]]
+    room = [float(r) for r in rooms]
+    linked = linked.withColumn("settled", F.lit(False))
+    for turn in range(rounds):
+        open_shards = [s for s in range(shards) if room[s] >= 1]
         if not open_shards:
-            dropped(shares)
             break
-        # The shard with most of a hub's documents among those with room; ties go by a hash, so that hubs spread.
-        best = shares.where(F.col("shard").isin(open_shards)).groupBy("hub").agg(F.max_by(F.struct("shard", "n"), F.struct("n", F.xxhash64("hub", "shard"))).alias("to"))
-        wish = shares.join(best, "hub").where("shard <> to.shard and n <= to.n").select("hub", F.col("shard").alias("source"), F.col("to.shard").alias("target"), "n", F.col("to.n").alias("gain"))
-        wish = stored(wish, "hub-wishes")
-        level = F.floor(F.log2(F.col("gain"))).cast("int")
-        asked = wish.groupBy("target", level.alias("level")).agg(F.sum("n").alias("n")).collect()
-        admitted: list[tuple[int, int, float]] = []
-        for target in open_shards:
-            room = rooms[target] - held.get(target, 0)
-            for r in sorted((r for r in asked if r["target"] == target), key=lambda r: -r["level"]):
-                share = min(1.0, room / r["n"])
-                admitted.append((target, r["level"], share))
-                room -= min(room, r["n"])
-        if not any(a[2] > 0 for a in admitted):
-            dropped(shares, wish)
+        shares = linked.where(~F.col("settled")).groupBy("hub", "shard").agg(F.count("*").alias("n"))
+        # How many of the hub the shard could hold, then how many are there; ties go by a hash, so that hubs spread.
+        rooms_now = F.element_at(F.array(*(F.lit(int(r)) for r in room)), F.col("shard") + 1)
+        shares = shares.withColumn("total", F.sum("n").over(Window.partitionBy("hub")))
+        order = F.struct(F.least("total", rooms_now), "n", F.xxhash64("hub", "shard"))
+        best = F.max_by("shard", F.when(F.col("shard").isin(open_shards), order))
+        any_open = F.element_at(F.array(*map(F.lit, open_shards)), F.pmod(F.xxhash64("hub"), F.lit(len(open_shards))).cast("int") + 1)
+        wish = shares.groupBy("hub").agg(F.first("total").alias("total"), best.alias("best")).withColumn("target", F.coalesce("best", any_open)).withColumn("level", F.floor(F.log2("total")).cast("int"))
+        wish = stored(wish.drop("best"), "hub-wishes")
+        # A row per shard and power of two.
+        asked = {(r["target"], r["level"]): r["n"] for r in wish.groupBy("target", "level").agg(F.sum("total").alias("n")).collect()}
+        if not asked:
+            dropped(wish)
             break
-        # A row per shard and power of two: bounded by 64 times the shards.
-        allowed = F.broadcast(linked.sparkSession.createDataFrame(admitted, "target int, level int, share double"))
-        moves = wish.withColumn("level", level).join(allowed, ["target", "level"]).select("hub", F.col("source").alias("shard"), "target", "share")
-        moved = linked.join(moves, ["hub", "shard"], "left").withColumn("shard", F.when(F.col("u") < F.col("share"), F.col("target")).otherwise(F.col("shard")))
-        after = stored(moved.drop("target", "share"), "linked")
-        dropped(shares, wish, linked)
+        taken = [(*k, share) for k, share in sorted(admitted(asked, room).items())]
+        allowed = F.broadcast(linked.sparkSession.createDataFrame(taken, "target int, level int, share double"))
+        moves = stored(wish.join(allowed, ["target", "level"]).select("hub", "target", "share", "total"), "hub-moves")
+        drawn = F.when(F.col("total") < SMALL, F.xxhash64("hub", F.lit(turn))).otherwise(F.xxhash64("doc_id", "hub", F.lit(turn)))
+        luck = F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30))
+        goes = ~F.col("settled") & F.coalesce(luck < F.col("share"), F.lit(False))
+        moved = linked.join(moves, "hub", "left").withColumn("shard", F.when(goes, F.col("target")).otherwise(F.col("shard"))).withColumn("settled", F.col("settled") | goes)
+        after = stored(moved.select(linked.columns), "linked")
+        dropped(wish, moves)
+        if hasattr(linked, "stored_path"):
+            dropped(linked)
         linked = after
     return linked
 
@@ -104,24 +131,24 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     )
     # Equal hash, checksum and size stand for equal texts.
     base = base.withColumn("hub", F.xxhash64("hub", "text_crc32", "size"))
-    u = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    base = stored(base.withColumn("u", u).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")), "documents-of-shards")
+    base = stored(base.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")), "documents-of-shards")
     total = base.count()
     places = quotas(total, shards)
     hubs = stored(base.groupBy("hub").agg(F.count("*").alias("copies")).where("copies > 1").select("hub"), "hubs")
     linked = stored(base.join(hubs, "hub", "left_semi"), "linked")
     linked = propagate(linked, places, shards, rounds)
     single = base.join(hubs, "hub", "left_anti")
-    # Linked documents come first in their shard, a hub's next to each other but for the buckets of a large hub.
-    half = BUCKETS // 2
-    spread = F.when(F.col("linked"), F.pmod(F.xxhash64("hub"), F.lit(32)) * 16 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(16))).otherwise(
-        half + F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(half))
-    )
+    # Settled documents come first in their shard, then linked ones that found no room, then ballast: what a shard
+    # has too many of is taken from its end.
+    third = BUCKETS // 3
+    spread = F.when(F.col("settled"), F.lit(0)).when(F.col("linked"), F.lit(third)).otherwise(F.lit(2 * third)) + F.when(
+        F.col("linked"), F.pmod(F.xxhash64("hub"), F.lit(third // 16)) * 16 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(16))
+    ).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(third)))
     columns = ["doc_id", "size", "text_crc32", "hub", "shard"]
-    everything = linked.select(*columns, F.lit(True).alias("linked")).unionByName(single.select(*columns, F.lit(False).alias("linked")))
+    everything = linked.select(*columns, "settled", F.lit(True).alias("linked")).unionByName(single.select(*columns, F.lit(False).alias("settled"), F.lit(False).alias("linked")))
     order = ["hub", "doc_id", "size"]
     first = stored(ranked(everything, "shard", spread, order, "place"), "first-places")
-    dropped(linked, hubs)
+    dropped(hubs)
     held = {r["shard"]: r["n"] for r in first.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     over = {s: max(0, held.get(s, 0) - places[s]) for s in range(shards)}
     # The rows past a shard's size take the free places of the others, in order of shards.
