@@ -57,6 +57,11 @@ def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def small_parts(address: str) -> bool:
+    """Whether all parts are at most 255, however many zeros lead them."""
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in address.split(".")))
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """The leftmost matches: before each "@" as many local characters as there are since the last match."""
     at, end = text.find("@"), 0
@@ -77,7 +82,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         if 12 <= len(digits) <= 19 and luhn(digits):
             found.append((m.start(), 2, m.end()))
     if "." in text:
-        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if small_parts(m[0])]
     if "+" in text:
         found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
     return sorted(found)
@@ -312,6 +317,11 @@ SENTENCES = (
     "see page {other} - {other}",
     "{long} {other} {year}",
     "write @{plain} or ask {plain}",
+    "{code} {code} {code} {code} {code} {code}",
+    "part {code} fits {code} and {code}",
+    "{other} {other} {other} {other} {other} {other} {other}",
+    "{other} | {other} | {other}, {year}",
+    "{code}, {other} {code} {other}",
 )
 
 
@@ -354,6 +364,7 @@ def labelled_table(copies: int = 12, seed: int = 7) -> list[tuple[str, list[tupl
         "time": lambda: f"{rng.randint(0, 23)}:{rng.randint(10, 59)}",
         "hexword": lambda: "#" + "".join(rng.choice("0123456789abcdef") for _ in range(6)),
         "plain": word,
+        "code": lambda: rng.choice((lambda: word(rng.randint(1, 3)) + number(rng.randint(1, 3)), lambda: word(1) + number(2) + word(1) + number(2), lambda: number(2) + word(2)))(),
     }
     table = []
     for _ in range(copies):
@@ -430,6 +441,20 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], field
     return out
 
 
+def plausible(kind: int, span: str) -> bool:
+    """What must hold of a span whatever the field says: a kind's digits, parts or length."""
+    digits = digits_of(span)
+    if kind == 0:
+        return "@" in span
+    if kind == 1:
+        return IP.fullmatch(span) is not None and small_parts(span)
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == 3:
+        return 9 <= len(digits) <= 15 and not any(c.isalpha() for c in span)
+    return len(span) >= 16 and not any(c in SPACES for c in span)
+
+
 def entities(text: str, places: list[tuple[int, int]], tags: list[int]) -> list[tuple[int, int, int]]:
     found, t = [], 0
     while t < len(tags):
@@ -442,8 +467,9 @@ def entities(text: str, places: list[tuple[int, int]], tags: list[int]) -> list[
                 start += 1
             while end > start and text[end - 1] in EDGES:
                 end -= 1
-            if start < end:
-                found.append((start, KINDS.index(TAGS[tags[t]][2:]), end))
+            kind = KINDS.index(TAGS[tags[t]][2:])
+            if start < end and plausible(kind, text[start:end]):
+                found.append((start, kind, end))
             t = last
         t += 1
     return found
