@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators import audit, blocks, cascade, diffing, grid, matching, ordered, revisions, roles, transactions, validate
+from palimpsest.operators import audit, blocks, cascade, diffing, grid, matching, ordered, revisions, roles, stories, transactions, validate
 from palimpsest.operators.versions import revised
 from palimpsest.plans.block_queries import BLK, TGT
 from palimpsest.plans.registry import query
@@ -462,3 +462,81 @@ def docx_parts(t):
 @query()
 def html_blocks(t):
     return html.blocks(t.pages)
+
+
+# --- stories, opaque content, selections -------------------------------------------------------
+
+
+@query("WITH r AS (SELECT user_id AS doc_id, event_id % 5 AS story_id, event_id % 3 AS section, event_type AS kind FROM events), a AS (SELECT doc_id, story_id, string_agg(section || ':' || kind, ',' ORDER BY section, kind) AS slot FROM (SELECT DISTINCT * FROM r) GROUP BY ALL), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slot ORDER BY story_id) AS nth FROM a), b AS (SELECT doc_id, story_id, string_agg(section || ':' || kind, ',' ORDER BY section, kind) AS slot FROM (SELECT DISTINCT * FROM r WHERE story_id <> 2) GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slot ORDER BY story_id) AS nth FROM b) "
+    "SELECT doc_id, slot, n.story_id AS old, m.story_id AS new FROM n FULL JOIN m USING (doc_id, slot, nth)")
+def story_slots(t):
+    refs = t.events.select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 5).alias("story_id"), (F.col("event_id") % 3).alias("section"), F.col("event_type").alias("kind"))
+    return stories.paired_by_slot(refs, refs.where("story_id <> 2"))
+
+
+@query()
+def story_likeness(t):
+    turns = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("story_id"), "text")
+    after = turns.where("story_id <> 1").withColumn("text", F.when(F.col("story_id") == 2, F.concat(F.lit("New start. "), "text")).otherwise(F.col("text")))
+    return stories.paired_by_likeness(turns, after)
+
+
+@query("WITH b AS (SELECT vec_id, label, sha256(CAST(label AS VARCHAR)) AS h FROM embeddings) SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'deleted' WHEN vec_id % 10 = 1 THEN 'content' WHEN vec_id % 10 = 2 THEN 'size' WHEN vec_id % 10 = 3 THEN 'alt_text' END AS change FROM b WHERE vec_id % 10 <= 3")
+def opaque_changes(t):
+    k = F.col("vec_id") % 10
+    rows = t.embeddings.select("vec_id", F.sha2(F.col("label").cast("string"), 256).alias("content_hash"), F.lit(10).alias("width"), F.lit(20).alias("height"), F.lit("a").alias("alt"))
+    after = rows.where(k != 0).withColumn("content_hash", F.when(k == 1, "x").otherwise(F.col("content_hash"))).withColumn("width", F.when(k == 2, 11).otherwise(F.col("width"))).withColumn("alt", F.when(k == 3, "b").otherwise(F.col("alt")))
+    return stories.opaque_changes(rows, after, ["vec_id"])
+
+
+@query("SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 3 = 0 THEN 'p_size' END, CASE WHEN p_partkey % 4 = 0 THEN 'p_brand' END) AS changed FROM part WHERE (p_partkey % 3 = 0 OR p_partkey % 4 = 0) AND p_partkey % 5 <> 0")
+def formatting_changes(t):
+    k = F.col("p_partkey")
+    rows = t.part.select("p_partkey", "p_name", "p_size", "p_brand")
+    after = rows.withColumn("p_size", F.when(k % 3 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))).withColumn("p_brand", F.when(k % 4 == 0, F.lit(None)).otherwise(F.col("p_brand"))).withColumn("p_name", F.when(k % 5 == 0, "other").otherwise(F.col("p_name")))
+    return stories.formatting_changes(rows, after, ["p_partkey"], "p_name", ["p_size", "p_brand"])
+
+
+@query(f"WITH {BLK} SELECT doc_id, pos, concat_ws(',', CASE WHEN regexp_matches(text, '\\p{{L}}') THEN 'text' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'number' END, CASE WHEN regexp_matches(text, '[#*$%&<>]') THEN 'symbol' END, CASE WHEN contains(text, '@') THEN 'address' END, CASE WHEN contains(text, ' | ') THEN 'columns' END) AS tags FROM blk")
+def content_tags(t):
+    return stories.content_tags(blocks.blocks(t.documents))
+
+
+@query(f"WITH {SEG}, m AS (SELECT doc_id, pos, has_ins OR (NOT has_ins AND NOT has_del AND text = 'signup' AND text <> 'error') AS i, has_del OR (NOT has_ins AND NOT has_del AND text = 'error') AS d FROM seg) SELECT doc_id, pos, CASE WHEN i AND d THEN 's' WHEN i THEN 'i' WHEN d THEN 'd' ELSE 'n' END AS status FROM m")
+def converted_markup(t):
+    done = stories.converted_markup(segments(t), F.col("text") == "error", F.col("text") == "signup")
+    again = stories.converted_markup(done, F.col("text") == "error", F.col("text") == "signup")
+    return again.select("doc_id", "pos", revisions.status(F.col("has_ins"), F.col("has_del")).alias("status"))
+
+
+@query(f"WITH {CELLS} SELECT table_id, CAST(sum(len(text) - len(replace(text, 'e', ''))) AS BIGINT) AS unreached FROM cells GROUP BY table_id HAVING sum(len(text) - len(replace(text, 'e', ''))) > 0")
+def unreached_cells(t):
+    return stories.unreached_cells(cells(t), "e")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'refused' ELSE 'auditable' END AS audit FROM documents")
+def auditable_documents(t):
+    return stories.auditable(t.documents, t.labels.where("quality = 0"))
+
+
+@query("SELECT page_id AS doc_id, CAST(0 AS INTEGER) AS pos, url AS target, replace(url, 'http://', 'https://') AS new_target FROM pages WHERE starts_with(url, 'http://')")
+def link_changes(t):
+    links = t.pages.select(F.col("page_id").alias("doc_id"), F.lit(0).alias("pos"), F.col("url").alias("target"), F.lit("link").alias("text"))
+    return stories.link_changes(links, links.withColumn("target", F.replace("target", F.lit("http://"), F.lit("https://"))))
+
+
+@query(f"WITH {SEG}, {REV} SELECT doc_id, revision_id, 'selected' AS outcome FROM rev WHERE author = 'a3' AND kind = 'delete' AND pos BETWEEN 10 AND 5000")
+def selector_filter(t):
+    return stories.selected_rows(revision_rows(t), author="a3", kinds=["delete"], between=(10, 5000))
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS revision_id, 'empty_selection' AS outcome")
+def empty_selection(t):
+    return stories.selected_rows(revision_rows(t), author="nobody")
+
+
+@query()
+def pair_render(t):
+    base = blocks.blocks(t.documents)
+    return stories.render(diffing.aligned(base, revised(base)))
