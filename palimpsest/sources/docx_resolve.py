@@ -60,9 +60,9 @@ def _resolve(node: ElementTree.Element, accept: bool) -> None:
     keep, drop = (ADDED, REMOVED) if accept else (REMOVED, ADDED)
     children: list[ElementTree.Element] = []
     for child in list(node):
-        if child.tag in drop and len(child):
+        if child.tag in drop or (child.tag in keep and not len(child)):  # an empty one is a mark of its parent, which is settled
             continue
-        if child.tag in keep and len(child):
+        if child.tag in keep:
             _resolve(child, accept)
             children += list(child)
             continue
