@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, jaccard_join, packing, pii, quality, sharding, substring_dedup, token_counts, toxicity, url_rules
+from palimpsest.llm import decontaminate, jaccard_join, packing, pii, quality, sharding, sql, substring_dedup, token_counts, toxicity, url_rules
 from palimpsest.llm.common import table
 
 
@@ -62,4 +62,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries hold trained models, placements or compressed sizes, which SQL does not express; tests hold them against brute force."""
+    return {"op2_repeated_phrases": sql.REPEATED_PHRASES, "op3_simhash_decontamination": sql.DECONTAMINATION, "op7_bayesian_jaccard": sql.JACCARD}
