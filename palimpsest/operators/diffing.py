@@ -7,7 +7,10 @@ rebuilt from.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,23 +45,35 @@ def word_diff(old: Column, new: Column) -> Column:
     return run(old, new)
 
 
+ALIGNED = pa.schema([("doc_id", pa.int64()), ("seq", pa.int32()), ("change_type", pa.string()), ("base_pos", pa.int32()), ("target_pos", pa.int32()), ("old_text", pa.string()), ("new_text", pa.string())])
+
+
+def gathered(blk: DataFrame, name: str) -> DataFrame:
+    """A row per document: its blocks in order, as an array of (pos, text)."""
+    return blk.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "text"))).alias(name))
+
+
 def aligned(base: DataFrame, target: DataFrame) -> DataFrame:
-    """(doc_id, seq, change_type, base_pos, target_pos, old_text, new_text), a row per pair or single block."""
+    """(doc_id, seq, change_type, base_pos, target_pos, old_text, new_text), a row per pair or single block.
+
+    Both versions of a document meet in one row of a join, and rows stream through
+    the kernel in Arrow batches; no group is set up per document.
+    """
     share_package(base.sparkSession)
 
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("pos", ignore_index=True), b.sort_values("pos", ignore_index=True)
-        old, new = a["text"].tolist(), b["text"].tolist()
-        rows = [
-            (key[0], n, kind, None if i is None else int(a["pos"][i]), None if j is None else int(b["pos"][j]), None if i is None else old[i], None if j is None else new[j])
-            for n, (kind, i, j) in enumerate(align(old, new, block_similarity))
-        ]
-        return pd.DataFrame(rows, columns=["doc_id", "seq", "change_type", "base_pos", "target_pos", "old_text", "new_text"]).astype({"base_pos": "Int32", "target_pos": "Int32"})
-
-    schema = "doc_id long, seq int, change_type string, base_pos int, target_pos int, old_text string, new_text string"
-    # Own names on each side, so that a version can be compared with itself.
-    one, two = (df.select(*(F.col(c).alias(c) for c in ("doc_id", "pos", "text"))) for df in (base, target))
-    return one.groupBy("doc_id").cogroup(two.groupBy("doc_id")).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, old, new in zip(*(c.to_pylist() for c in batch.columns)):
+                old, new = old or [], new or []
+                for n, (kind, i, j) in enumerate(align([x["text"] for x in old], [x["text"] for x in new], block_similarity)):
+                    a, b = (None if i is None else old[i]), (None if j is None else new[j])
+                    rows.append((doc, n, kind, a and a["pos"], b and b["pos"], a and a["text"], b and b["text"]))
+            columns = list(zip(*rows)) or [()] * len(ALIGNED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ALIGNED)], schema=ALIGNED)
+
+    both = gathered(base, "old").join(gathered(target, "new"), "doc_id", "full").select(F.col("doc_id").cast("long").alias("doc_id"), "old", "new")
+    return both.mapInArrow(run, "doc_id long, seq int, change_type string, base_pos int, target_pos int, old_text string, new_text string")
 
 
 def with_unrelated_split(changes: DataFrame) -> DataFrame:

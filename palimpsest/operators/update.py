@@ -6,9 +6,10 @@ Refusals are rows with a code, never exceptions and never dropped.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,24 +121,34 @@ def apply_worklist(blk: DataFrame, items: list[Item]) -> DataFrame:
     checked(items)
     share_package(blk.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        lines, rows = pdf["text"].tolist(), []
-        for seq, item in enumerate(items):
-            n = sum(line.count(item.old) for line in lines)
-            if n == 0:
-                code = "unreachable_match"
-            elif n != item.expected:
-                code = "match_count_mismatch"
-            elif item.old == item.new:
-                code = "no_op"
-            else:
-                code = "applied"
-                lines = [line.replace(item.old, item.new) for line in lines]
-            rows.append((pdf["doc_id"].iloc[0], seq, item.id, n, code, len("\n".join(lines))))
-        return pd.DataFrame(rows, columns=["doc_id", "seq", "item", "n_found", "outcome", "n_chars"])
-
-    return blk.groupBy("doc_id").applyInPandas(run, "doc_id long, seq int, item string, n_found long, outcome string, n_chars long")
+    schema = "doc_id long, seq int, item string, n_found long, outcome string, n_chars long"
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(doc, *r) for doc, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in folded(lines, items)]
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, schema.split(", "))], [f.split()[0] for f in schema.split(", ")])
+
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    texts = blk.groupBy("doc_id").agg(F.transform(ordered, lambda b: b["text"]).alias("lines"))
+    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "lines").mapInArrow(run, schema)
+
+
+def folded(lines: list[str], items: list[Item]) -> Iterator[tuple[int, str, int, str, int]]:
+    """(seq, item, matches, outcome, characters after) of each item on one document."""
+    for seq, item in enumerate(items):
+        n = sum(line.count(item.old) for line in lines)
+        if n == 0:
+            code = "unreachable_match"
+        elif n != item.expected:
+            code = "match_count_mismatch"
+        elif item.old == item.new:
+            code = "no_op"
+        else:
+            code = "applied"
+            lines = [line.replace(item.old, item.new) for line in lines]
+        yield seq, item.id, n, code, sum(map(len, lines)) + max(0, len(lines) - 1)
 
 
 def independent(items: list[Item]) -> bool:

@@ -42,6 +42,8 @@ def test_myers_is_a_longest_common_subsequence(a, b):
     pairs = k.myers(a, b)
     assert pairs == sorted(pairs) and all(a[i] == b[j] for i, j in pairs)
     assert len(pairs) == lcs(a, b) == k.common_length(a, b)
+    other = k.common_pairs(a, b)
+    assert other == sorted(other) and len(other) == len(pairs) and all(a[i] == b[j] for i, j in other)
 
 
 @given(WORDS, WORDS)
