@@ -1,7 +1,7 @@
 """Every registered query against its SQL, on whole tables; those without SQL against laws."""
 
 import pytest
-from conftest import rows_of, rows_of_sql
+from results import rows_of, rows_of_sql
 
 from palimpsest.plans import block_queries, registry, revision_queries
 
