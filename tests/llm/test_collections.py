@@ -6,7 +6,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from conftest import edge_texts  # noqa: F401  (of this folder or the one above)
+from samples import edge_texts
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common, decontaminate, jaccard_join, packing, queries, sharding, substring_dedup, url_rules

@@ -7,7 +7,7 @@ import re
 import brute
 import numpy as np
 import pytest
-from conftest import edge_texts  # noqa: F401  (of this folder or the one above)
+from samples import edge_texts
 from hypothesis import given
 from hypothesis import strategies as st
 
