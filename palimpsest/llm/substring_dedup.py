@@ -5,7 +5,8 @@ starts in a document with a smaller doc_id goes.
 
 1. One pass over the texts winnows phrases of ``PHRASE`` words: the least phrase
    hash of every window is kept, so two documents that share a window share a
-   phrase. Documents with equal word sequences are settled here by their hashes.
+   phrase. Copies of an earlier document's word sequence are settled by their
+   hashes, and only the first of them goes on.
 2. An aggregation confirms the phrases that recur: those of two documents at least.
 3. Documents are dealt into blocks of bounded size. A block gets the recurring
    phrases that its own documents chose (never the whole dictionary), compiles them
@@ -123,12 +124,15 @@ _LOCATED = pa.schema([("phrase", pa.int64()), ("sig", pa.int64()), ("doc_id", pa
 
 
 def located(texts: pa.Table, recurring: pa.Table) -> pa.Table:
-    """Runs of windows of a block's documents by the recurring phrase that they belong to."""
+    """Runs of windows of a block's documents by the recurring phrase that they belong to; copies are settled and skipped."""
     known = set(recurring.column("phrase").to_pylist())
+    copies = {key for key in zip(recurring.column("copy").to_pylist(), recurring.column("tag").to_pylist()) if key[0] is not None}
     out: list[list] = [[] for _ in _LOCATED]
     if known:
         hashes, spans, phrases, docs = WordHashes(), Spans(), {}, []
         for doc, tag, text in zip(texts.column("doc_id").to_pylist(), texts.column("tag").to_pylist(), texts.column("text")):
+            if (doc, tag) in copies:
+                continue
             of = hashes.of((text.as_py() or "").encode().split())
             if len(of) < WINDOW:
                 continue
@@ -183,10 +187,12 @@ def removed_spans(docs: DataFrame, facts: DataFrame) -> DataFrame:
     total = facts.agg(F.sum("n_words")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
-    chosen = facts.where("n_words >= 50 and doc_id is not null").select(F.explode("phrases").alias("phrase"), block, "doc_id")
+    chosen = facts.where("not copy and doc_id is not null").select(F.explode("phrases").alias("phrase"), block, "doc_id")
     pairs = stored(chosen.groupBy("phrase", "block").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "phrase-blocks")
     recurring = pairs.groupBy("phrase").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("phrase")
-    wanted = pairs.join(recurring, "phrase").select("block", "phrase")
+    none = F.lit(None).cast("long")
+    copies = facts.where("copy").select(block, none.alias("phrase"), F.col("doc_id").alias("copy"), "tag")
+    wanted = pairs.join(recurring, "phrase").select("block", "phrase", none.alias("copy"), none.alias("tag")).unionByName(copies)
     runs = stored(
         docs.where("doc_id is not null").select(block, "doc_id", "tag", "text").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
             located, "phrase long, sig long, doc_id long, tag long, start long, length long, windows array<long>"
@@ -244,10 +250,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     tagged = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     facts = stored(measured(tagged), "phrases")
     classes = stored(facts.where("n_words >= 50 and doc_id is not null").groupBy("seq").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "word-sequences")
-    lean = facts.select("doc_id", "tag", "n_words", "seq", "all_sha256")
-    settled = stored(lean.join(classes, "seq", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))), "settled")
+    settled = stored(facts.join(classes, "seq", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).drop("first", "seq"), "settled")
+    dropped(facts, classes)
     copies = settled.where("copy").select("doc_id", "tag").distinct()
-    spans = removed_spans(tagged, facts)
+    spans = removed_spans(tagged, settled)
     partly = spans.join(copies, ["doc_id", "tag"], "left_anti")
     rest = kept_words(tagged.join(partly, ["doc_id", "tag"]).select("doc_id", "tag", "spans", "text")).dropDuplicates(["doc_id", "tag"])
     nothing = hashlib.sha256(b"").hexdigest()
