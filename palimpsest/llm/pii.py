@@ -326,7 +326,7 @@ SENTENCES = (
 
 
 @lru_cache(maxsize=1)
-def labelled_table(copies: int = 12, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(copies: int = 8, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """The small labelled table: (sentence, [(start, end, kind)]), drawn from the sentences above."""
     rng = random.Random(seed)
 
