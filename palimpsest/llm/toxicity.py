@@ -168,14 +168,21 @@ def train(terms: list[str], docs: list[tuple[dict[int, int], int]], gold: np.nda
     if not n or not len(terms) or y.min() == y.max():
         mean = float(y.mean()) if n else 0.0
         return Model({}, math.log((mean + 1e-9) / (1 - mean + 1e-9)))
-    voters = [(j, t) for j in range(len(terms)) for t in VOTE_COUNTS]
-    votes = np.column_stack([counts[:, j] >= t for j, t in voters]).astype(np.float64)
-    lift = (y @ votes + 0.5) / (y.sum() + 1) / (((1 - y) @ votes + 0.5) / ((1 - y).sum() + 1))
-    gain = np.where(lift > 3, (y @ votes) * np.log(np.maximum(lift, 1e-9)), 0)
+    # One threshold at a time, as single bytes; only the chosen voters become a matrix of numbers.
+    toxic, clean = gold.astype(bool), ~gold.astype(bool)
+    gains = []
+    for t in VOTE_COUNTS:
+        vote = counts >= t
+        hits, alarms = vote[toxic].sum(axis=0), vote[clean].sum(axis=0)
+        lift = (hits + 0.5) / (toxic.sum() + 1) / ((alarms + 0.5) / (clean.sum() + 1))
+        gains.append(np.where(lift > 3, hits * np.log(np.maximum(lift, 1e-9)), 0))
+    gain = np.column_stack(gains).ravel()  # by term, then threshold
     chosen = np.argsort(-gain, kind="stable")[:MOST_VOTERS]
-    votes = votes[:, chosen[gain[chosen] > 0]]
+    chosen = chosen[gain[chosen] > 0]
+    votes = np.column_stack([counts[:, k // len(VOTE_COUNTS)] >= VOTE_COUNTS[k % len(VOTE_COUNTS)] for k in chosen]).astype(np.float64) if len(chosen) else np.zeros((n, 0))
     post, _, _ = label_model(votes, gold)
     x = density(counts.astype(np.float64), sizes[:, None].astype(np.float64))
+    del counts, votes
     w, b = linear_classifier(x, post)
     return Model({t: float(v) for t, v in zip(terms, w) if v != 0.0}, b)
 
