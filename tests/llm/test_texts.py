@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import brute
 import numpy as np
@@ -192,11 +193,12 @@ def test_op9_held_out_accuracy():
     rows = duckdb.sql("select doc_id, text, toxic from '/root/testdata/sf0.1/documents.parquet' join '/root/testdata/sf0.1/labels.parquet' using (doc_id) order by doc_id").fetchall()
     train, test = [r for r in rows if not brute.held_out(r[0])], [r for r in rows if brute.held_out(r[0])]
     found, y = [toxicity.terms_of(r[1]) for r in train], np.array([r[2] for r in train])
-    seen = {k: sum(k in f for (f, _), t in zip(found, y) if t) for k in {k for (f, _), t in zip(found, y) if t for k in f}}
-    terms = sorted((k for k, n in seen.items() if n >= toxicity.LEAST_DOCUMENTS), key=lambda k: (-seen[k], k))
-    clean = {k: sum(k in f for (f, _), t in zip(found, y) if not t) for k in terms}
+    seen, clean = Counter(), Counter()
+    for (f, _), t in zip(found, y):
+        (seen if t else clean).update(f.keys())
     n1, n0 = y.sum(), (1 - y).sum()
-    terms = sorted((k for k in terms if seen[k] / n1 > 1.5 * (clean[k] + 0.5) / n0), key=lambda k: -(seen[k] / n1 - clean[k] / n0))[: toxicity.MOST_TERMS]
+    terms = [k for k, n in seen.items() if n >= toxicity.LEAST_DOCUMENTS and n / n1 > 1.5 * (clean[k] + 0.5) / n0]
+    terms = sorted(terms, key=lambda k: (-(seen[k] / n1 - clean[k] / n0), k))[: toxicity.MOST_TERMS]
     index = {k: i for i, k in enumerate(terms)}
     score = toxicity.train(terms, [({index[k]: c for k, c in f.items() if k in index}, n) for f, n in found], y).scorer()
     guess, truth = [score(r[1]) >= toxicity.THRESHOLD for r in test], [r[2] == 1 for r in test]
