@@ -26,8 +26,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def leaked_benchmarks_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents with a window of 0.8 and more to a benchmark item are dropped."""
-    leaked = stored(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaked-documents")
+    """Operator 3: documents with a window of 0.8 and more to a benchmark item, or so like one as a whole, are dropped."""
+    leaked = stored(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), shorter=True).select("doc_id").distinct(), "leaked-documents")
     return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
 
 

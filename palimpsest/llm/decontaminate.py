@@ -5,7 +5,8 @@ consecutive words; the weight is the number of times a shingle stands there).
 
 1. A window that shares no shingle with the benchmark has similarity 0, so windows
    are laid where a document has one of the items' shingles: item-sized, so that
-   the shingle stands where it stands in the item.
+   the shingle stands where it stands in the item, or as near to that as the
+   document's first and last words allow.
 2. Items and the distinct windows get a 64-bit SimHash.
 3. Multi-index Hamming search: fingerprints are cut into ``BLOCKS`` blocks, and
    two within ``RADIUS`` bits agree in some block up to RADIUS // BLOCKS bits. The
@@ -20,6 +21,9 @@ The items' shingles are broadcast only up to ``BROADCAST_SHINGLES``; a larger
 benchmark is joined by shuffle. Windows are reduced to distinct contents before
 they are fingerprinted, so a passage in a third of all documents is one window.
 
+A document shorter than an item has no window of its size, and the query's SQL
+finds nothing there; with ``shorter`` the whole document is its window.
+
 Defined results: null or wordless texts and items match nothing; rows with one
 doc_id are one document, rows with one item_id one item each by its text; an empty
 table on either side gives an empty table.
@@ -90,7 +94,7 @@ def item_index(items: DataFrame) -> DataFrame:
     return items.select("item", F.col("fingerprint").alias("item_print"), F.explode(F.concat(*(entries(k) for k in range(BLOCKS)))).alias("e")).select("e.block", "e.value", "item", "item_print")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shorter: bool = False) -> DataFrame:
     """doc_id, item_id, shared, united, start: a row per document and item that it holds, at its best window.
 
     ``shared`` and ``united`` are the sums of the lesser and the greater weights;
@@ -110,12 +114,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         "item-places",
     )
     hashed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.transform(words_of(docs["text"]), lambda w: F.xxhash64(w)).alias("hashes")).where("doc_id is not null")
-    found = hashed.select("doc_id", F.posexplode(five_shingles("hashes")).alias("pos", "shingle"))
+    found = hashed.select("doc_id", F.size("hashes").alias("size"), F.posexplode(five_shingles("hashes")).alias("pos", "shingle"))
     lookup = places.where(F.col("width") == SHINGLE).select("shingle", "places")
     if lookup.count() <= BROADCAST_SHINGLES:
         lookup = F.broadcast(lookup)
-    hits = found.join(lookup, "shingle").select("doc_id", "pos", F.explode("places").alias("p"))
-    starts = hits.select("doc_id", (F.col("pos") - F.col("p.at")).alias("start"), F.col("p.item_words").alias("n"), F.lit(SHINGLE).alias("width")).where("start >= 0").distinct()
+    hits = found.join(lookup, "shingle").select("doc_id", "size", "pos", F.explode("places").alias("p"))
+    if not shorter:
+        hits = hits.where("p.item_words <= size")
+    # Windows that would stand over an edge of the text are moved inside it.
+    inside = F.expr("greatest(least(pos - p.at, size - p.item_words), 0)")
+    starts = hits.select("doc_id", inside.alias("start"), F.least("p.item_words", "size").alias("n"), F.lit(SHINGLE).alias("width")).distinct()
     short = places.where(F.col("width") < SHINGLE)
     for width in sorted(r["width"] for r in short.select("width").distinct().collect()):
         few = hashed.select("doc_id", F.posexplode(shingle_hashes("hashes", str(width))).alias("pos", "shingle")).join(F.broadcast(short.where(F.col("width") == width)), "shingle")
@@ -123,8 +131,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     per_doc = stored(starts.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "width")).alias("windows")), "window-places")
     # Only documents with a hit are read again, for their windows' shingles.
     laid = hashed.join(per_doc, "doc_id").select("doc_id", "hashes", F.explode("windows").alias("w"))
-    inside = laid.where(F.expr("w.start + w.n <= size(hashes)")).select("doc_id", F.col("w.start").alias("start"), F.col("w.width").alias("width"), F.expr("slice(hashes, w.start + 1, w.n)").alias("hashes"))
-    windows = inside.withColumn("shingles", F.when(F.col("width") == SHINGLE, five_shingles("hashes")).otherwise(shingle_hashes("hashes", "width")))
+    laid = laid.where(F.expr("w.start + w.n <= size(hashes)")).select("doc_id", F.col("w.start").alias("start"), F.col("w.width").alias("width"), F.expr("slice(hashes, w.start + 1, w.n)").alias("hashes"))
+    windows = laid.withColumn("shingles", F.when(F.col("width") == SHINGLE, five_shingles("hashes")).otherwise(shingle_hashes("hashes", "width")))
     windows = windows.withColumn("content", F.xxhash64("shingles", F.size("hashes"))).select("doc_id", "start", "content", "shingles")
     windows = stored(windows, "windows")
     distinct = windows.groupBy("content").agg(F.first("shingles").alias("shingles"))

@@ -78,6 +78,21 @@ def test_op3_edges(spark, with_null_id, none):
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(with_null_id, items.where("false")).count() == 0
 
 
+def test_op3_items_cut_at_the_edges_of_a_text(spark):
+    item = [f"i{n}" for n in range(40)]
+    lead, tail = [f"a{n}" for n in range(50)], [f"b{n}" for n in range(50)]
+    cut = {1: item[1:] + tail, 2: lead + item[:-1], 3: item[3:] + tail, 4: lead + item[:-3], 5: lead + item + tail, 6: item[15:] + tail}
+    rows = [(d, " ".join(w)) for d, w in cut.items()]
+    items = [(1, " ".join(item))]
+    whole = [(7, " ".join(item[1:])), (8, " ".join(item[2:-1])), (9, " ".join(item[:20]))]
+    docs = spark.createDataFrame(rows + whole, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["shared"], r["united"]) for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert got == brute.leaks(rows + whole, items) and {d for d, _ in got} == {1, 2, 3, 4, 5}
+    shorter = {(r["doc_id"], r["item_id"]): (r["shared"], r["united"]) for r in decontaminate.leaks(docs, benchmark, shorter=True).collect()}
+    assert shorter == got | {(7, 1): (35, 36), (8, 1): (33, 36)}
+
+
 def test_blocks_guarantee_the_radius(spark):
     rng = np.random.default_rng(0)
     one = rng.integers(-(2**62), 2**62, 60)
