@@ -178,3 +178,12 @@ def test_hostile_packages_are_rows(spark):
 def test_html_is_tolerant():
     assert html.block_rows("<h1>A</h1><p>b <b>c<br><p>d<script>var x='</p>'</script>") == [("h1", "A"), ("p", "b c"), ("p", "d")]
     assert html.block_rows(None) == []
+
+
+def test_data_uri_holds_all_bytes(spark):
+    import base64
+
+    texts = ["", "short", "x" * 48, "y" * 49, "é😀\n" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(values(blocks.identity(df), "doc_id", "data_uri"))
+    assert got == {n: "data:text/plain;base64," + base64.b64encode(t.encode()).decode() for n, t in enumerate(texts)}
