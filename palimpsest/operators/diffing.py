@@ -1,8 +1,9 @@
-"""Comparison of versions (D1-D30): aligned blocks, word changes, table cells, structural differences.
+"""Comparison of versions (D1-D12, D14-D17, D21, D26-D28, D30): aligned blocks, word changes, table cells, structural differences.
 
 Blocks with equal content are anchored by joins; alignment and word differences run
 in kernels by document or by row. Word changes are the data that both versions are
-rebuilt from.
+rebuilt from. Of D16 only the joining of runs is built, of tables only cells by
+address; the README lists what is left out.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Revision semantics over tracked segments.
+"""Revision semantics over tracked segments.
 
 A segment has ``has_ins`` and ``has_del``; both together are the stacked state,
 inserted and then deleted. Accepting and rejecting are one projection each, and a
