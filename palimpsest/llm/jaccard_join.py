@@ -68,6 +68,11 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key
 
 
+def compared_bytes(least: np.ndarray) -> bytes:
+    """A byte of each MinHash value, mixed: the top byte of a minimum itself is nearly always 0 in a long text."""
+    return (mixed(least) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """(values compared, least matches to go on). With a uniform prior and m of n matches, the similarity
     s has a Beta(m + 1, n - m + 1) posterior, and P(s >= t) = P(Binomial(n + 1, t) <= m)."""
@@ -183,7 +188,7 @@ def signed_texts(docs: DataFrame) -> DataFrame:
                 words = (text.as_py() or "").encode().split()
                 least = signature(shingles(hashes.of(words), spans))
                 bands = band_keys(least).view(np.int64) if words else None
-                rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), bands, (least >> np.uint64(56)).astype(np.uint8).tobytes()))
+                rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), bands, compared_bytes(least)))
             seq, bands, sig = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(seq, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "seq", "bands", "sig"]

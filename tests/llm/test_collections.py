@@ -246,6 +246,17 @@ def test_pruning_is_a_posterior():
         assert exact == pytest.approx(sum(comb(n + 1, k) * t**k * (1 - t) ** (n + 1 - k) for k in range(count + 1)), abs=0.02)
 
 
+@pytest.mark.parametrize("n", [100, 400, 2000])
+def test_pruning_drops_unrelated_texts_of_any_length(n):
+    rng, limits = np.random.default_rng(3), jaccard_join.least_matches()
+    sigs = [np.frombuffer(jaccard_join.compared_bytes(jaccard_join.signature(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)))), dtype=np.uint8) for _ in range(20)]
+    assert all(len(jaccard_join.survivors(sigs[k], np.stack(sigs[k + 1 :]), limits)) == 0 for k in range(19))
+    base = rng.integers(0, 2**64, n, dtype=np.uint64)
+    near = np.concatenate([base[: n - n // 20], rng.integers(0, 2**64, n // 20, dtype=np.uint64)])
+    one, two = (np.frombuffer(jaccard_join.compared_bytes(jaccard_join.signature(np.unique(x))), dtype=np.uint8) for x in (base, near))
+    assert len(jaccard_join.survivors(one, two[None, :], limits)) == 1
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     rows = common.components(links, "path").collect()
