@@ -11,8 +11,9 @@ starts in a document with a smaller doc_id goes.
 3. Documents are dealt into blocks of bounded size. A block gets the recurring
    phrases that its own documents chose (never the whole dictionary), compiles them
    to an Aho-Corasick automaton over word codes, and streams its documents through
-   it, which locates every occurrence. So each document is streamed once, and no
-   shard is set against all documents.
+   it, which locates every occurrence; a match counts if the phrase's own hash is one
+   of the block's, so words of one code do no harm. So each document is streamed
+   once, and no shard is set against all documents.
 4. A window belongs to the least phrase located in it. For a window that recurs
    this is its winnowed phrase in every document, so equal windows meet under
    equal phrases. Runs of windows of one phrase are compared by the hash of their
@@ -43,8 +44,9 @@ from palimpsest.llm.words import Spans, WordHashes, sliding_min
 from palimpsest.session import share_package
 
 WINDOW, PHRASE = 50, 8
-#: Words of a block, about; and words of a document that are handled at once.
-BLOCK_WORDS, SLAB = 1_500_000, 1 << 20
+#: Words of a block, about: few, so that the blocks of a task come to about as much as those of any other; and words
+#: of a document that are handled at once.
+BLOCK_WORDS, SLAB = 250_000, 1 << 20
 _INDEX_BITS = 21
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -104,13 +106,13 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tag long, n_words long, seq string, all_sha256 string, phrases array<long>")
 
 
-def automaton_of(phrases: dict[str, int]) -> ahocorasick.Automaton | None:
-    """An automaton over word codes; its values are the phrases' hashes."""
+def automaton_of(phrases: set[str]) -> ahocorasick.Automaton | None:
+    """An automaton over the word codes of phrases. Unequal phrases may have equal codes, so it holds no hashes."""
     if not phrases:
         return None
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-    for codes, value in phrases.items():
-        machine.add_word(codes, value)
+    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for codes in phrases:
+        machine.add_word(codes)
     machine.make_automaton()
     return machine
 
@@ -125,11 +127,12 @@ _LOCATED = pa.schema([("phrase", pa.int64()), ("sig", pa.int64()), ("doc_id", pa
 
 def located(texts: pa.Table, recurring: pa.Table) -> pa.Table:
     """Runs of windows of a block's documents by the recurring phrase that they belong to; copies are settled and skipped."""
-    known = set(recurring.column("phrase").to_pylist())
+    known = set(recurring.column("phrase").drop_null().to_pylist())
     copies = {key for key in zip(recurring.column("copy").to_pylist(), recurring.column("tag").to_pylist()) if key[0] is not None}
     out: list[list] = [[] for _ in _LOCATED]
     if known:
-        hashes, spans, phrases, docs = WordHashes(), Spans(), {}, []
+        hashes, spans, phrases, docs = WordHashes(), Spans(), set(), []
+        hashes_of_known = np.sort(np.fromiter(known, dtype=np.int64, count=len(known)).view(np.uint64))
         for doc, tag, text in zip(texts.column("doc_id").to_pylist(), texts.column("tag").to_pylist(), texts.column("text")):
             if (doc, tag) in copies:
                 continue
@@ -140,28 +143,31 @@ def located(texts: pa.Table, recurring: pa.Table) -> pa.Table:
             chosen = False
             for a, b in slabs(len(of)):
                 all_phrases = spans.windows(of[a:b], PHRASE)
-                for at in np.unique(owners(ordered(all_phrases))).tolist():
-                    value = int(all_phrases[at])
-                    if (value - (1 << 64) if value >> 63 else value) in known:
-                        phrases[codes[a + at : a + at + PHRASE]] = value
-                        chosen = True
+                places = np.unique(owners(ordered(all_phrases)))
+                for at in places[among(all_phrases[places], hashes_of_known)].tolist():
+                    phrases.add(codes[a + at : a + at + PHRASE])
+                    chosen = True
             if chosen:
                 docs.append((doc, tag, of, codes))
         machine = automaton_of(phrases)
         for doc, tag, of, codes in docs:
             for a, b in slabs(len(of)):
-                _runs_of(out, machine, spans, doc, tag, a, of[a:b], codes[a:b])
+                _runs_of(out, machine, hashes_of_known, spans, doc, tag, a, of[a:b], codes[a:b])
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _LOCATED)], schema=_LOCATED)
 
 
-def _runs_of(out: list[list], machine, spans: Spans, doc: int, tag: int, base: int, of: np.ndarray, codes: str) -> None:
-    values = np.full(len(of) - PHRASE + 1, _NONE, dtype=np.uint64)
-    low = np.uint64((1 << _INDEX_BITS) - 1)
-    for end, value in machine.iter(codes):
-        at = end - PHRASE + 1
-        values[at] = (np.uint64(value) & ~low) | np.uint64(at)
-    owner = owners(values)
+def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``some``, a sorted array that is not empty."""
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def _runs_of(out: list[list], machine, known: np.ndarray, spans: Spans, doc: int, tag: int, base: int, of: np.ndarray, codes: str) -> None:
     phrases = spans.windows(of, PHRASE)
+    places = np.fromiter((end - PHRASE + 1 for end, _ in machine.iter(codes)), dtype=np.int64)
+    places = places[among(phrases[places], known)]
+    values = np.full(len(phrases), _NONE, dtype=np.uint64)
+    values[places] = ordered(phrases)[places]
+    owner = owners(values)
     edges = np.flatnonzero(np.diff(owner)) + 1
     starts = np.concatenate([[0], edges])
     ends = np.concatenate([edges, [len(owner)]])
@@ -201,8 +207,9 @@ def removed_spans(docs: DataFrame, facts: DataFrame) -> DataFrame:
     )
     dropped(pairs)
     kinds = stored(runs.groupBy("phrase", "sig").agg(F.min("doc_id").alias("first")), "run-kinds")
-    several = kinds.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase")
-    several = stored(kinds.join(several, "phrase"), "phrases-of-several-kinds")
+    # Kept as tables, so that the join may deal out a phrase of very many kinds to several tasks.
+    several = stored(kinds.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase"), "phrases-of-several-kinds")
+    several = stored(kinds.join(several, "phrase"), "several-kinds")
     # Runs that an earlier document has as a whole.
     span = F.struct(F.col("start"), (F.col("start") + F.col("length") + WINDOW - 1).alias("end"))
     whole = runs.select("phrase", "sig", "doc_id", "tag", span.alias("span")).join(kinds, ["phrase", "sig"]).where("first < doc_id").select("doc_id", "tag", "span")

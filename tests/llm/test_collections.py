@@ -46,9 +46,26 @@ def test_automaton_finds_every_occurrence():
     words, hashes, spans = [b"%d" % (n % 13) for n in range(400)], WordHashes(), Spans()
     of = hashes.of(words)
     codes, phrases = substring_dedup.word_codes(of), spans.windows(of, substring_dedup.PHRASE)
-    machine = substring_dedup.automaton_of({codes[k : k + 8]: int(phrases[k]) for k in (0, 5)})
+    machine = substring_dedup.automaton_of({codes[k : k + 8] for k in (0, 5)})
     found = [end - 7 for end, _ in machine.iter(codes)]
     assert found == [k for k in range(393) if words[k : k + 8] in (words[0:8], words[5:13])]
+    known = np.sort(phrases[[0, 5]])
+    assert np.flatnonzero(substring_dedup.among(phrases, known)).tolist() == found
+
+
+def test_op2_words_of_equal_codes_do_no_harm(spark, monkeypatch):
+    """Four codes for all words, and many blocks: unequal phrases share their codes everywhere."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 2_000)
+    monkeypatch.setattr(substring_dedup, "word_codes", lambda hashes: "".join("abcd"[int(h) % 4] for h in hashes))
+    rng = np.random.default_rng(5)
+    passages = [[f"w{n}" for n in rng.integers(0, 400, 90)] for _ in range(12)]
+    rows = []
+    for d in range(150):
+        own = [f"w{n}" for n in rng.integers(0, 400, 60)]
+        a, b = passages[d % 12], passages[(d * 5 + 1) % 12]
+        rows.append((d, " ".join(own[:30] + a[: 50 + d % 40] + own[30:] + b[d % 30 :])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digests(substring_dedup.deduplicated(docs).collect()) == want_kept(rows)
 
 
 def test_span_hashes_and_minima():
