@@ -14,8 +14,9 @@ is one shingle). Texts of equal word sequences are one text, kept once.
    on each text's number of links and a forest of the verified links.
 4. Forests of verified links join to classes.
 
-A bucket or a group of any size is split into cells of two parts of at most
-``BUCKET_CELL`` or ``GROUP_CELL`` texts, so no task holds it whole; no cap is set.
+A bucket or a group of any size is split into cells of two parts of about
+``BUCKET_CELL`` or ``GROUP_CELL`` texts, and of ``CELL_BYTES`` of shingles, so no
+task holds it whole, however long its texts are; no cap is set.
 
 Defined results: a null text has no words; texts without words are equal texts; a
 null doc_id gets the class of its equal texts, or null; rows with one doc_id are
@@ -40,9 +41,9 @@ from palimpsest.session import share_package
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS = 128, 4
 STEP, TOLERANCE = 16, 1e-6
-BUCKET_CELL, GROUP_CELL = 1024, 256
+BUCKET_CELL, GROUP_CELL, CELL_BYTES = 1024, 256, 8 << 20
 
-_SEEDS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_SEEDS = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def shingles(of: np.ndarray, spans: Spans, width: int = SHINGLE) -> np.ndarray:
@@ -53,11 +54,11 @@ def shingles(of: np.ndarray, spans: Spans, width: int = SHINGLE) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """MinHash values: for each seed the least of shingle times seed."""
-    least = np.full(HASHES, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    """MinHash values: for each seed the least of shingle times seed, in 32 bits."""
+    least, short = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32), (found >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(found), 1024):
-        np.minimum(least, (found[at : at + 1024, None] * _SEEDS).min(axis=0), out=least)
-    return least
+        np.minimum(least, (short[at : at + 1024, None] * _SEEDS).min(axis=0), out=least)
+    return least.astype(np.uint64)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
@@ -115,13 +116,16 @@ class Forest:
             self.parent[max(a, b)] = min(a, b)
 
 
-def in_cells(rows: DataFrame, group: str, members: Column, cell: int) -> DataFrame:
+def parts_of(size: Column, most: int) -> Column:
+    return F.greatest(F.ceil(size / F.lit(float(most))), F.lit(1)).cast("long")
+
+
+def in_cells(rows: DataFrame, group: str, parts: Column) -> DataFrame:
     """``rows`` with ``cell`` and ``side``: one copy for each cell of a pair of parts.
 
-    A group of n rows has ceil(n / cell) parts; row r of part i goes to the cells
+    A group is dealt into ``parts`` by hash; row r of part i goes to the cells
     (min(i, j), max(i, j)) of all parts j. Side 0 is the cell's first part.
     """
-    parts = F.greatest(F.ceil(members / F.lit(float(cell))), F.lit(1)).cast("long")
     split = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key", F.lit(11)), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
     spread = split.select("*", other)
@@ -203,7 +207,7 @@ def candidate_groups(texts: DataFrame) -> DataFrame:
     rows = texts.select("key", F.explode("bands").alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = stored(rows.join(counts, "bucket"), "bucket-members")
-    cells = in_cells(members.join(texts.select("key", "sig"), "key"), "bucket", F.col("members"), BUCKET_CELL)
+    cells = in_cells(members.join(texts.select("key", "sig"), "key"), "bucket", parts_of(F.col("members"), BUCKET_CELL))
 
     def forest(keys: list[int], sides: list[int], sigs: list[bytes]) -> tuple[list, list]:
         values = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(sigs), HASHES)
@@ -225,9 +229,10 @@ def candidate_groups(texts: DataFrame) -> DataFrame:
 def verified(texts: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """(key, links, root): in each cell a text's number of verified links, and the least row that it is linked with."""
     limits = least_matches(threshold)
-    sized = groups.groupBy("class_id").agg(F.count("*").alias("members"))
-    rows = texts.join(groups.join(sized, "class_id").select(F.col("id").alias("key"), "class_id", "members"), "key")
-    cells = in_cells(rows, "class_id", F.col("members"), GROUP_CELL)
+    owned = groups.join(texts.select(F.col("key").alias("id"), F.octet_length("shingles").cast("long").alias("bytes")), "id")
+    sized = owned.groupBy("class_id").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"))
+    rows = texts.join(groups.join(sized, "class_id").select(F.col("id").alias("key"), "class_id", "members", "bytes"), "key")
+    cells = in_cells(rows, "class_id", F.greatest(parts_of(F.col("members"), GROUP_CELL), parts_of(F.col("bytes"), CELL_BYTES)))
 
     def exact(keys: list[int], sides: list[int], sigs: list[bytes], sets: list[bytes]) -> tuple[list, list, list]:
         values = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(sigs), HASHES)

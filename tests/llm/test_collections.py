@@ -110,6 +110,39 @@ def test_op3_items_cut_at_the_edges_of_a_text(spark):
     assert shorter == got | {(7, 1): (35, 36), (8, 1): (33, 36)}
 
 
+def test_op3_reordered_and_cut_passages(spark):
+    """Against all windows: halves and quarters that changed places, words changed, cuts at both edges, and items that share phrases."""
+    rng = np.random.default_rng(11)
+    phrase = ["choose", "the", "right", "answer", "from", "this", "list"]
+    items = [(k, phrase + [f"i{n}" for n in rng.integers(0, 150, int(rng.integers(30, 70)))]) for k in range(12)]
+    docs = []
+    for d in range(240):
+        words = list(items[d % 12][1])
+        for _ in range(int(rng.integers(0, 4))):
+            words[int(rng.integers(0, len(words)))] = f"x{d}"
+        if d % 4 == 1:
+            cut = int(rng.integers(1, len(words)))
+            words = words[cut:] + words[:cut]
+        elif d % 4 == 2:
+            words = words[int(rng.integers(0, 6)) : len(words) - int(rng.integers(0, 6))]
+        lead, tail = ([f"{s}{d}.{n}" for n in range(int(rng.integers(0, 3)) * 20)] for s in "lt")
+        docs.append((d, " ".join(lead + words + tail)))
+    benchmark = [(k, " ".join(w)) for k, w in items]
+    want = brute.leaks(docs, benchmark)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(benchmark, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["shared"], r["united"]) for r in decontaminate.leaks(*frames).collect()}
+    assert {k: v for k, v in got.items() if k not in want} == {} and all(got[k] == want[k] for k in got)
+    assert len(got) >= 0.99 * len(want) and len(want) > 60
+    assert {d % 4 for d, _ in want} == {0, 1, 2, 3}
+
+
+def test_op3_takes_a_large_benchmark_in_passes(spark, data, texts, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 300)
+    items = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
+    got = {(r["doc_id"], r["item_id"]): (r["shared"], r["united"]) for r in queries.op3_simhash_decontamination(spark, data).collect()}
+    assert got == brute.leaks(texts, items) and got
+
+
 def test_blocks_guarantee_the_radius(spark):
     rng = np.random.default_rng(0)
     one = rng.integers(-(2**62), 2**62, 60)
@@ -231,10 +264,11 @@ def near_copies(spark, n=60):
     return rows, spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("cell", [8, 1024])
-def test_op7_cells_lose_no_link(spark, monkeypatch, cell):
+@pytest.mark.parametrize("cell, size", [(8, 8 << 20), (1024, 8 << 20), (1024, 4000)])
+def test_op7_cells_lose_no_link(spark, monkeypatch, cell, size):
     monkeypatch.setattr(jaccard_join, "BUCKET_CELL", cell)
     monkeypatch.setattr(jaccard_join, "GROUP_CELL", cell)
+    monkeypatch.setattr(jaccard_join, "CELL_BYTES", size)
     rows, df = near_copies(spark)
     got = {r["doc_id"]: (r["class_id"], r["text_id"], r["links"]) for r in jaccard_join.jaccard_classes(df).collect()}
     assert got == brute.jaccard_classes(rows) and max(v[2] for v in got.values()) > 10
@@ -263,7 +297,7 @@ def test_pruning_is_a_posterior():
         assert exact == pytest.approx(sum(comb(n + 1, k) * t**k * (1 - t) ** (n + 1 - k) for k in range(count + 1)), abs=0.02)
 
 
-@pytest.mark.parametrize("n", [100, 400, 2000])
+@pytest.mark.parametrize("n", [100, 300, 1000, 3000, 20_000])
 def test_pruning_drops_unrelated_texts_of_any_length(n):
     rng, limits = np.random.default_rng(3), jaccard_join.least_matches()
     sigs = [np.frombuffer(jaccard_join.compared_bytes(jaccard_join.signature(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)))), dtype=np.uint8) for _ in range(20)]
