@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import share_package
 
-#: Used only where the cluster names no spark.checkpoint.dir, as in tests.
+#: Used only by local sessions that name no spark.checkpoint.dir, as in tests.
 _OWN: dict[str, str] = {}
+#: Links from which an id is a hub: its links are joined with a broadcast label.
+HUB_LINKS = 100_000
 
 #: The separators of words: space, and the code points 9 to 13.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share. A cluster must name it; a local session gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         named = _OWN.setdefault(app, tempfile.mkdtemp(prefix="palimpsest-"))
         spark.sparkContext.setCheckpointDir(named)
@@ -36,9 +40,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = share_package(df.sparkSession)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, target = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    del jvm
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_path = path
     return back
@@ -63,17 +66,30 @@ def bytes_plus_one(text: str = "text") -> Column:
 def components(links: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """(id, class_id): the least id that each id reaches over ``links`` (a, b).
 
-    Rounds of minimum labels with pointer jumping over the linked ids alone. Each
-    round aggregates before it joins, so a hub costs a row a neighbour and no
-    group is ever gathered in one task.
+    Rounds of minimum labels with pointer jumping over the linked ids alone. Links
+    of a hub (``HUB_LINKS`` and more) would meet in one task to get its label; the
+    hubs' labels, of which there are fewer than a ``HUB_LINKS``th of the links, are
+    broadcast instead.
     """
-    edges = stored(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        f"{name}-edges",
-    )
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    edges = stored(both, f"{name}-edges")
+    hubs = stored(edges.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") >= HUB_LINKS).select(F.col("b").alias("id"), F.lit(True).alias("hub")), f"{name}-hubs")
+    some = hubs.count() > 0
+    if some:
+        marked = stored(edges.join(F.broadcast(hubs.withColumnRenamed("id", "b")), "b", "left"), f"{name}-edges")
+        dropped(edges)
+        edges = marked
     label = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id"), f"{name}-label")
+
+    def of_neighbours(label: DataFrame) -> DataFrame:
+        if not some:
+            return edges.join(label, edges.b == label.id).select("a", "label")
+        near = edges.where("hub is null").join(label, F.col("b") == label.id).select("a", "label")
+        of_hubs = label.join(F.broadcast(hubs.select("id")), "id", "left_semi")
+        return near.unionByName(edges.where("hub").join(F.broadcast(of_hubs), F.col("b") == of_hubs.id).select("a", "label"))
+
     for _ in range(most_rounds):
-        near = edges.join(label, edges.b == label.id).groupBy("a").agg(F.min("label").alias("near"))
+        near = of_neighbours(label).groupBy("a").agg(F.min("label").alias("near"))
         step = label.join(near, label.id == near.a, "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("low"))
         jump = label.select(F.col("id").alias("low"), F.col("label").alias("beyond"))
         after = stored(
@@ -87,5 +103,5 @@ def components(links: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components: no fixed point after {most_rounds} rounds")
-    dropped(edges)
+    dropped(edges, hubs)
     return label.select("id", F.col("label").alias("class_id"))

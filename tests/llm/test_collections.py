@@ -314,6 +314,14 @@ def test_components_of_a_long_path(spark):
     assert len(rows) == 301 and {r["class_id"] for r in rows} == {0}
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB_LINKS", 20)
+    star = spark.range(1, 200).select(F.lit(5000).cast("long").alias("a"), (F.col("id") * 3).alias("b"))
+    rest = spark.createDataFrame([(3, 1), (700, 701), (702, 701), (9000, 9000)], "a long, b long")
+    got = {r["id"]: r["class_id"] for r in common.components(star.unionByName(rest), "star").collect()}
+    assert got == {**{3 * n: 1 for n in range(1, 200)}, 5000: 1, 1: 1, 700: 700, 701: 700, 702: 700}
+
+
 # --- op10 --------------------------------------------------------------------------------
 
 
