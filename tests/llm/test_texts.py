@@ -23,7 +23,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -95,6 +94,18 @@ def test_chunked_ids_are_the_tokenizers(texts):
     assert ["".join(safe_pieces(t)) for t in texts] == texts
 
 
+def test_added_tokens_are_the_tokenizers():
+    mark = "<|endoftext|>"
+    texts = [mark, f"x{mark}a b", f"x {mark} a", f" {mark}{mark} \n ", f"<|endoftext|{mark}>", f"one two{mark}three four  {mark}", "<|endoftext", f"a b {mark}."]
+    assert [np.frombuffer(ENCODER.ids(t), dtype="<u4").tolist() for t in texts] == reference_ids(texts)
+    assert 50256 not in np.frombuffer(ChunkEncoder(added=False).ids(texts[1]), dtype="<u4")
+
+
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "a", "bc", "<|endoftext|>", "<|", "|>", "1"]), max_size=12))
+def test_ids_around_added_tokens(parts):
+    assert np.frombuffer(ENCODER.ids("".join(parts)), dtype="<u4").tolist() == reference_ids(["".join(parts)])[0]
+
+
 def test_ids_of_documents(texts):
     some = [t for _, t in texts]
     assert [np.frombuffer(ENCODER.ids(t), dtype="<u4").tolist() for t in some] == reference_ids(some)
@@ -103,11 +114,11 @@ def test_ids_of_documents(texts):
 def test_counts_follow_random_edits():
     rng = random.Random(3)
     for _ in range(250):
-        text = "".join(rng.choice("  \n\tab.é1\xa0") for _ in range(rng.randint(0, 90)))
+        text = "".join(rng.choice([*"  \n\tab.é1\xa0", "<|endoftext|>", "<|endof"]) for _ in range(rng.randint(0, 90)))
         counted = token_counts.CountedText(text, ENCODER, size=rng.choice((4, 8, 16)))
         for _ in range(5):
             a = rng.randint(0, len(text) + 2)
-            b, new = a + rng.randint(0, 9), "".join(rng.choice(" \nab1.") for _ in range(rng.randint(0, 6)))
+            b, new = a + rng.randint(0, 9), "".join(rng.choice([*" \nab1.", "text|>"]) for _ in range(rng.randint(0, 6)))
             counted.edit(a, b, new)
             text = text[:a] + new + text[b:]
             assert token_counts.text_of(counted.root) == text and counted.tokens == ENCODER.count(text)
