@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, jaccard_join, packing, pii, quality, sharding, sql, substring_dedup, token_counts, toxicity, url_rules
-from palimpsest.llm.common import table
+from palimpsest.llm.common import stored, table
 
 
 def op1_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return token_counts.edited_counts(docs, token_counts.review_edits(docs["text"]))
+    trees = stored(token_counts.counted(table(spark, sf_dir, "documents")), "token-trees")
+    return token_counts.edited_counts(trees, token_counts.review_edits(F.col("text")))
 
 
 def op5_label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,26 +1,32 @@
-"""Token counts under edits: a segment tree of pre-token runs per document.
+"""Token counts under edits: a segment tree of pre-token runs per document, kept as a table.
 
-A document's leaves are runs of about ``LEAF`` characters, cut at spaces where a
-pre-token must begin; each node has its characters and its tokens. An edit replaces
-[start, end) by a text: the leaves that it touches, and the neighbour that its
-context reaches, are joined, edited, cut anew and encoded again, and the sums on
-their paths to the root change. All other leaves keep their counts.
+:func:`counted` encodes each document once and keeps its tree: the leaves are runs
+of about ``LEAF`` characters, cut at spaces where a pre-token must begin, and the
+running sums of their characters and tokens give the sums of every subtree.
+
+:func:`edited` takes kept trees and edits. An edit replaces [start, end) by a text:
+the leaves that it touches, and the neighbour that its context reaches, are joined,
+edited, cut anew and encoded again, and the sums on their paths to the root change.
+All other leaves keep their counts; subtrees that no edit enters are never unfolded.
+Its result is a table of kept trees again, so edits may follow edits.
 
 A cut is safe if both neighbours of the space are no white space: then a pre-token
-ends before it whatever else the text holds. An edit that ends next to a cut may
-change a neighbour, so a leaf whose border is within ``CONTEXT`` characters of the
-edit belongs to the region.
+ends before it whatever else the text holds (added tokens hold no space). An edit
+that ends next to a cut may change a neighbour, so a leaf whose border is within
+``CONTEXT`` characters of the edit belongs to the region.
 
 Defined results: a null text is empty (no token, one empty leaf); edits are applied
-in order, offsets being those of the text as it is then, clipped to it; repeated
-rows give repeated results; an empty table gives an empty table. Texts of any
-length are read whole; the tree has one leaf per ``LEAF`` characters.
+in order, offsets being those of the text as it is then, clipped to it; a null list
+of edits is empty; repeated rows give repeated results; an empty table gives an
+empty table. Texts of any length are read whole; the tree has one leaf per ``LEAF``
+characters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +36,9 @@ from palimpsest.session import share_package
 
 LEAF, CONTEXT = 256, 2
 
+KEPT = "doc_id long, text string, chars_before array<long>, tokens_before array<long>"
+COUNTS = "doc_id long, n_tokens long, n_tokens_edited long, n_chars long, n_chars_edited long, n_chars_encoded long"
+
 
 def safe(text: str, at: int) -> bool:
     return 0 < at < len(text) - 1 and text[at] == " " and not text[at - 1].isspace() and not text[at + 1].isspace()
@@ -49,17 +58,58 @@ def leaves_of(text: str, size: int = LEAF) -> list[str]:
     return [*out, text[start:]]
 
 
+class Kept:
+    """A document's kept tree: the text and, for each leaf and the end, the characters and tokens before it."""
+
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray):
+        self.text, self.chars, self.tokens = text, chars, tokens
+
+    @classmethod
+    def of(cls, text: str, encoder: ChunkEncoder, size: int = LEAF) -> Kept:
+        leaves = leaves_of(text, size)
+        return cls(text, running(map(len, leaves)), running(map(encoder.count, leaves)))
+
+
+def running(values) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.fromiter(values, dtype=np.int64))])
+
+
 class Tree:
-    """Sums of characters and tokens over the leaves, as a treap in leaf order: O(log n) for finding and replacing."""
+    """Sums of characters and tokens over leaves, as a treap in leaf order: O(log n) for finding and replacing.
 
-    __slots__ = ("text", "tokens", "left", "right", "weight", "chars", "total", "leaves")
+    A node holds one leaf and its subtrees, or stands for leaves ``low`` to ``high``
+    of a kept tree until someone looks inside.
+    """
+
+    __slots__ = ("text", "tokens", "left", "right", "weight", "chars", "total", "leaves", "kept", "low", "high")
 
     def __init__(self, text: str, tokens: int, weight: int):
         self.text, self.tokens, self.weight = text, tokens, weight
-        self.left = self.right = None
+        self.left = self.right = self.kept = None
         self.update()
 
-    def update(self) -> "Tree":
+    @classmethod
+    def folded(cls, kept: Kept, low: int, high: int, weight: int) -> Tree | None:
+        if low == high:
+            return None
+        node = cls.__new__(cls)
+        node.kept, node.low, node.high, node.weight = kept, low, high, weight
+        node.left = node.right = None
+        node.chars, node.total, node.leaves = int(kept.chars[high] - kept.chars[low]), int(kept.tokens[high] - kept.tokens[low]), high - low
+        return node
+
+    def unfolded(self) -> Tree:
+        """This node with its own leaf, the middle one, and folded halves."""
+        if self.kept is not None:
+            kept, low, high, middle = self.kept, self.low, self.high, (self.low + self.high) // 2
+            self.kept = None
+            self.text = kept.text[kept.chars[middle] : kept.chars[middle + 1]]
+            self.tokens = int(kept.tokens[middle + 1] - kept.tokens[middle])
+            self.left = Tree.folded(kept, low, middle, self.weight >> 1)
+            self.right = Tree.folded(kept, middle + 1, high, self.weight >> 1)
+        return self
+
+    def update(self) -> Tree:
         chars, total, leaves = len(self.text), self.tokens, 1
         for side in (self.left, self.right):
             if side is not None:
@@ -72,17 +122,22 @@ def merge(a: Tree | None, b: Tree | None) -> Tree | None:
     if a is None or b is None:
         return a or b
     if a.weight >= b.weight:
+        a.unfolded()
         a.right = merge(a.right, b)
         return a.update()
+    b.unfolded()
     b.left = merge(a, b.left)
     return b.update()
 
 
 def split(node: Tree | None, leaves: int) -> tuple[Tree | None, Tree | None]:
     """The first ``leaves`` leaves, and the others."""
-    if node is None:
-        return None, None
-    before = node.left.leaves if node.left else 0
+    if node is None or leaves <= 0:
+        return None, node
+    if leaves >= node.leaves:
+        return node, None
+    left = node.unfolded().left
+    before = left.leaves if left is not None else 0
     if leaves <= before:
         first, node.left = split(node.left, leaves)
         return first, node.update()
@@ -93,9 +148,9 @@ def split(node: Tree | None, leaves: int) -> tuple[Tree | None, Tree | None]:
 class CountedText:
     """A text whose token count follows its edits."""
 
-    def __init__(self, text: str, encoder: ChunkEncoder, size: int = LEAF):
+    def __init__(self, kept: Kept, encoder: ChunkEncoder, size: int = LEAF):
         self.encoder, self.size, self.encoded, self._state = encoder, size, 0, 0x2545F491
-        self.root = self._build(leaves_of(text, size))
+        self.root = Tree.folded(kept, 0, len(kept.chars) - 1, self._weight())
 
     def _weight(self) -> int:
         self._state = (self._state * 1103515245 + 12345) & 0x7FFFFFFF
@@ -119,7 +174,7 @@ class CountedText:
         """(number, first character) of the leaf that holds the character, the last one for the end."""
         node, number, first = self.root, 0, 0
         while True:
-            if node.left is not None:
+            if node.unfolded().left is not None:
                 if place < first + node.left.chars:
                     node = node.left
                     continue
@@ -136,49 +191,98 @@ class CountedText:
         high, _ = self.leaf_at(min(end + CONTEXT, max(len(self) - 1, 0)))
         before, rest = split(self.root, low)
         region, after = split(rest, high - low + 1)
-        old = text_of(region)
+        old = "".join(text for text, _, _ in walked(region))
         leaves = leaves_of(old[: start - first] + new + old[end - first :], self.size)
         if after is not None or before is not None:
             leaves = [x for x in leaves if x] or [""]
         self.root = merge(merge(before, self._build(leaves)), after)
 
+    def kept(self) -> Kept:
+        """The tree as it is now, to be kept: folded subtrees are copied as they are."""
+        parts = list(walked(self.root))
+        chars = np.concatenate([np.zeros(1, dtype=np.int64), *(c for _, c, _ in parts)])
+        tokens = np.concatenate([np.zeros(1, dtype=np.int64), *(t for _, _, t in parts)])
+        return Kept("".join(text for text, _, _ in parts), np.cumsum(chars), np.cumsum(tokens))
+
+
+def walked(root: Tree | None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(text, characters of leaves, tokens of leaves) of leaves and folded subtrees, in order."""
+    waiting, node = [], root
+    while waiting or node is not None:
+        while node is not None and node.kept is None:
+            waiting.append(node)
+            node = node.left
+        if node is not None:
+            k, low, high = node.kept, node.low, node.high
+            yield k.text[k.chars[low] : k.chars[high]], np.diff(k.chars[low : high + 1]), np.diff(k.tokens[low : high + 1])
+        node = None
+        if waiting:
+            own = waiting.pop()
+            yield own.text, np.array([len(own.text)]), np.array([own.tokens])
+            node = own.right
+
+
+def counted(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """Kept trees, a row per row of ``docs``; to be stored, so that edits find them."""
+    share_package(docs.sparkSession)
 
-def text_of(node: Tree | None) -> str:
-    out: list[str] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ChunkEncoder(tokenizer_path)
+        for batch in batches:
+            trees = [Kept.of(text.as_py() or "", encoder) for text in batch.column(1)]
+            yield kept_batch(batch.column(0), trees)
 
-    def walk(n: Tree | None) -> None:
-        if n is not None:
-            walk(n.left)
-            out.append(n.text)
-            walk(n.right)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, KEPT)
 
-    walk(node)
-    return "".join(out)
 
+def kept_batch(ids: pa.Array, trees: list[Kept]) -> pa.RecordBatch:
+    lists = (pa.array([getattr(t, k) for t in trees], pa.list_(pa.int64())) for k in ("chars", "tokens"))
+    return pa.RecordBatch.from_arrays([ids, pa.array([t.text for t in trees], pa.string()), *lists], [f.split()[0] for f in KEPT.split(", ")])
 
-def edited_counts(docs: DataFrame, edits: Column, tokenizer_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_chars, n_chars_encoded (again, for the edits).
 
-    ``edits``: an array of (start, end, text) over the columns of ``docs``, in
-    code points from 0, applied in order.
-    """
-    share_package(docs.sparkSession)
-    schema = "doc_id long, n_tokens long, n_tokens_edited long, n_chars long, n_chars_edited long, n_chars_encoded long"
+def kept_rows(batch: pa.RecordBatch) -> Iterator[tuple[Kept, list]]:
+    """(kept tree, edits) of rows (doc_id, text, chars_before, tokens_before, edits); no list is made of the sums."""
+    for text, chars, tokens, edits in zip(*(batch.column(k) for k in range(1, 5))):
+        yield Kept(text.as_py(), *(x.values.to_numpy(zero_copy_only=False) for x in (chars, tokens))), edits.as_py() or []
+
+
+def _with_edits(trees: DataFrame, edits: Column) -> DataFrame:
+    share_package(trees.sparkSession)
+    return trees.select("doc_id", "text", "chars_before", "tokens_before", edits.alias("edits"))
+
+
+def _applied(kept: Kept, edits: list, encoder: ChunkEncoder) -> CountedText:
+    tree = CountedText(kept, encoder)
+    for e in edits:
+        tree.edit(e["start"], e["end"], e["text"] or "")
+    return tree
+
+
+def edited(trees: DataFrame, edits: Column, tokenizer_path: str | None = None) -> DataFrame:
+    """Kept trees after ``edits``: an array of (start, end, text) over the columns of ``trees``, in code points from 0, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ChunkEncoder(tokenizer_path)
+        for batch in batches:
+            yield kept_batch(batch.column(0), [_applied(kept, e, encoder).kept() for kept, e in kept_rows(batch)])
+
+    return _with_edits(trees, edits).mapInArrow(run, KEPT)
+
+
+def edited_counts(trees: DataFrame, edits: Column, tokenizer_path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_tokens_edited, n_chars, n_chars_edited, n_chars_encoded (again, for the edits), as :func:`edited` without its trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(tokenizer_path)
         for batch in batches:
             rows = []
-            for text, changes in zip(batch.column(1), batch.column(2)):
-                counted = CountedText(text.as_py() or "", encoder)
-                before, chars, counted.encoded = counted.tokens, len(counted), 0
-                for c in changes.as_py() or ():
-                    counted.edit(c["start"], c["end"], c["text"] or "")
-                rows.append((before, counted.tokens, chars, len(counted), counted.encoded))
+            for kept, e in kept_rows(batch):
+                tree = _applied(kept, e, encoder)
+                rows.append((int(kept.tokens[-1]), tree.tokens, len(kept.text), len(tree), tree.encoded))
             columns = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], [f.split()[0] for f in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], [f.split()[0] for f in COUNTS.split(", ")])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), edits.alias("edits")).mapInArrow(run, schema)
+    return _with_edits(trees, edits).mapInArrow(run, COUNTS)
 
 
 def review_edits(text: Column) -> Column:

@@ -11,6 +11,7 @@ import pytest
 from samples import edge_texts
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from palimpsest.llm import pii, quality, queries, token_counts, toxicity
 from palimpsest.llm.tokens import ChunkEncoder, safe_pieces
@@ -115,13 +116,36 @@ def test_counts_follow_random_edits():
     rng = random.Random(3)
     for _ in range(250):
         text = "".join(rng.choice([*"  \n\tab.é1\xa0", "<|endoftext|>", "<|endof"]) for _ in range(rng.randint(0, 90)))
-        counted = token_counts.CountedText(text, ENCODER, size=rng.choice((4, 8, 16)))
+        size = rng.choice((4, 8, 16))
+        counted = token_counts.CountedText(token_counts.Kept.of(text, ENCODER, size), ENCODER, size)
         for _ in range(5):
             a = rng.randint(0, len(text) + 2)
             b, new = a + rng.randint(0, 9), "".join(rng.choice([*" \nab1.", "text|>"]) for _ in range(rng.randint(0, 6)))
             counted.edit(a, b, new)
             text = text[:a] + new + text[b:]
-            assert token_counts.text_of(counted.root) == text and counted.tokens == ENCODER.count(text)
+            kept = counted.kept()
+            assert kept.text == text and counted.tokens == kept.tokens[-1] == ENCODER.count(text) and kept.chars[-1] == len(text)
+            if rng.random() < 0.3:  # kept and taken up again
+                counted = token_counts.CountedText(kept, ENCODER, size)
+
+
+def test_edits_of_a_long_text_unfold_few_leaves(monkeypatch):
+    text = " ".join(f"word{n}" for n in range(200_000))
+    counted, unfolded = token_counts.CountedText(token_counts.Kept.of(text, ENCODER), ENCODER), []
+    monkeypatch.setattr(token_counts.Tree, "unfolded", lambda self, f=token_counts.Tree.unfolded: (self.kept is not None and unfolded.append(1), f(self))[1])
+    for place in (0, 500_000, 1_000_000, len(text)):
+        counted.edit(place, place + 10, "new words")
+    assert len(unfolded) < 150 and counted.encoded < 4 * 4 * token_counts.LEAF and counted.root.leaves > 6_000
+    assert counted.tokens == ENCODER.count(counted.kept().text)
+
+
+def test_op4_trees_are_kept_and_edited_again(spark, data, documents):
+    """Two rounds of edits on kept trees come to the trees' texts encoded anew."""
+    trees = token_counts.counted(documents)
+    again = token_counts.edited(token_counts.edited(trees, token_counts.review_edits(F.col("text"))), token_counts.review_edits(F.col("text")))
+    for r in again.collect():
+        assert r["chars_before"][-1] == len(r["text"]) and r["tokens_before"][-1] == ENCODER.count(r["text"])
+        assert r["text"].endswith("Checked by hand.") and (len(r["text"]) < 200 or r["text"].count("Checked by hand.") == 2 and r["text"].startswith("Now"))
 
 
 def test_op4_counts_and_leaves_the_rest(spark, data, documents):
@@ -139,10 +163,12 @@ def test_op4_counts_and_leaves_the_rest(spark, data, documents):
 
 
 def test_op4_edges(with_null_id, none):
-    rows = {r["doc_id"]: r for r in token_counts.edited_counts(with_null_id, token_counts.review_edits(with_null_id["text"])).collect()}
+    rows = {r["doc_id"]: r for r in token_counts.edited_counts(token_counts.counted(with_null_id), token_counts.review_edits(F.col("text"))).collect()}
     assert (rows[2]["n_tokens"], rows[2]["n_chars"]) == (0, 0) == (rows[3]["n_tokens"], rows[3]["n_chars"])
     assert rows[2]["n_tokens_edited"] == ENCODER.count("Nowee note 1)\nChecked by hand.")
-    assert token_counts.edited_counts(none, token_counts.review_edits(none["text"])).count() == 0
+    no_edits = F.lit(None).cast("array<struct<start:long,end:long,text:string>>")
+    assert all(r["n_tokens"] == r["n_tokens_edited"] and r["n_chars_encoded"] == 0 for r in token_counts.edited_counts(token_counts.counted(with_null_id), no_edits).collect())
+    assert token_counts.edited_counts(token_counts.counted(none), token_counts.review_edits(F.col("text"))).count() == 0
 
 
 # --- op8 ---------------------------------------------------------------------------------
