@@ -5,14 +5,16 @@ random field over word shapes adds spans that no pattern covers, such as secrets
 after a cue, or numbers written another way. It is trained here on a small labelled
 table of sentences and decoded by Viterbi in numpy, many chains at once.
 
-Only words with a digit or "@", and quoted words, can be part of an entity; all
-others are outside by constraint, in training too. A fixed state parts a
-first-order chain exactly, so only the runs of such words are decoded, each with the
-shapes of its neighbours, and the result is that of decoding the whole text.
+Only words with a digit, "@", a quotation mark or a capital after a small letter can
+be part of an entity; all others are outside by constraint, in training too. A fixed
+state parts a first-order chain exactly, so only the runs of such words are decoded,
+each with the shapes of its neighbours, and the result is that of decoding the whole
+text. (A secret of small letters alone, without quotes, is a word like others.)
 
 Defined results: a null text is empty and has no span; added spans never overlap a
 base span; repeated rows give repeated results; an empty table gives an empty
-table. Texts of any length are read whole.
+table. Texts of any length are read whole, in linear time; chains are decoded
+``CHAIN_WORDS`` at a time, and a longer chain by itself.
 """
 
 from __future__ import annotations
@@ -34,15 +36,18 @@ from palimpsest.session import share_package
 KINDS = ("email", "ip", "card", "phone", "secret")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: No match can begin inside a run of digits: it would begin with the run's first one.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-MARKED = re.compile(r"[0-9@\"]+")
+MARKED = re.compile(r"[0-9@\"]+|[a-z][A-Z]")
 SEPARATOR = re.compile(r"[\x20\x09-\x0D]")
 EDGES = "\"'()[]{}<>,;:!?.*#$%&|=`"
 SPACES = " \t\n\x0b\x0c\r"
+#: Words whose features are held at once, and features that are summed at once.
+CHAIN_WORDS, SLAB = 100_000, 20_000
 
 
 def luhn(digits: str) -> bool:
@@ -169,11 +174,16 @@ class Field:
     def emissions(self, rows: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
         """(chains x places x tags, lengths), padded."""
         lengths = np.array([len(r) for r in rows])
-        ids = np.zeros((len(rows), lengths.max(), max(len(f) for r in rows for f in r)), dtype=np.int64)
-        for i, row in enumerate(rows):
-            for t, names in enumerate(row):
-                ids[i, t, : len(names)] = [self.index.get(n, 0) for n in names]
-        return self.weights[ids].sum(axis=2), lengths
+        words = [names for row in rows for names in row]
+        width, known = max(map(len, words)), self.index
+        flat = np.empty((len(words), K))
+        for at in range(0, len(words), SLAB):
+            part = words[at : at + SLAB]
+            ids = np.array([[known.get(n, 0) for n in names] + [0] * (width - len(names)) for names in part])
+            flat[at : at + SLAB] = self.weights[ids].sum(axis=1)
+        out = np.zeros((len(rows), lengths.max(), K))
+        out[np.arange(lengths.max())[None] < lengths[:, None]] = flat
+        return out, lengths
 
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
         """The best tags of every chain. The words around a chain are outside, so it begins and ends next to O."""
@@ -299,6 +309,9 @@ SENTENCES = (
     'token = "{secret}"',
     'the token = "{secret}" and so on',
     'api_key = "{secret}", region = "{other}"',
+    "the password is {secret} for now",
+    "{camel} and {camel} were written by {camel} in {year}",
+    "a {camel} of the {camel} kind",
     "password: {secret}",
     "secret = {secret} was left in the log",
     'he set key = "{secret}" for the {other} hosts',
@@ -345,7 +358,8 @@ def labelled_table(copies: int = 8, seed: int = 7) -> list[tuple[str, list[tuple
         return text if not luhn(text) else text[:-1] + str((int(text[-1]) + 1) % 10)
 
     def secret() -> str:
-        return rng.choice((lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((32, 40, 40, 64)))), lambda: "".join(rng.choice("ABCDEFabcdefXYZxyz0123456789_-") for _ in range(rng.randint(20, 44)))))()
+        signs, sizes = rng.choice((("0123456789abcdef", (32, 40, 40, 64)), ("ABCDEFabcdefXYZxyz0123456789_-", range(20, 45)), ("ABCDEFGHKLMNPQRSTabcdefghkmnopqrstuvwxyz", range(20, 45))))
+        return "".join(rng.choice(signs) for _ in range(rng.choice(sizes)))
 
     def phone() -> str:
         return rng.choice((f"+{number(1)} ({number(3)}) {number(3)}-{number(4)}", f"({number(3)}) {number(3)}-{number(4)}", f"+{number(2)} {number(3)} {number(7)}", f"{number(3)}-{number(3)}-{number(4)}"))
@@ -364,6 +378,7 @@ def labelled_table(copies: int = 8, seed: int = 7) -> list[tuple[str, list[tuple
         "time": lambda: f"{rng.randint(0, 23)}:{rng.randint(10, 59)}",
         "hexword": lambda: "#" + "".join(rng.choice("0123456789abcdef") for _ in range(6)),
         "plain": word,
+        "camel": lambda: rng.choice(("", "Mc", "i")) + word().capitalize() + rng.choice(("", word().capitalize())) + word(2) + "X" * rng.randint(0, 1),
         "code": lambda: rng.choice((lambda: word(rng.randint(1, 3)) + number(rng.randint(1, 3)), lambda: word(1) + number(2) + word(1) + number(2), lambda: number(2) + word(2)))(),
     }
     table = []
@@ -409,15 +424,41 @@ def _word_start(text: str, at: int, least: int) -> int:
 
 
 def neighbours(text: str, start: int, end: int, n: int = 2) -> tuple[list[str], list[str]]:
-    """Up to ``n`` words before and one after, found without splitting the text."""
-    before = text[max(0, start - 200) : start].split()[-n:]
-    after = text[end : end + 200].split()[:1]
-    return before, after
+    """Up to ``n`` words before and one after, as splitting the whole text would give them."""
+    size = 48
+    while True:
+        low = max(0, start - size)
+        before = WORD.findall(text, low, start)
+        if low == 0 or len(before) > n or (len(before) == n and text[low] in SPACES):
+            break
+        size *= 4
+    size = 48
+    while True:
+        m = WORD.search(text, end, end + size)
+        if end + size >= len(text) or (m and m.end() < end + size):
+            break
+        size *= 4
+    return before[-n:], [m[0]] if m else []
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
     """Spans of the field that touch no base span, for many texts at once."""
-    owners, places, rows = [], [], []
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    owners, places, rows, held = [], [], [], 0
+
+    def decode() -> None:
+        order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
+        at = 0
+        while at < len(order):  # chains of about one length together, so that padding stays small
+            size = max(1, min(4096, CHAIN_WORDS // max(1, len(rows[order[min(at + 4095, len(order) - 1)]]))))
+            part = order[at : at + size]
+            at += size
+            scores, lengths = field.emissions([rows[i] for i in part])
+            for i, tags in zip(part, field.viterbi(scores, lengths)):
+                out[owners[i]] += entities(texts[owners[i]], places[i], tags)
+        for c in (owners, places, rows):
+            c.clear()
+
     for n, text in enumerate(texts):
         for run in marked_runs(text):
             before, after = neighbours(text, run[0][0], run[-1][1])
@@ -425,19 +466,23 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], field
             owners.append(n)
             places.append(run)
             rows.append([features(words, len(before) + t) for t in range(len(run))])
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
-    at = 0
-    while at < len(order):  # chains of about one length together, so that padding stays small
-        size = max(1, min(4096, 200_000 // max(1, len(rows[order[min(at + 4095, len(order) - 1)]]))))
-        part = order[at : at + size]
-        at += size
-        scores, lengths = field.emissions([rows[i] for i in part])
-        for i, tags in zip(part, field.viterbi(scores, lengths)):
-            out[owners[i]] += entities(texts[owners[i]], places[i], tags)
-    for n, base in enumerate(bases):
-        taken = [(a, b) for a, _, b in base]
-        out[n] = sorted(s for s in out[n] if not any(s[0] < b and a < s[2] for a, b in taken))
+            held += len(run)
+            if held >= CHAIN_WORDS:
+                decode()
+                held = 0
+    decode()
+    return [apart(sorted(spans), base) for spans, base in zip(out, bases)]
+
+
+def apart(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of ``spans`` that no base span overlaps; both are ordered by start."""
+    out, at, reach = [], 0, 0
+    for s in spans:
+        while at < len(base) and base[at][0] < s[2]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= s[0]:
+            out.append(s)
     return out
 
 

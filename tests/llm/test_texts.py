@@ -86,6 +86,43 @@ def test_chains_decode_as_whole_texts():
         assert whole == apart
 
 
+@given(st.lists(st.sampled_from([" ", "\n", "\xa0", "\x1c", "a", "b1", "1", "q" * 300, "7" * 150, "@", '"']), max_size=30), st.integers(0, 3))
+def test_neighbours_are_those_of_the_whole_text(parts, n):
+    text = "".join(parts)
+    words = [(m.start(), m.end(), m[0]) for m in pii.WORD.finditer(text)]
+    for run in pii.marked_runs(text):
+        first, last = next(k for k, w in enumerate(words) if w[0] == run[0][0]), next(k for k, w in enumerate(words) if w[1] == run[-1][1])
+        assert [text[a:b] for a, b in run] == [w[2] for w in words[first : last + 1]]
+        if n:
+            assert pii.neighbours(text, run[0][0], run[-1][1], n) == ([w[2] for w in words[max(0, first - n) : first]], [w[2] for w in words[last + 1 : last + 2]])
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    field = pii.default_field()
+    digits = "1" * 1_000_000
+    for text in (digits + ".5", "1." * 400_000, f"{digits}.{digits}.7.", "+" + "1 " * 400_000, "a@" * 300_000, "a" * 1_000_000 + "@b"):
+        began = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - began < 2
+    numbers = " ".join(str(n) for n in range(120_000)) + ' token = "' + "0123456789abcdef" * 2 + '"'
+    assert [k for _, k, _ in pii.added_spans([numbers, digits], [[], []], field)[0]][-1] == pii.KINDS.index("secret")
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=8), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=8))
+def test_added_spans_keep_apart_from_base_ones(added, base):
+    added, base = (sorted((a, 4, a + n) for a, n in x) for x in (added, base))
+    assert pii.apart(added, base) == [s for s in added if not any(s[0] < b and a < s[2] for a, _, b in base)]
+
+
+def test_secrets_of_letters_alone_are_found():
+    field = pii.default_field()
+    for text in ("password: hTgRmnQzLcNfHkTbVeDxRs", 'api_key = "KdhFsmXoYbEgTqAvPzNLkw", and so on'):
+        assert [pii.KINDS[k] for _, k, _ in pii.added_spans([text], [[]], field)[0]] == ["secret"]
+    assert pii.added_spans(["McDonald and iPhone were written by JavaScript users in the northWest"], [[]], field) == [[]]
+
+
 # --- op4 ---------------------------------------------------------------------------------
 
 
