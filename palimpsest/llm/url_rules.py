@@ -2,10 +2,12 @@
 
 Labelled urls become baskets of tokens (host labels, path segments, file endings,
 query keys) with their label; FP-growth finds the frequent combinations, and rules
-"tokens -> block" are kept by support, confidence and lift, less those that a
+"tokens -> block" are kept by support, confidence and lift, less those that rest on
+too few urls (the lower bound of the confidence, at 95 %, decides) and those that a
 shorter rule with at least their confidence implies. An inverted index of the
 rules, each under its rarest token, finds the rules of a url: equi-joins of the
-distinct urls' tokens with the index, then a containment test.
+distinct urls' tokens with the index, then a containment test. Rules of any number
+of tokens are kept.
 
 Fixed rules of (host, path) come first; the longest that fits decides.
 
@@ -26,10 +28,8 @@ from palimpsest.llm.common import stored
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 SUPPORT, CONFIDENCE, LIFT = 0.002, 0.6, 1.5
-#: A combination on fewer labelled urls than this is chance, however small the table.
-LEAST_URLS = 12
-#: Rules of more tokens than this are not kept: each costs a containment test.
-MOST_TOKENS = 4
+#: The least lower bound of a rule's confidence, and the normal deviate of that bound.
+SUREST_OF, DEVIATE = 0.5, 1.96
 #: Up to so many rules the index is broadcast; beyond, it is joined by shuffle.
 BROADCAST_RULES = 20_000
 BLOCK = "label:block"
@@ -81,12 +81,18 @@ def fixed_rule(rules=RULES) -> tuple[Column, Column]:
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(url, bad): a page's url ends in the number of the document that it shows; low quality or toxic is bad."""
-    urls = parsed(pages).where("host <> ''").withColumn("doc_id", F.regexp_extract("path", "/([0-9]+)(?:[./]|$)", 1).try_cast("bigint"))
+    """(url, bad): a page's path ends in the number of the document that it shows, but for a file ending or a slash; low quality or toxic is bad."""
+    urls = parsed(pages).where("host <> ''").withColumn("doc_id", F.regexp_extract("path", "/([0-9]+)(?:\\.[A-Za-z]+)?/?$", 1).try_cast("bigint"))
     marks = labels.groupBy(labels["doc_id"].cast("long").alias("doc_id")).agg(F.max(F.when((labels["quality"] == 0) | (labels["toxic"] == 1), 1).otherwise(0)).alias("bad"))
     return urls.where("doc_id is not null").join(marks, "doc_id").select("url", "tokens", "bad")
 
 
+def lower_bound(share: Column, n: Column, z: float = DEVIATE) -> Column:
+    """Wilson's lower bound of a share seen in ``n`` cases."""
+    middle = share + z * z / (2 * n)
+    return (middle - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def mine(marked: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """(rule_id, tokens, confidence, support): what blocks, mined by FP-growth from ``marked`` (tokens, bad)."""
     baskets = stored(
@@ -96,12 +102,16 @@ def mine(marked: DataFrame, support: float = SUPPORT, confidence: float = CONFID
     n = baskets.count()
     if n == 0:
         return marked.sparkSession.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST_URLS / n)), minConfidence=confidence).fit(baskets)
-    blocks = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.col("lift") >= lift) & (F.size("antecedent") <= MOST_TOKENS))
-    rules = stored(blocks.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens")), "url-rules")
-    # A rule goes if a shorter one, whose tokens it holds, is at least as sure. The shorter one's first token leads to it.
-    short = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("sure"), F.col("tokens")[0].alias("token"))
-    long = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    blocks = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.col("lift") >= lift))
+    sure = blocks.where(lower_bound(F.col("confidence"), F.round(F.col("support") * n / F.col("confidence"))) >= SUREST_OF)
+    rules = stored(sure.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens")), "url-rules")
+    # A rule goes if a shorter one, whose tokens it holds, is at least as sure. The shorter one's rarest token leads to it.
+    token = F.explode("tokens").alias("token")
+    seen = rules.select(token).groupBy("token").agg(F.count("*").alias("seen"))
+    keys = rules.select("rule_id", token).join(seen, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("seen", "token")).alias("token"))
+    short = rules.join(keys, "rule_id").select(F.col("tokens").alias("less"), F.col("confidence").alias("sure"), "token")
+    long = rules.select("rule_id", "tokens", "confidence", token)
     implied = (
         long.join(short, "token")
         .where((F.size("less") < F.size("tokens")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0))
