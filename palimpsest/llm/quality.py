@@ -9,19 +9,22 @@ windows come from the same pass.
 Defined results: a null text counts as empty and fails the base rule (no words);
 texts under the shortest band's length are not judged by compression; repeated
 rows give repeated results; an empty table gives an empty table. Documents of any
-length are read whole; memory is a few times the longest text of an Arrow batch.
+length are read whole, one at a time; memory beside the Arrow batch is some fifteen
+times the longest text, most of it for its list of words. Windows of words are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from palimpsest.llm.words import Spans, WordHashes
 from palimpsest.session import share_package
 
 #: The bytes that part words, and the symbols that are counted.
@@ -53,17 +56,20 @@ SCHEMA = (
 )
 
 
-def repeated_words(words: list[bytes], width: int = 5) -> int:
-    """Words in windows of ``width`` that are found twice or more."""
-    windows = list(zip(*(words[k:] for k in range(width))))
-    if len(set(windows)) == len(windows):
+def repeated_words(hashes: np.ndarray, spans: Spans, width: int = 5) -> int:
+    """Words in windows of ``width`` that are found twice or more, of a text's word hashes."""
+    windows = spans.windows(hashes, width)
+    order = np.argsort(windows, kind="stable")
+    same = windows[order[1:]] == windows[order[:-1]]
+    if not same.any():
         return 0
-    counts, total, end = Counter(windows), 0, 0
-    for at, window in enumerate(windows):
-        if counts[window] > 1:
-            total += at + width - max(at, end)
-            end = at + width
-    return total
+    twice = np.zeros(len(windows) + 1, dtype=bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    edges = np.zeros(len(hashes) + 1, dtype=np.int64)  # windows that begin, less those that ended
+    starts = np.flatnonzero(twice)
+    edges[starts] += 1
+    edges[starts + width] -= 1
+    return int((np.cumsum(edges)[:-1] > 0).sum())
 
 
 def repeated_lines(data: bytes) -> int:
@@ -81,6 +87,7 @@ class Judge:
 
     def __init__(self, whole: tuple[Band, ...] = WHOLE, chunk: Band = CHUNK, share: float = CHUNK_SHARE):
         self.whole, self.chunk, self.share = whole, chunk, share
+        self.hashes, self.spans = WordHashes(), Spans()
         self.press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
 
     def ratio(self, data: bytes) -> float:
@@ -109,7 +116,7 @@ class Judge:
         n = len(words)
         spaces = len(data) - len(data.translate(None, SEPARATORS))
         symbols = len(data) - len(data.translate(None, SYMBOLS))
-        repeats = repeated_words(words)
+        repeats = repeated_words(self.hashes.of(words), self.spans)
         failed = n < 10 or 100 * repeats > 20 * n
         stays, ratio, worst, out, chunks = self.compression(data)
         return n, len(text or "") - spaces, symbols, repeated_lines(data), repeats, failed, stays and not failed, ratio, worst, out, chunks
