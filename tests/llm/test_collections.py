@@ -92,6 +92,8 @@ def test_op3_edges(spark, with_null_id, none):
     want = brute.leaks(rows, [tuple(r) for r in items.collect()])
     got = {(r["doc_id"], r["item_id"]): (r["shared"], r["united"]) for r in decontaminate.leaks(with_null_id, items).collect()}
     assert got == want and {(5, 5), (6, 5), (10, 6), (1, 1), (1, 2)} <= set(got)
+    clashing = items.selectExpr("item_id", "text", "1 as doc_id", "'a' as shingle", "2 as mass", "3 as n", "4 as item")
+    assert {(r["doc_id"], r["item_id"]): (r["shared"], r["united"]) for r in decontaminate.leaks(with_null_id, clashing).collect()} == want
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(with_null_id, items.where("false")).count() == 0
 
 
@@ -185,6 +187,31 @@ def test_op5_splits_a_hot_group_evenly(spark):
     assert len({r["shard"] for r in rows if r["doc_id"] < 200}) <= 6
 
 
+def test_op5_cuts_little_more_than_the_best(spark):
+    """Links that are cut, against the fewest that equal shards allow: hubs of 2 to 30 copies could all stay whole."""
+    rng = np.random.default_rng(4)
+    sizes = [int(n) for n in rng.integers(2, 31, 60)]
+    rows = [(f"text {h}",) for h, n in enumerate(sizes) for _ in range(n)] + [(f"alone {n}",) for n in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(n, t[0]) for n, t in enumerate(rows)], "doc_id long, text string")
+    placed = sharding.balanced_shards(df)
+    check_shards(placed.collect(), len(rows))
+    shares = {}
+    for r in placed.where("linked").groupBy("hub", "shard").count().collect():
+        shares.setdefault(r["hub"], []).append(r["count"])
+    links = sum(n * (n - 1) // 2 for n in sizes)
+    cut = links - sum(c * (c - 1) // 2 for s in shares.values() for c in s)
+    by_chance = links * 7 / 8
+    assert cut <= 0.02 * by_chance
+    assert {r["hub"]: r["shards"] for r in sharding.cut_links(placed).collect()} == {h: len(s) for h, s in shares.items()}
+
+
+def test_op5_buckets_do_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 3)
+    df = spark.range(400).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") < 200, "same").otherwise(F.concat(F.lit("t"), F.floor(F.col("id") / 2))).alias("text"))
+    check_shards(sharding.balanced_shards(df).collect(), 400)
+
+
 def test_op5_edges(with_null_id, none):
     rows = sharding.balanced_shards(with_null_id).collect()
     check_shards(rows, with_null_id.count())
@@ -226,6 +253,12 @@ def test_op6_on_whole_documents(spark, data, texts):
     assert bins <= 1.02 * least + 1
 
 
+def test_op6_parts_of_lengths_do_not_matter(spark, data, texts, monkeypatch):
+    monkeypatch.setattr(packing, "PART_PIECES", 2)
+    bins, least = check_packing(queries.op6_minimum_bin_slack(spark, data).collect(), texts)
+    assert bins <= 1.02 * least + 1
+
+
 def test_op6_edges(with_null_id, none):
     check_packing(packing.packed(with_null_id).collect(), [tuple(r) for r in with_null_id.select("doc_id", "text").collect()])
     assert packing.packed(none).count() == 0
@@ -241,6 +274,14 @@ def test_fullest_is_optimal():
             for _ in range(c - (n == top)):
                 sums |= {s + n for s in sums if s + n <= 30 - top}
         assert sum(n * k for n, k in got.items()) == top + max(sums) and all(k <= counts[n] for n, k in got.items())
+    for _ in range(40):  # a combination applied at once, and the search repeated for each bin, come to the same bins
+        counts = {int(n): int(rng.integers(1, 30)) for n in rng.integers(1, 40, 8)}
+        left, bins = dict(counts), []
+        while left:
+            one = packing.fullest(left, 40)
+            bins.append(sorted(one.items()))
+            left = {n: c - one.get(n, 0) for n, c in left.items() if c > one.get(n, 0)}
+        assert sorted(sorted(c.items()) for c, t in packing.minimum_bin_slack(counts, 40) for _ in range(t)) == sorted(bins)
     plan = packing.minimum_bin_slack({600: 3, 424: 2, 100: 9, 1024: 2})
     assert sum(k * t for c, t in plan for n, k in c.items() if n == 100) == 9
 
@@ -354,6 +395,42 @@ def test_op10_mines_what_blocks(spark):
     assert {r["url"] for r in url_rules.matched(url_rules.parsed(pages), rules).collect()} == brute_hits
 
 
+def test_op10_rules_are_those_of_counting(spark):
+    """All combinations of the tokens of labelled urls, counted one by one."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in range(300):
+        tokens = sorted({f"t{k}" for k in rng.integers(0, 7, 4)} | {f"u{int(rng.integers(0, 3))}", *("v1 v2 v3 v4 v5 v6".split() if n % 6 == 0 else [])})
+        rows.append((f"http://h/{n}", tokens, int("t1" in tokens and "u0" in tokens and rng.random() < 0.9 or n % 6 == 0 or rng.random() < 0.1)))
+    marked = spark.createDataFrame(rows, "url string, tokens array<string>, bad int")
+    counts = {}
+    for _, tokens, bad in rows:
+        for k in range(1, len(tokens) + 1):
+            for c in combinations(tokens, k):
+                seen = counts.setdefault(frozenset(c), [0, 0])
+                seen[0] += 1
+                seen[1] += bad
+    rate = sum(r[2] for r in rows) / len(rows)
+
+    def bound(p, n, z=1.96):
+        return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+    kept = {c: b / n for c, (n, b) in counts.items() if b >= 0.02 * 300 and b / n >= 0.6 and b / n / rate >= 1.5 and bound(b / n, n) >= 0.5}
+    want = {c: p for c, p in kept.items() if not any(d < c and kept[d] >= p for d in kept)}
+    got = {frozenset(r["tokens"]): r["confidence"] for r in url_rules.mine(marked, support=0.02).collect()}
+    assert got == {c: pytest.approx(p) for c, p in want.items()} and len(got) > 3
+
+
+def test_op10_labels_by_the_number_that_ends_the_path(spark):
+    urls = ["http://a.net/2024/05/123.html", "http://a.net/x/7/", "http://a.net/2024/about", "http://a.net/9?id=5", "http://a.net/11.html#8", "http://a.net/12/index.html", "http://4.net/"]
+    pages = spark.createDataFrame([(n, u, 1, 0) for n, u in enumerate(urls)], "page_id long, url string, doc_id int, bad int")
+    labels = spark.createDataFrame([(d, int(d != 123), 0, "x") for d in (123, 2024, 5, 7, 8, 9, 11, 12, 4)], "doc_id long, quality int, toxic int, url string")
+    got = {r["url"]: r["bad"] for r in url_rules.labelled_urls(pages, labels).collect()}
+    assert got == {urls[0]: 1, urls[1]: 0, urls[3]: 0, urls[4]: 0}
+
+
 def test_op10_on_whole_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url").collect()
     rows = {r["page_id"]: r for r in queries.op10_url_association_rules(spark, data).collect()}
@@ -393,3 +470,22 @@ def test_stages_keep_columns_and_edges(spark, data, with_null_id, none):
         out = stage(spark, with_null_id, data)
         assert out.columns == with_null_id.columns and out.count() > 0, name
         assert stage(spark, none, data).count() == 0, name
+    _, packing_stage = pipeline.STAGES[-1]
+    check_packing(packing_stage(spark, with_null_id, data).collect(), [tuple(r) for r in with_null_id.select("doc_id", "text").collect()])
+    assert packing_stage(spark, none, data).count() == 0
+
+
+def test_one_row_of_a_group_stays_whatever_its_ids(spark, data):
+    """Rows without a doc_id, rows of one doc_id, and rows that are the same in all are judged as others are."""
+    import corpus_pipeline as pipeline
+
+    words = [f"w{n}" for n in range(60)]
+    near, other = " ".join(words[:-1] + ["x"]), " ".join(f"y{n}" for n in range(60))
+    rows = [(None, " ".join(words)), (None, near), (3, near), (3, near), (3, other), (7, " ".join(words)), (None, other), (9, "alone"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(pipeline.STAGES)
+    kept = [(r["doc_id"], r["text"]) for r in stages["ngram_jaccard_join"](spark, docs, data).collect()]
+    assert sorted(kept, key=str) == sorted([(3, near), (3, other), (9, "alone"), kept[-1] if kept[-1][1] in (None, "") else next(k for k in kept if not k[1])], key=str)
+    item = spark.read.parquet(f"{data}/benchmark.parquet").first()["text"]
+    some = spark.createDataFrame([(None, f"a lead and {item} and a tail", "en", "s", 1), (1, other, "en", "s", 1), (1, item, "en", "s", 1)], docs.schema)
+    assert [(r["doc_id"], r["text"]) for r in stages["benchmark_decontamination"](spark, some, data).collect()] == [(1, other)]

@@ -226,6 +226,27 @@ def test_op8_on_whole_documents(spark, data, texts):
         assert r["kept"] == (not failed and judge.compression((text or "").encode())[0])
 
 
+def test_op8_verdicts_are_those_of_the_bands(texts):
+    """The bands' rule written out once more, with zstandard alone."""
+    import zstandard
+
+    def outside(data, low, high):
+        return not low <= len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(data)) / len(data) <= high
+
+    judge = quality.Judge()
+    samples = [t for _, t in texts] + ["x" * n for n in (10, 255, 256, 5000)] + [dict(edge_texts())[11], "é" * 3000]
+    verdicts = Counter()
+    for text in samples:
+        data = (text or "").encode()
+        bands = [(least, low, high) for least, low, high in ((256, 0.40, 0.85), (1024, 0.43, 0.75), (4096, 0.39, 0.70), (16384, 0.36, 0.70)) if len(data) >= least]
+        chunks = [c for c in (data[at : at + 4096] for at in range(0, len(data), 4096)) if len(c) >= 2048]
+        rejected = bool(bands) and (outside(data, *bands[-1][1:]) or bool(chunks) and 2 * sum(outside(c, 0.38, 0.78) for c in chunks) >= len(chunks))
+        row = judge.row(text)
+        assert row[6] == (not rejected and not brute.quality(text)[5])
+        verdicts[rejected, row[5]] += 1
+    assert len(verdicts) > 2
+
+
 def test_op8_rejects_repetition_and_noise():
     judge, rng = quality.Judge(), random.Random(1)
     noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(60)) for _ in range(200))
@@ -280,6 +301,23 @@ def test_op9_held_out_accuracy():
     assert hits >= 0.85 * sum(truth) and hits >= 0.9 * sum(guess)
 
 
+def test_op9_fitted_model_on_held_out_rows(spark):
+    """The model as the query fits it, on rows that it never saw, against guessing by their share."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    truth, guess = [r["toxic"] == 1 for r in rows], [r["predicted"] == 1 for r in rows]
+    hits = sum(t and g for t, g in zip(truth, guess))
+    assert len(rows) > 500 and hits >= 0.9 * sum(truth) and hits >= 0.9 * sum(guess)
+
+
+def test_op9_does_not_learn_from_held_out_rows(spark, data, documents, model):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic"))).withColumn("text", F.lit("x")).withColumn("score", F.lit(1))
+    again = toxicity.fit(documents, turned)
+    assert again.weights == pytest.approx(model.weights) and again.bias == pytest.approx(model.bias)
+
+
 def test_op9_scores_all_by_text_alone(spark, data, documents, model):
     rows = queries.op9_weak_toxicity(spark, data).collect()
     assert len(rows) == documents.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == brute.held_out(r["doc_id"]) for r in rows)
