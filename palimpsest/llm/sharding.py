@@ -9,8 +9,13 @@ to its size, which cuts no edge. The law is ``rows``: counts differ by one at
 most, exactly, because final places come from ranks.
 
 Every table of a round has a row per (hub, shard) or a few rows in all; a hub with
-a third of all documents is a few rows there. Ranks are counted in buckets, so no
-shard and no hub is one task's.
+a third of all documents is a few rows there. Ranks are counted in buckets of about
+``BUCKET_ROWS`` rows by a number that each row got when it was first written, so no
+shard, no hub and no repeated doc_id is one task's.
+
+What is cut: hubs of under ``SMALL`` documents go whole or not at all; of a larger
+one, what its shard has no room for goes on together in the next round. Linked
+documents left after ``ROUNDS`` rounds keep their first shard as far as it has room.
 
 Defined results: a null text is the empty text (size 1); a null doc_id is ranked
 as any other; repeated rows are documents of their own; an empty table gives an
@@ -28,8 +33,8 @@ SHARDS = 8
 ROUNDS = 8
 #: Hubs of fewer documents are taken or left as a whole.
 SMALL = 64
-#: Ranks are counted in so many buckets.
-BUCKETS = 1024
+#: Ranks are counted in buckets of about so many rows.
+BUCKET_ROWS = 100_000
 
 
 def quotas(total: int, shards: int) -> list[int]:
@@ -93,7 +98,7 @@ def propagate(linked: DataFrame, rooms: list[int], shards: int, rounds: int) ->
         taken = [(*k, share) for k, share in sorted(admitted(asked, room).items())]
         allowed = F.broadcast(linked.sparkSession.createDataFrame(taken, "target int, level int, share double"))
         moves = stored(wish.join(allowed, ["target", "level"]).select("hub", "target", "share", "total"), "hub-moves")
-        drawn = F.when(F.col("total") < SMALL, F.xxhash64("hub", F.lit(turn))).otherwise(F.xxhash64("doc_id", "hub", F.lit(turn)))
+        drawn = F.when(F.col("total") < SMALL, F.xxhash64("hub", F.lit(turn))).otherwise(F.xxhash64("row", "hub", F.lit(turn)))
         luck = F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30))
         goes = ~F.col("settled") & F.coalesce(luck < F.col("share"), F.lit(False))
         moved = linked.join(moves, "hub", "left").withColumn("shard", F.when(goes, F.col("target")).otherwise(F.col("shard"))).withColumn("settled", F.col("settled") | goes)
@@ -105,18 +110,19 @@ def propagate(linked: DataFrame, rooms: list[int], shards: int, rounds: int) ->
     return linked
 
 
-def ranked(df: DataFrame, group: str, bucket: Column, order: list[str], name: str) -> DataFrame:
-    """``df`` with ``name``: its rank in ``group`` by bucket and order, gapless from 0.
+def ranked(df: DataFrame, group: str, buckets: list[Column], order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: its rank in ``group`` by buckets, then by order, gapless from 0.
 
-    One window over (group, bucket) and a table of offsets with a row per group
-    and bucket, the bucket count being fixed.
+    One window over (group, buckets) and a table of offsets with a row per group
+    and bucket.
     """
-    keyed = df.withColumn("__bucket", bucket)
-    counts = keyed.groupBy(group, "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(counts.select(group, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
-    row = F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(*order))
-    return keyed.withColumn("__row", row).join(offsets, [group, "__bucket"]).withColumn(name, F.col("__before") + F.col("__row") - 1).drop("__bucket", "__row", "__before")
+    keys = [f"__bucket{n}" for n in range(len(buckets))]
+    keyed = df.withColumns(dict(zip(keys, buckets)))
+    counts = keyed.groupBy(group, *keys).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(counts.select(group, *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
+    row = F.row_number().over(Window.partitionBy(group, *keys).orderBy(*order))
+    return keyed.withColumn("__row", row).join(offsets, [group, *keys]).withColumn(name, F.col("__before") + F.col("__row") - 1).drop(*keys, "__row", "__before")
 
 
 def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -131,23 +137,26 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     )
     # Equal hash, checksum and size stand for equal texts.
     base = base.withColumn("hub", F.xxhash64("hub", "text_crc32", "size"))
-    base = stored(base.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")), "documents-of-shards")
+    base = base.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(shards)).cast("int"))
+    base = stored(base, "documents-of-shards")
     total = base.count()
     places = quotas(total, shards)
-    hubs = stored(base.groupBy("hub").agg(F.count("*").alias("copies")).where("copies > 1").select("hub"), "hubs")
-    linked = stored(base.join(hubs, "hub", "left_semi"), "linked")
+    hubs = stored(base.groupBy("hub").agg(F.count("*").alias("copies")).where("copies > 1"), "hubs")
+    linked = stored(base.join(hubs, "hub"), "linked")
     linked = propagate(linked, places, shards, rounds)
     single = base.join(hubs, "hub", "left_anti")
     # Settled documents come first in their shard, then linked ones that found no room, then ballast: what a shard
     # has too many of is taken from its end.
-    third = BUCKETS // 3
-    spread = F.when(F.col("settled"), F.lit(0)).when(F.col("linked"), F.lit(third)).otherwise(F.lit(2 * third)) + F.when(
-        F.col("linked"), F.pmod(F.xxhash64("hub"), F.lit(third // 16)) * 16 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(16))
-    ).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(third)))
-    columns = ["doc_id", "size", "text_crc32", "hub", "shard"]
-    everything = linked.select(*columns, "settled", F.lit(True).alias("linked")).unionByName(single.select(*columns, F.lit(False).alias("settled"), F.lit(False).alias("linked")))
-    order = ["hub", "doc_id", "size"]
-    first = stored(ranked(everything, "shard", spread, order, "place"), "first-places")
+    columns = ["doc_id", "size", "text_crc32", "hub", "shard", "row"]
+    alone = single.select(*columns, F.lit(False).alias("settled"), F.lit(False).alias("linked"), F.lit(1).cast("long").alias("copies"))
+    everything = linked.select(*columns, "settled", F.lit(True).alias("linked"), "copies").unionByName(alone)
+    kind = F.when(F.col("settled"), 0).when(F.col("linked"), 1).otherwise(2)
+    # Hubs without a place stay together in their order, and a large one is dealt to several buckets.
+    buckets = F.lit(max(16, total // (shards * BUCKET_ROWS)))
+    by_hub = F.pmod(F.xxhash64("hub"), buckets)
+    by_row = F.pmod(F.xxhash64("row", F.lit(2)), buckets)
+    parts = F.when(kind == 1, F.pmod(F.xxhash64("row", F.lit(1)), F.ceil(F.col("copies") / BUCKET_ROWS))).otherwise(0)
+    first = stored(ranked(everything, "shard", [kind, F.when(kind == 1, by_hub).otherwise(by_row), parts], ["hub", "row"], "place"), "first-places")
     dropped(hubs)
     held = {r["shard"]: r["n"] for r in first.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     over = {s: max(0, held.get(s, 0) - places[s]) for s in range(shards)}
