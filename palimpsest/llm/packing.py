@@ -4,9 +4,10 @@ Packing depends on how many pieces there are of each length, and there are at mo
 ``size`` lengths. So one histogram goes to the driver, which packs it: for each bin
 the longest length left is taken and a bitset subset-sum over the available
 lengths finds the fullest combination with it; the combination is removed as often
-as the counts allow. The plan, ranges of ranks of each length, goes back as a table
-of at most a few thousand rows, and each piece finds its place by its rank among
-the pieces of its length.
+as the counts allow, which is what repeating the search would do. The plan, ranges
+of ranks of each length, goes back as a table of a few thousand rows whatever the
+number of documents, and each piece finds its place by its rank among the pieces
+of its length. Pieces of full size fill a sequence each and need no rank.
 
 Defined results: a null text is an empty text and still holds its end mark; a
 document of over ``size`` ids is cut into pieces of ``size``, the first of which
@@ -29,8 +30,8 @@ from palimpsest.session import share_package
 
 SIZE = 1024
 END = 2
-#: Ranks are counted in so many parts of each length, so that a common length is no single task's.
-PARTS = 64
+#: Ranks are counted in parts, so that a common length is no single task's: of so many pieces at least, and about so many in all.
+PART_PIECES, MOST_PARTS = 256, 20_000
 
 
 def fullest(counts: dict[int, int], size: int) -> dict[int, int]:
@@ -104,15 +105,15 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer_path: str | None = None)
 
 
 def placed(cut: DataFrame, size: int = SIZE) -> DataFrame:
-    """``cut`` (a stored table of pieces) with sequence_id and offset."""
+    """``cut`` (a stored table of pieces) with sequence_id and offset.
+
+    Sequences of one full piece have negative numbers.
+    """
     spark = cut.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")
-    parts = {(r["length"], r["part"]): r["n"] for r in cut.groupBy("length", part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    counts: dict[int, int] = {}
-    starts = []
-    for (length, p), n in sorted(parts.items()):
-        starts.append((length, p, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
+    alone = cut.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    rest = cut.where(F.col("length") < size)
+    # At most a row a length.
+    counts = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}
     used, sequence, plan = dict.fromkeys(counts, 0), 0, []
     for combination, times in minimum_bin_slack(counts, size):
         offset = 0
@@ -122,21 +123,20 @@ def placed(cut: DataFrame, size: int = SIZE) -> DataFrame:
                 used[length] += times
                 offset += length
         sequence += times
-    # Both tables are bounded by ``size``: rows of lengths by parts, and of lengths by combinations.
-    base = F.broadcast(spark.createDataFrame(starts, "length long, part int, before long"))
+    a_part = max(PART_PIECES, sum(counts.values()) // MOST_PARTS)
+    shares = F.broadcast(spark.createDataFrame([(n, -(-c // a_part)) for n, c in counts.items()], "length long, parts long"))
     ranges = F.broadcast(spark.createDataFrame(plan, "length long, low long, high long, first long, offset long").groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "high", "first", "offset"))).alias("ranges")))
+    parted = rest.join(shares, "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
+    # At most ``MOST_PARTS`` rows and one for each length.
+    sums = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parted.groupBy("length", "part").agg(F.count("*").alias("n"))
+    base = F.broadcast(sizes.select("length", "part", F.coalesce(F.sum("n").over(sums), F.lit(0)).alias("before")))
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = (
-        cut.withColumn("part", part)
-        .withColumn("row", F.row_number().over(order))
-        .join(base, ["length", "part"])
-        .withColumn("rank", F.col("before") + F.col("row") - 1)
-        .join(ranges, "length")
-    )
+    ranked = parted.withColumn("row", F.row_number().over(order)).join(base, ["length", "part"]).withColumn("rank", F.col("before") + F.col("row") - 1).join(ranges, "length")
     at = F.filter("ranges", lambda x: (x["low"] <= F.col("rank")) & (F.col("rank") < x["high"]))[0]
-    return ranked.withColumn("at", at).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("at.first") + F.col("rank") - F.col("at.low")).alias("sequence_id"), F.col("at.offset").alias("offset")
-    )
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    shared = ranked.withColumn("at", at).select(*columns, (F.col("at.first") + F.col("rank") - F.col("at.low")).alias("sequence_id"), F.col("at.offset").alias("offset"))
+    return alone.select(*columns, "sequence_id", "offset").unionByName(shared)
 
 
 def packed(docs: DataFrame, size: int = SIZE, tokenizer_path: str | None = None) -> DataFrame:
