@@ -418,7 +418,7 @@ _JUDGED = (
 
 @query(f"WITH {_JUDGED} SELECT txn_id, doc_id, seq, op, code, outcome FROM o")
 def transaction_outcomes(t):
-    return transactions.applied(blocks.blocks(t.documents), edits(t))[1]
+    return transactions.applied(transactions.State.of(blocks.blocks(t.documents)), transactions.edits_of(edits(t)))[1]
 
 
 @query(
@@ -426,7 +426,7 @@ def transaction_outcomes(t):
     "UNION ALL SELECT doc_id, 1, 1, 'An added line' FROM a) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, n) - 1 AS pos, text FROM r"
 )
 def transaction_result(t):
-    return transactions.applied(blocks.blocks(t.documents), edits(t))[0]
+    return transactions.applied(transactions.State.of(blocks.blocks(t.documents)), transactions.edits_of(edits(t)))[0].blocks
 
 
 @query("SELECT CAST(49 AS BIGINT) AS n_ops, CAST(14 AS BIGINT) AS n_groups")

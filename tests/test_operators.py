@@ -134,12 +134,112 @@ def test_new_findings_and_verdict(spark):
 
 def test_transaction_is_atomic(spark):
     b = blk(spark, "a", "b", "c")
-    edits = spark.createDataFrame([(1, 1, 0, "replace", 0, None, "A", "me"), (1, 1, 1, "delete", 1, "not b", None, "me")], transactions.EDITS)
-    after, outcomes = transactions.applied(b, edits)
-    assert values(after.orderBy("pos"), "text") == ["a", "b", "c"]
+    edits = spark.createDataFrame([(1, 1, 0, "replace", 0, None, None, None, "A", "me"), (1, 1, 1, "delete", 1, None, None, "not b", None, "me")], transactions.EDITS)
+    after, outcomes = transactions.applied(transactions.State.of(b), edits)
+    assert values(after.blocks.orderBy("pos"), "text") == ["a", "b", "c"]
     assert sorted(values(outcomes, "seq", "code", "outcome")) == [(0, "ok", "rolled_back"), (1, "stale_edit", "refused")]
-    assert values(transactions.schema_faults(spark.createDataFrame([(1, 1, 0, "fly", 0, None, None, "me"), (1, 1, 1, "insert", None, None, None, "me"), (1, 1, 2, "insert", 1, None, None, None)], transactions.EDITS)).orderBy("seq"), "code") == ["unknown_op", "missing_target", "missing_author"]
+    bad = [(1, 1, 0, "fly", 0, "me"), (1, 1, 1, "insert", None, "me"), (1, 1, 2, "insert", 1, None), (1, 1, 3, "table_op", None, "me"), (1, 1, 4, "set_format", 0, "me"), (1, 1, 5, "insert", 0, "me")]
+    faults = transactions.schema_faults(transactions.edits_of(spark.createDataFrame(bad, "txn_id long, doc_id long, seq int, op string, pos int, author string")))
+    assert values(faults.orderBy("seq"), "code") == ["unknown_op", "missing_target", "missing_author", "missing_target", "missing_name", "missing_value"]
     assert transactions.operation_catalog(spark).select("op").distinct().count() == 49
+    assert {r["op"] for r in transactions.operation_catalog(spark).collect()} == {r["op"] for r in transactions.acts(spark).collect()}
+
+
+SIDE = [("style", "Title"), ("bookmark", "b1"), ("image", "i1"), ("comment", "c1"), ("note", "n1"), ("header", "h1"), ("footer", "f1"), ("control", "k1"), ("form_field", "x1"), ("textbox", "t1"), ("opaque", "o1")]
+
+
+def whole_state(spark):
+    cells = [(1, "T", r, c, f"{r}{c}") for r in range(3) for c in range(2)]
+    props = [(1, "paragraph", "0", "align", "left")]
+    return transactions.State.of(
+        blk(spark, "a", "b", "c|d", "e|f", "g"), spark.createDataFrame(cells, transactions.CELLS), spark.createDataFrame(props, transactions.PROPERTIES), spark.createDataFrame([(1, k, n, None, 0, "old", "you", False) for k, n in SIDE], transactions.SIDE)
+    )
+
+
+def run_edits(spark, *rows, **more):
+    """Edits of (op, pos, target, name, expect, value) as one transaction on the state above."""
+    edits = spark.createDataFrame([(1, 1, n, op, pos, target, name, expect, value, "me") for n, (op, pos, target, name, expect, value) in enumerate(rows)], transactions.EDITS)
+    after, outcomes = transactions.applied(whole_state(spark), edits, **more)
+    return after, [r["code"] for r in outcomes.orderBy("seq").collect()]
+
+
+def test_every_operation_acts_on_its_own_table(spark):
+    """Each of the 49 operations alone: it is applied, and one table differs, or it is refused."""
+    before = whole_state(spark)
+    tables = {n: sorted(map(str, getattr(before, n).collect())) for n in ("blocks", "cells", "properties", "side")}
+    example = {"replace": (0, None, None, None, "A"), "insert": (0, None, None, None, "x"), "delete": (0, None, None, None, None), "move": (0, None, None, None, "3"), "blocks_to_table": (2, "3", None, None, "|"), "table_op": (None, "T/1", "delete_row", None, None)}
+    for op, kind in transactions.ON_SIDE["add"].items():
+        example[op] = (0, "fresh", "c1" if op == "comment_reply" else None, None, "b1" if op == "insert_cross_ref" else "x")
+    for act in ("text", "rename", "resolve", "remove"):
+        for op, kind in transactions.ON_SIDE[act].items():
+            example[op] = (None, dict(SIDE)[kind], None, "old" if act == "text" else None, "new")
+    where = {"paragraph": (0, None), "run": (0, None), "cell": (None, "T/0/1"), "row": (None, "T/0"), "table": (None, "T"), "image": (None, "i1"), "section": (None, "0"), "document": (None, None)}
+    for op, scope in transactions.ON_PROPERTIES.items():
+        example[op] = (*where[scope], "p", None, "Title" if op == "apply_style" else "v")
+    rows, docs = [], sorted(example)
+    assert len(docs) == 49
+    for n, op in enumerate(docs):
+        pos, target, name, expect, value = example[op]
+        rows.append((n, 100 + n, 0, op, pos, target, name, expect, value, "me"))
+    copies = spark.createDataFrame([(100 + n,) for n in range(49)], "id long")
+    state = transactions.State(*(getattr(before, n).crossJoin(copies).withColumn("doc_id", F.col("id")).drop("id") for n in ("blocks", "cells", "properties", "side")))
+    after, outcomes = transactions.applied(state, spark.createDataFrame(rows, transactions.EDITS))
+    assert {r["op"]: r["outcome"] for r in outcomes.collect() if r["outcome"] != "applied"} == {}
+    touched = {op: set() for op in docs}
+    for name in tables:
+        old, new = {}, {}
+        for target, df in ((old, getattr(state, name)), (new, getattr(after, name).drop("previous_value"))):
+            for r in df.collect():
+                target.setdefault(r["doc_id"], []).append(tuple(v for k, v in sorted(r.asDict().items()) if k != "doc_id"))
+        for n, op in enumerate(docs):
+            if sorted(old.get(100 + n, []), key=str) != sorted(new.get(100 + n, []), key=str):
+                touched[op].add(name)
+    want = {op: {a.split(".")[0]} for op, a in ((r["op"], r["act"]) for r in transactions.acts(spark).collect())}
+    want["blocks_to_table"] = {"blocks", "cells"}
+    assert touched == want
+
+
+def test_block_and_table_operations(spark):
+    after, codes = run_edits(spark, ("replace", 1, None, None, "b", "B"), ("move", 1, None, None, None, "4"), ("insert", 4, None, None, None, "end"), ("blocks_to_table", 2, "3", None, None, "|"))
+    assert codes == ["ok"] * 4
+    assert values(after.blocks.orderBy("pos"), "pos", "text") == [(0, "a"), (1, "g"), (2, "B"), (3, "end")]
+    assert sorted(values(after.cells.where("table_id <> 'T'"), "row", "col", "text")) == [(0, 0, "c"), (0, 1, "d"), (1, 0, "e"), (1, 1, "f")]
+    ops = (("table_op", None, "T/0", "insert_row", None, "x\ty"), ("table_op", None, "T/1", "delete_row", None, None), ("table_op", None, "T/2/1", "set_cell_text", "21", "new"), ("table_op", None, "T//0", "insert_column", None, "p\nq\nr"))
+    after, codes = run_edits(spark, *ops)
+    assert codes == ["ok"] * 4
+    grid_rows = {}
+    for r in after.cells.orderBy("row", "col").collect():
+        grid_rows.setdefault(r["row"], []).append(r["text"])
+    assert grid_rows == {0: ["00", "p", "01"], 1: ["x", "q", "y"], 2: ["20", "r", "new"]}
+
+
+def test_side_rows_and_references(spark):
+    after, codes = run_edits(
+        spark, ("insert_bookmark", 0, "b2", None, None, None), ("insert_cross_ref", 1, "r", None, None, "b2"), ("comment_reply", 0, "c2", "c1", None, "why"), ("comment_resolve", None, "c1", None, None, None), ("rename_bookmark", None, "b1", None, None, "b9")
+    )
+    assert codes == ["ok"] * 5
+    rows = {(r["kind"], r["key"]): (r["parent"], r["text"], r["done"]) for r in after.side.collect()}
+    assert rows["cross_ref", "r"][0] == "b2" and rows["comment", "c2"] == ("c1", "why", False) and rows["comment", "c1"][2] and ("bookmark", "b9") in rows and ("bookmark", "b1") not in rows
+    bad = (
+        ("insert_cross_ref", 0, "r", None, None, "b7"), ("insert_bookmark", 0, "b7", None, None, None), ("insert_bookmark", 0, "b1", None, None, None), ("edit_note", None, "n7", None, None, "x"),
+        ("edit_note", None, "n1", None, "other", "x"), ("edit_note", None, "n1", None, None, "old"), ("apply_style", 0, None, "style", None, "None"), ("set_para_format", 0, None, "align", None, "left"),
+        ("insert_note", 9, "n8", None, None, "x"), ("table_op", None, "T/7", "delete_row", None, None), ("table_op", None, "T/0", "merge_cells", None, None), ("set_image_attrs", None, "i7", "alt", None, "x"),
+    )
+    after, codes = run_edits(spark, *bad)
+    assert codes == ["reference_not_found", "ok", "duplicate_target", "target_not_found", "stale_edit", "no_op_edit", "reference_not_found", "no_op_edit", "anchor_not_found", "target_not_found", "unsupported_op", "reference_not_found"]
+    assert after.side.count() == len(SIDE)
+
+
+def test_properties_keep_what_was_there(spark):
+    after, codes = run_edits(spark, ("set_para_format", 0, None, "align", "left", "right"), ("apply_style", 1, None, "style", None, "Title"), ("set_doc_defaults", None, None, "size", None, "24"))
+    assert codes == ["ok"] * 3
+    assert sorted(values(after.properties, "scope", "target", "name", "value", "previous_value"), key=str) == [("document", "", "size", "24", None), ("paragraph", "0", "align", "right", "left"), ("paragraph", "1", "style", "Title", None)]
+
+
+def test_authors_of_revisions_are_not_impersonated(spark):
+    owned = spark.createDataFrame([(1, "me"), (1, "")], "doc_id long, author string")
+    assert run_edits(spark, ("delete", 0, None, None, None, None), owned=owned)[1] == ["author_impersonation"]
+    assert run_edits(spark, ("delete", 0, None, None, None, None), owned=owned.where("author = ''"))[1] == ["ok"]
 
 
 def test_dominant_needs_its_share(spark):
