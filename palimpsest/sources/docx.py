@@ -9,9 +9,12 @@ not a failed job.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +44,7 @@ def parts_of(content: bytes) -> Iterator[tuple[str, bytes]]:
     """IO1: the parts of an archive within the limits; names that repeat, go up or start at a root are refused."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile as e:
+    except (zipfile.BadZipFile, ValueError, OSError) as e:
         raise PackageError("not a package") from e
     entries = [e for e in archive.infolist() if not e.is_dir()]
     if len(entries) > MOST_ENTRIES:
@@ -56,8 +59,11 @@ def parts_of(content: bytes) -> Iterator[tuple[str, bytes]]:
         if name.lower() in seen:
             raise PackageError("repeated name")
         seen.add(name.lower())
-        with archive.open(e) as f:
-            data = f.read(MOST_PART_BYTES + 1)
+        try:
+            with archive.open(e) as f:
+                data = f.read(MOST_PART_BYTES + 1)
+        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError) as e:
+            raise PackageError("damaged entry") from e
         if len(data) > MOST_PART_BYTES:
             raise PackageError("too large")
         yield name, data
@@ -72,18 +78,44 @@ def packed(parts: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
+def _refused_doctype(*_) -> None:
+    raise PackageError("document type")
+
+
+def without_doctype(data: bytes) -> None:
+    """Refuses a document type wherever it stands and however the bytes are encoded, before any entity is read."""
+    parser = expat.ParserCreate()
+    parser.StartDoctypeDeclHandler = _refused_doctype
+    try:
+        parser.Parse(data, True)
+    except expat.ExpatError as e:
+        raise PackageError(f"malformed: {e}") from e
+
+
 def safe_events(data: bytes, events: tuple[str, ...] = ("start", "end")) -> Iterator[tuple[str, ElementTree.Element, int]]:
-    """IO6: parse events with depth; document types and deep nesting are refused."""
-    if b"<!DOCTYPE" in data[:4096].upper():
-        raise PackageError("document type")
+    """IO6: parse events with depth; document types, deep nesting and malformed text are refused."""
+    without_doctype(data)
     depth = 0
-    for event, element in ElementTree.iterparse(io.BytesIO(data), events=("start", "end")):
-        depth += event == "start"
-        if depth > MOST_DEPTH:
-            raise PackageError("too deep")
-        if event in events:
-            yield event, element, depth
-        depth -= event == "end"
+    try:
+        for event, element in ElementTree.iterparse(io.BytesIO(data), events=("start", "end", *(e for e in events if e not in ("start", "end")))):
+            depth += event == "start"
+            if depth > MOST_DEPTH:
+                raise PackageError("too deep")
+            if event in events:
+                yield event, element, depth
+            depth -= event == "end"
+    except ElementTree.ParseError as e:
+        raise PackageError(f"malformed: {e}") from e
+
+
+def tree(data: bytes) -> ElementTree.Element:
+    """IO6: the root of a part, within the limits; all parts are read through this or through :func:`safe_events`."""
+    root = None
+    for _, element, _ in safe_events(data, ("start",)):
+        root = element if root is None else root
+    if root is None:
+        raise PackageError("malformed: no element")
+    return root
 
 
 def body_blocks(data: bytes) -> Iterator[ElementTree.Element]:
@@ -158,10 +190,12 @@ def block_row(block: ElementTree.Element) -> tuple[str, str | None, int | None,
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """Packages under ``path`` as (doc_id, content): the file's name is the id."""
+    """Packages under ``path`` as (doc_id, content): the file's path from there on is the id, so that folders may hold equal names."""
     share_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("doc_id"), "content")
+    root = re.sub(r"^[a-z0-9]+:/*", "/", path).rstrip("/")
+    above = "^.*" + re.sub(r"([^A-Za-z0-9_/])", r"\\\1", root) + "/"
+    return files.select(F.regexp_replace("path", above, "").alias("doc_id"), "content")
 
 
 def _mapped(packages: DataFrame, schema: str, rows) -> DataFrame:
@@ -190,6 +224,22 @@ def parts(packages: DataFrame) -> DataFrame:
     return _mapped(packages, PARTS, rows)
 
 
+def parts_or_none(content: bytes) -> list[tuple[str, bytes]]:
+    """The parts, or none of a package that :func:`parts` has an error row for; parts that do not parse are left out if they are XML."""
+    out = []
+    try:
+        for name, data in parts_of(content):
+            if name.endswith((".xml", ".rels")):
+                try:
+                    without_doctype(data)
+                except PackageError:
+                    continue
+            out.append((name, data))
+    except PackageError:
+        return []
+    return out
+
+
 def _main(content: bytes) -> bytes | None:
     return next((data for name, data in parts_of(content) if name.lower() == MAIN_PART), None)
 
@@ -203,7 +253,7 @@ def blocks(packages: DataFrame) -> DataFrame:
             if main is None:
                 raise PackageError("no main part")
             return [(doc, n, *block_row(b)) for n, b in enumerate(x for x in body_blocks(main) if x.tag != f"{W}sectPr")]
-        except (PackageError, ElementTree.ParseError) as e:
+        except PackageError as e:
             return [(doc, -1, "error", None, None, None, None, str(e))]
 
     return _mapped(packages, BLOCKS, rows)
@@ -217,7 +267,7 @@ def spans(packages: DataFrame) -> DataFrame:
             main = _main(content)
             found = enumerate(x for x in body_blocks(main or b"<x/>") if x.tag != f"{W}sectPr")
             return [(doc, n, k, *s) for n, b in found for k, s in enumerate(merged_spans(b))]
-        except (PackageError, ElementTree.ParseError):
+        except PackageError:
             return []
 
     return _mapped(packages, SPANS, rows)
@@ -229,10 +279,10 @@ def relationships(package_parts: DataFrame) -> DataFrame:
 
     def rows(doc: str, content: bytes):
         out = []
-        for name, data in parts_of(content):
+        for name, data in parts_or_none(content):
             if name.endswith(".rels"):
                 folder, _, base = name.rpartition("_rels/")
-                for r in ElementTree.fromstring(data).iter(f"{RELS}Relationship"):
+                for r in tree(data).iter(f"{RELS}Relationship"):
                     out.append((doc, folder + base.removesuffix(".rels"), r.get("Id"), (r.get("Type") or "").rpartition("/")[2], r.get("Target"), r.get("TargetMode")))
         return out
 
@@ -244,10 +294,10 @@ def content_types(packages: DataFrame) -> DataFrame:
     schema = "doc_id string, sort string, name string, content_type string"
 
     def rows(doc: str, content: bytes):
-        data = next((d for n, d in parts_of(content) if n == "[Content_Types].xml"), None)
+        data = next((d for n, d in parts_or_none(content) if n == "[Content_Types].xml"), None)
         if data is None:
             return []
-        return [(doc, "default" if e.tag.endswith("Default") else "override", e.get("Extension") or e.get("PartName"), e.get("ContentType")) for e in ElementTree.fromstring(data)]
+        return [(doc, "default" if e.tag.endswith("Default") else "override", e.get("Extension") or e.get("PartName"), e.get("ContentType")) for e in tree(data)]
 
     return _mapped(packages, schema, rows)
 
@@ -258,9 +308,9 @@ def properties(packages: DataFrame) -> DataFrame:
 
     def rows(doc: str, content: bytes):
         out = []
-        for name, data in parts_of(content):
+        for name, data in parts_or_none(content):
             if name.lower() in ("docprops/core.xml", "word/settings.xml"):
-                for e in ElementTree.fromstring(data):
+                for e in tree(data):
                     out.append((doc, name, e.tag.rpartition("}")[2], e.text or e.get(f"{W}val")))
         return out
 
@@ -299,6 +349,45 @@ def package(paragraphs: list[str]) -> bytes:
     return packed({"[Content_Types].xml": types.encode(), "_rels/.rels": rels.encode(), MAIN_PART: document_xml(paragraphs)})
 
 
+def write_parts(documents: DataFrame) -> DataFrame:
+    """IO2: (doc_id, content) of (doc_id, parts): an array of structs (name, text), in the archive's order."""
+    share_package(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = [packed({p["name"]: p["text"].encode() for p in doc or []}) for doc in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], ["doc_id", "content"])
+
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "parts").mapInArrow(run, "doc_id string, content binary")
+
+
+def with_parts(packages: DataFrame, changes: DataFrame) -> DataFrame:
+    """IO3: packages with parts replaced or added: ``changes`` (doc_id, part_name, data); names are compared without case.
+
+    A part keeps its place and the name that it had; new ones follow in order of name. Rows: (doc_id, content, outcome).
+    """
+    share_package(packages.sparkSession)
+    wanted = changes.groupBy(F.col("doc_id")).agg(F.array_sort(F.collect_list(F.struct("part_name", "data"))).alias("changes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, said = [], []
+            for content, changed in zip(batch.column(1), batch.column(2).to_pylist()):
+                try:
+                    parts, own = dict(parts_of(content.as_py() or b"")), {}
+                    own = {n.lower(): n for n in parts}
+                    for c in changed or []:
+                        parts[own.get(c["part_name"].lower(), c["part_name"])] = c["data"]
+                    out.append(packed(parts))
+                    said.append("written" if changed else "unchanged")
+                except PackageError as e:
+                    out.append(None)
+                    said.append(str(e))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(said, pa.string())], ["doc_id", "content", "outcome"])
+
+    return packages.select("doc_id", "content").join(wanted, "doc_id", "left").mapInArrow(run, "doc_id string, content binary, outcome string")
+
+
 def write_packages(texts: DataFrame) -> DataFrame:
     """IO8: (doc_id, content) of (doc_id, segments): each document's paragraphs as arrays of (status, text)."""
     share_package(texts.sparkSession)

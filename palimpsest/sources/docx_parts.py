@@ -8,7 +8,7 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame
 
 from palimpsest.functions.kernels import parse_field
-from palimpsest.sources.docx import MAIN_PART, W, PackageError, _mapped, body_blocks, parts_of
+from palimpsest.sources.docx import MAIN_PART, W, PackageError, _mapped, body_blocks, parts_of, tree
 
 #: The namespaces of comment threads and of drawings.
 W15 = "{http://schemas.microsoft.com/office/word/2012/wordml}"
@@ -24,8 +24,8 @@ OPAQUE = "doc_id string, pos int, kind string, name string, value string, width
 def _part(content: bytes, name: str) -> ElementTree.Element | None:
     try:
         data = next((d for n, d in parts_of(content) if n.lower() == name), None)
-        return None if data is None else ElementTree.fromstring(data)
-    except (PackageError, ElementTree.ParseError):
+        return None if data is None else tree(data)
+    except PackageError:
         return None
 
 
@@ -114,7 +114,7 @@ def opaque(packages: DataFrame) -> DataFrame:
                     extent, props = next(d.iter(f"{WP}extent"), None), next(d.iter(f"{WP}docPr"), None)
                     size = (None, None) if extent is None else (_int(extent.get("cx")), _int(extent.get("cy")))
                     out.append((doc, pos, "drawing", None if props is None else props.get("name"), None if props is None else props.get("descr"), *size))
-        except (PackageError, ElementTree.ParseError):
+        except PackageError:
             pass
         return out
 

@@ -1,13 +1,15 @@
 """Resolution inside packages (M4-M7, M16, IO11, IO12): accept or reject everything, on the XML itself.
 
-A cheap search of the bytes decides whether a package has revisions at all; one
-without is passed on as it is. Paragraphs whose mark goes away merge into the next
+A search of the bytes decides whether a package can have revisions at all, whatever
+its prefixes and encoding; one without is passed on as it is. Paragraphs whose mark goes away merge into the next
 one, whose properties win.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -16,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.session import share_package
-from palimpsest.sources.docx import W, PackageError, _mapped, packed, parts_of
+from palimpsest.sources.docx import W, PackageError, _mapped, packed, parts_of, safe_events, tree
 
-#: What marks a revision in the bytes of a part, and wrappers by what accepting does.
-MARKS = (b"<w:ins ", b"<w:del ", b"<w:moveFrom ", b"<w:moveTo ", b"PrChange ", b"<w:cellIns", b"<w:cellDel")
+#: What marks a revision: elements under any prefix, with wrappers by what accepting does.
+MARKS = re.compile(rb"<(?:[^\s<>/:]+:)?(?:ins|del|moveFrom|moveTo|cellIns|cellDel|cellMerge|numberingChange|[A-Za-z]+PrChange|tblGridChange)[\s/>]")
 ADDED, REMOVED = (f"{W}ins", f"{W}moveTo"), (f"{W}del", f"{W}moveFrom")
-#: Prefixes that written parts keep; the search of bytes above relies on the first.
+#: Prefixes that written parts keep.
 for prefix, uri in {
     "w": W[1:-1],
     "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
@@ -32,25 +34,44 @@ for prefix, uri in {
     "w14": "http://schemas.microsoft.com/office/word/2010/wordml",
 }.items():
     ElementTree.register_namespace(prefix, uri)
-COUNTS = "doc_id string, part string, insertions long, deletions long, moves long, property_changes long, cells long, comment_anchors long"
+COUNTS = "doc_id string, part string, insertions long, deletions long, moves long, property_changes long, cells long, comment_anchors long, error string"
 
 
 def has_revisions(data: bytes) -> bool:
-    return any(m in data for m in MARKS)
+    """Whether a part may hold revisions; one in another encoding than UTF-8 may."""
+    head = data[:200]
+    plain = not head.startswith((b"\xff\xfe", b"\xfe\xff")) and (b"encoding" not in head or re.search(rb"encoding\s*=\s*[\"'](?:utf-8|us-ascii)", head, re.I) is not None)
+    return not plain or MARKS.search(data) is not None
+
+
+def counted_part(data: bytes) -> list[int]:
+    """Insertions, deletions, moves, property changes, cells and comment anchors of a part, by name and namespace."""
+    counts = [0] * 6
+    for _, element, _ in safe_events(data, ("start",)):
+        name = element.tag.removeprefix(W)
+        if name == element.tag:
+            continue
+        for k, some in enumerate((("ins",), ("del",), ("moveFrom", "moveTo"), (), ("cellIns", "cellDel"), ("commentRangeStart",))):
+            counts[k] += name in some
+        counts[3] += name.endswith("PrChange")
+    return counts
 
 
 def preflight(packages: DataFrame) -> DataFrame:
-    """IO12, A1: counters of each part, without parsing it."""
+    """IO12, A1: counters of each part. A part or package that cannot be read has a row with an error."""
 
     def rows(doc: str, content: bytes):
+        out = []
         try:
-            return [
-                (doc, n, d.count(b"<w:ins "), d.count(b"<w:del "), d.count(b"<w:moveFrom ") + d.count(b"<w:moveTo "), d.count(b"PrChange "), d.count(b"<w:cellIns") + d.count(b"<w:cellDel"), d.count(b"<w:commentRangeStart"))
-                for n, d in parts_of(content)
-                if n.startswith("word/") and n.endswith(".xml")
-            ]
-        except PackageError:
-            return []
+            for n, d in parts_of(content):
+                if n.startswith("word/") and n.endswith(".xml"):
+                    try:
+                        out.append((doc, n, *(counted_part(d) if has_revisions(d) or b"commentRangeStart" in d else [0] * 6), None))
+                    except PackageError as e:
+                        out.append((doc, n, *[None] * 6, str(e)))
+        except PackageError as e:
+            return [(doc, None, *[None] * 6, str(e))]
+        return out
 
     return _mapped(packages, COUNTS, rows)
 
@@ -106,7 +127,7 @@ def resolved_xml(data: bytes, accept: bool) -> bytes:
     """M5-M7 on one part."""
     if not has_revisions(data):
         return data
-    root = ElementTree.fromstring(data)
+    root = tree(data)
     merges = {id(p) for p in root.iter(f"{W}p") if _mark(p, accept)}
     _resolve(root, accept)
     for parent in root.iter():
@@ -139,7 +160,7 @@ def resolved(packages: DataFrame, accept: bool) -> DataFrame:
             if not any(has_revisions(d) for n, d in parts.items() if n.endswith(".xml")):
                 return content, "unchanged"
             return packed({n: resolved_xml(d, accept) if n.startswith("word/") and n.endswith(".xml") else d for n, d in parts.items()}), "resolved"
-        except (PackageError, ElementTree.ParseError) as e:
+        except PackageError as e:
             return None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +172,30 @@ def resolved(packages: DataFrame, accept: bool) -> DataFrame:
 
 
 def commit_new(packages: DataFrame, target: str) -> DataFrame:
-    """IO11: writes to a folder that must not exist, reads it back, and returns (doc_id, sha256, bytes, verified)."""
-    packages.select("doc_id", "content").write.mode("errorifexists").parquet(target)
-    back = packages.sparkSession.read.schema("doc_id string, content binary").parquet(target)
-    wrote = packages.select("doc_id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
-    read = back.select("doc_id", F.sha2("content", 256).alias("read"))
-    return wrote.join(read, "doc_id", "left").select("doc_id", "sha256", "bytes", F.coalesce(F.col("sha256") == F.col("read"), F.lit(False)).alias("verified"))
+    """IO11: writes to a folder that must not exist, and returns (doc_id, sha256, bytes, verified).
+
+    Rows are written once, with their digests, to a folder beside the target, read
+    back and checked; only if all hold is the folder renamed. Else it is removed,
+    and the rows that failed are in the error.
+    """
+    spark = packages.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path(target)):
+        raise FileExistsError(f"{target} exists")
+    staged = f"{target.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    schema = "doc_id string, content binary, sha256 string, bytes long"
+    try:
+        packages.select("doc_id", "content", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes")).write.parquet(staged)
+        back = spark.read.schema(schema).parquet(staged)
+        bad = back.where((F.sha2("content", 256) != F.col("sha256")) | (F.octet_length("content") != F.col("bytes"))).select("doc_id").limit(5).collect()
+        if bad:
+            raise OSError(f"written rows differ: {[r['doc_id'] for r in bad]}")
+        if fs.exists(path(target)) or not fs.rename(path(staged), path(target)):
+            raise FileExistsError(f"{target} exists")
+    finally:
+        fs.delete(path(staged), True)
+    return spark.read.schema(schema).parquet(target).select("doc_id", "sha256", "bytes", F.lit(True).alias("verified"))
 
 
 def digest(content: bytes) -> str:

@@ -272,7 +272,18 @@ def test_hostile_packages_are_rows(spark):
     deep = docx.packed({docx.MAIN_PART: b"<a>" * 600 + b"</a>" * 600})
     df = packages(spark, b"no zip", bomb, twice)
     assert [e for e in values(docx.parts(df), "error")] == ["not a package", "path leaves the package", "repeated name"]
-    assert values(docx.blocks(packages(spark, typed, deep, docx.packed({"x": b""}))), "block_type", "text") == [("error", "document type"), ("error", "too deep"), ("error", "no main part")]
+    late = docx.packed({docx.MAIN_PART: b"<!--" + b"x" * 5000 + b"--><!DOCTYPE x [<!ENTITY e 'boom'>]><x>&e;</x>"})
+    wide = docx.packed({docx.MAIN_PART: "<?xml version='1.0' encoding='utf-16'?><!DOCTYPE x><x/>".encode("utf-16")})
+    cut = docx.packed({docx.MAIN_PART: b"<a><b></a>"})
+    got = values(docx.blocks(packages(spark, typed, deep, docx.packed({"x": b""}), late, wide, cut)), "block_type", "text")
+    assert got[:5] == [("error", "document type"), ("error", "too deep"), ("error", "no main part"), ("error", "document type"), ("error", "document type")] and got[5][1].startswith("malformed")
+
+
+def test_equal_names_in_two_folders_are_two_documents(spark, tmp_path):
+    for folder in ("a b", "c"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.docx").write_bytes(docx.package([docx.paragraph_xml([("normal", folder)])]))
+    assert docx.blocks(docx.read_packages(spark, str(tmp_path))).select("doc_id").distinct().count() == 2
 
 
 def test_html_is_tolerant():

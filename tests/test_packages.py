@@ -42,8 +42,36 @@ def test_property_changes_are_settled(spark):
 
 
 def test_preflight_counts(spark):
-    got = docx_resolve.preflight(packages(spark, with_parts(TRACKED), b"bad")).collect()
-    assert [(r["insertions"], r["deletions"]) for r in got] == [(2, 4)]
+    got = docx_resolve.preflight(packages(spark, with_parts(TRACKED), b"bad", docx.packed({docx.MAIN_PART: b"<a><w:ins></a>"}))).collect()
+    assert [(r["insertions"], r["deletions"], r["error"] is None) for r in got] == [(2, 4, True), (None, None, False), (None, None, False)]
+
+
+def test_revisions_are_found_under_any_prefix(spark):
+    other = f'<x:document xmlns:x="{docx.W[1:-1]}"><x:body><x:p><x:ins\nx:id="1"><x:r><x:t>new</x:t></x:r></x:ins></x:p></x:body></x:document>'
+    default = other.replace("xmlns:x=", "xmlns=").replace("<x:", "<").replace("</x:", "</").replace("x:id", "id")
+    wide = "<?xml version='1.0' encoding='utf-16'?>" + other
+    contents = [docx.packed({docx.MAIN_PART: c}) for c in (other.encode(), default.encode(), wide.encode("utf-16"))]
+    assert values(docx_resolve.preflight(packages(spark, *contents)), "insertions") == [1, 1, 1]
+    done = docx_resolve.resolved(packages(spark, *contents), accept=False)
+    assert values(done, "outcome") == ["resolved"] * 3
+    assert all(b"new" not in d for r in done.collect() for _, d in docx.parts_of(r["content"]))
+
+
+def test_hostile_packages_do_not_fail_resolution(spark):
+    deep = docx.packed({docx.MAIN_PART: (f'<w:p {NS}>' + "<w:ins>" * 3000 + "</w:ins>" * 3000 + "</w:p>").encode()})
+    typed = docx.packed({docx.MAIN_PART: b"<!DOCTYPE x [<!ENTITY e 'y'>]><x><ins /></x>"})
+    nested = docx.packed({docx.MAIN_PART: (f'<w:p {NS}>' + "<w:ins>" * 500 + "<w:r/>" + "</w:ins>" * 500 + "</w:p>").encode()})
+    assert values(docx_resolve.resolved(packages(spark, deep, typed, b"", nested), True), "outcome") == ["too deep", "document type", "not a package", "resolved"]
+    assert docx.relationships(packages(spark, deep, typed, b"")).count() == 0 and docx.properties(packages(spark, b"x", deep)).count() == 0
+
+
+def test_parts_are_replaced_and_added(spark):
+    df = packages(spark, docx.package([docx.paragraph_xml([("normal", "old")])]), b"bad")
+    changes = spark.createDataFrame([("0", "WORD/document.xml", bytearray(docx.document_xml([docx.paragraph_xml([("normal", "new")])]))), ("0", "word/extra.xml", bytearray(b"<x/>"))], "doc_id string, part_name string, data binary")
+    done = docx.with_parts(df, changes)
+    assert sorted(values(done, "doc_id", "outcome")) == [("0", "written"), ("1", "not a package")]
+    good = done.where("content is not null")
+    assert values(docx.blocks(good), "text") == ["new"] and values(docx.parts(good).orderBy("part_name"), "part_name") == ["[Content_Types].xml", "_rels/.rels", "word/document.xml", "word/extra.xml"]
 
 
 def test_commit_refuses_what_exists(spark, tmp_path):
