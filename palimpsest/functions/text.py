@@ -59,6 +59,22 @@ def occurrences(text: Column, needle: str) -> Column:
     return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("long")
 
 
+def match_positions(text: Column, needle: str) -> Column:
+    """where each of the non-overlapping matches from the left begins, from 0."""
+    pieces = F.split(text, quoted(needle), -1)
+    starts = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda a, x: a + F.char_length(x)) + (k - 1) * len(needle))
+    return F.when(F.size(pieces) > 1, starts).otherwise(F.array().cast("array<int>"))
+
+
+def folded_pattern(needle: str) -> str:
+    """``needle`` as a regular expression whose spaces, apostrophes and quotation marks match all that fold to them."""
+    out = ""
+    for c in needle.translate(str.maketrans(FOLDED_FROM, FOLDED_TO)):
+        alike = "".join(a for a, b in zip(FOLDED_FROM, FOLDED_TO) if b == c)
+        out += f"[{c}{alike}]" if alike else quoted(c)
+    return out
+
+
 def quoted(needle: str) -> str:
     """``needle`` as a literal regular expression, without engine-specific quoting."""
     return "".join("\\" + c if c in "\\.^$|?*+()[]{}-" else c for c in needle)
@@ -90,13 +106,20 @@ def excerpt(text: Column, needle: str, radius: int = EXCERPT_RADIUS) -> Column:
 
 
 def letters(n: Column) -> Column:
-    """F16: bijective base 26 (a..z, aa..), '' for 0; up to three letters."""
-    def letter(x: Column) -> Column:
-        return F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(x, F.lit(26)).cast("int") + 1, F.lit(1))
-
-    return F.when(n <= 0, "").when(n <= 26, letter(n - 1)).when(n <= 702, F.concat(letter(F.floor((n - 27) / 26)), letter(n - 1))).otherwise(
-        F.concat(letter(F.floor((n - 703) / 676)), letter(F.floor((n - 27) / 26)), letter(n - 1))
-    )
+    """F16: bijective base 26 (a..z, aa..), '' for 0 and below; any 64-bit number."""
+    n = n.cast("long")
+    # Numbers of k letters begin at (26^k - 1) / 25.
+    first = [(26**k - 1) // 25 for k in range(1, 14)]
+
+    def of(k: int) -> Column:
+        rest = n - F.lit(first[k - 1])
+        digits = (F.pmod(F.call_function("div", rest, F.lit(26**p)), F.lit(26)).cast("int") for p in range(k - 1, -1, -1))
+        return F.concat(*(F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), d + 1, F.lit(1)) for d in digits))
+
+    out = F.when(n < 1, "")
+    for k in range(1, 13):
+        out = out.when(n < first[k], of(k))
+    return out.otherwise(of(13))
 
 
 #: Signs of roman numerals by decimal place.

@@ -46,35 +46,88 @@ def word_diff(old: Column, new: Column) -> Column:
     return run(old, new)
 
 
-ALIGNED = pa.schema([("doc_id", pa.int64()), ("seq", pa.int32()), ("change_type", pa.string()), ("base_pos", pa.int32()), ("target_pos", pa.int32()), ("old_text", pa.string()), ("new_text", pa.string())])
-
-
 def gathered(blk: DataFrame, name: str) -> DataFrame:
     """A row per document: its blocks in order, as an array of (pos, text)."""
     return blk.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "text"))).alias(name))
 
 
-def aligned(base: DataFrame, target: DataFrame) -> DataFrame:
-    """(doc_id, seq, change_type, base_pos, target_pos, old_text, new_text), a row per pair or single block.
+CHANGE = "struct<seq:int,change_type:string,base_pos:int,target_pos:int,old_text:string,new_text:string,ops:" + CHANGES + ">"
+
+
+def change_rows(old: list[str], new: list[str], words: bool = True) -> list[dict]:
+    """The changes of one document, in order, with the word changes of modified lines."""
+    rows = []
+    for n, (kind, i, j) in enumerate(align(old, new, block_similarity)):
+        a, b = None if i is None else old[i], None if j is None else new[j]
+        row = {"seq": n, "change_type": kind, "base_pos": i, "target_pos": j, "old_text": a, "new_text": b, "ops": None}
+        if words and kind == "modified":
+            row["ops"] = [{"op": op, "text": t} for op, t in word_changes(a, b)]
+        rows.append(row)
+    return rows
+
+
+def compared(pairs: DataFrame, words: bool = True) -> DataFrame:
+    """(doc_id, changes) of (doc_id, old, new), both versions' lines as arrays: a row per document, and no shuffle.
 
-    Both versions of a document meet in one row of a join, and rows stream through
-    the kernel in Arrow batches; no group is set up per document.
+    Alignment and word changes are one Arrow pass. ``words=False`` leaves word changes out.
     """
-    share_package(base.sparkSession)
+    share_package(pairs.sparkSession)
+    kind = pa.struct([("seq", pa.int32()), ("change_type", pa.string()), ("base_pos", pa.int32()), ("target_pos", pa.int32()), ("old_text", pa.string()), ("new_text", pa.string()), ("ops", pa.list_(pa.struct([("op", pa.string()), ("text", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, old, new in zip(*(c.to_pylist() for c in batch.columns)):
-                old, new = old or [], new or []
-                for n, (kind, i, j) in enumerate(align([x["text"] for x in old], [x["text"] for x in new], block_similarity)):
-                    a, b = (None if i is None else old[i]), (None if j is None else new[j])
-                    rows.append((doc, n, kind, a and a["pos"], b and b["pos"], a and a["text"], b and b["text"]))
-            columns = list(zip(*rows)) or [()] * len(ALIGNED)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ALIGNED)], schema=ALIGNED)
-
-    both = gathered(base, "old").join(gathered(target, "new"), "doc_id", "full").select(F.col("doc_id").cast("long").alias("doc_id"), "old", "new")
-    return both.mapInArrow(run, "doc_id long, seq int, change_type string, base_pos int, target_pos int, old_text string, new_text string")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [change_rows(old or [], new or [], words) for old, new in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(kind))], ["doc_id", "changes"])
+
+    return pairs.select(F.col("doc_id").cast("long").alias("doc_id"), "old", "new").mapInArrow(run, f"doc_id long, changes array<{CHANGE}>")
+
+
+def changes_of(rows: DataFrame) -> DataFrame:
+    """The changes of :func:`compared` as rows."""
+    return rows.select("doc_id", F.explode("changes").alias("c")).select("doc_id", "c.seq", "c.change_type", "c.base_pos", "c.target_pos", "c.old_text", "c.new_text")
+
+
+def _whole(op: str, text: Column) -> Column:
+    return F.array(F.struct(F.lit(op).alias("op"), F.coalesce(text, F.lit("")).alias("text"))).cast(CHANGES)
+
+
+def _ops(change: Column) -> Column:
+    """A change's word changes; of what is not modified, one run."""
+    kind = change["change_type"]
+    return F.when(kind == "modified", change["ops"]).when(kind == "matched", _whole("equal", change["old_text"])).when(kind == "deleted", _whole("delete", change["old_text"])).otherwise(_whole("insert", change["new_text"]))
+
+
+def inline_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, seq, base_pos, target_pos, change_type, n, op, text) of :func:`compared`."""
+    flat = rows.select("doc_id", F.explode("changes").alias("c"))
+    out = flat.select("doc_id", "c.seq", "c.base_pos", "c.target_pos", "c.change_type", F.posexplode_outer(_ops(F.col("c"))).alias("n", "o"))
+    return out.select("doc_id", "seq", "base_pos", "target_pos", "change_type", "n", F.col("o.op").alias("op"), F.coalesce("o.text", F.lit("")).alias("text"))
+
+
+def rebuilt_rows(rows: DataFrame, accept: bool) -> DataFrame:
+    """Law: either version's text from the changes of :func:`compared`, in the row."""
+    side, pos = ("delete", "target_pos") if accept else ("insert", "base_pos")
+
+    def line(c: Column) -> Column:
+        kept = F.transform(F.filter(_ops(c), lambda o: o["op"] != side), lambda o: o["text"])
+        return F.struct(c[pos].alias("pos"), F.array_join(kept, "").alias("text"))
+
+    placed = F.array_sort(F.transform(F.filter("changes", lambda c: c[pos].isNotNull()), line))
+    return rows.select("doc_id", F.array_join(F.transform(placed, lambda x: x["text"]), "\n").alias("text"))
+
+
+def aligned(base: DataFrame, target: DataFrame) -> DataFrame:
+    """D1-D5 for tables of blocks: (doc_id, seq, change_type, base_pos, target_pos, old_text, new_text), positions being the tables' own."""
+
+    def lines(name: str) -> Column:
+        return F.transform(F.coalesce(name, F.array().cast("array<struct<pos:int,text:string>>")), lambda x: x["text"])
+
+    both = gathered(base, "a").join(gathered(target, "b"), "doc_id", "full")
+    found = changes_of(compared(both.select("doc_id", lines("a").alias("old"), lines("b").alias("new")), words=False))
+    places = both.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform("a", lambda x: x["pos"]).alias("a_pos"), F.transform("b", lambda x: x["pos"]).alias("b_pos"))
+    return found.join(places, "doc_id").withColumn("base_pos", F.get("a_pos", "base_pos")).withColumn("target_pos", F.get("b_pos", "target_pos")).drop("a_pos", "b_pos")
 
 
 def with_unrelated_split(changes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ Refusals are rows with a code, never exceptions and never dropped.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,7 +19,11 @@ from palimpsest.session import share_package
 
 @dataclass(frozen=True)
 class Item:
-    """A change of a worklist: ``old`` becomes ``new`` where it stands exactly ``expected`` times in a document."""
+    """A change of a worklist: ``old`` becomes ``new`` where it stands exactly ``expected`` times in a document.
+
+    With ``fold``, spaces, apostrophes and quotation marks match their like, and what
+    does not match stays as it is written (F14).
+    """
 
     id: str
     old: str
@@ -28,6 +32,35 @@ class Item:
     fold: bool = False
 
 
+def matches(item: Item) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Of a text column: how often an item matches (F12), and the text with it replaced."""
+    if not item.fold:
+        return lambda text: T.occurrences(text, item.old), lambda text: F.replace(text, F.lit(item.old), F.lit(item.new))
+    pattern = T.folded_pattern(item.old)
+    new = item.new.replace("\\", "\\\\").replace("$", "\\$")
+    return lambda text: F.regexp_count(text, F.lit(pattern)).cast("long"), lambda text: F.regexp_replace(text, pattern, new)
+
+
+def gate(found: Column, item: Item) -> Column:
+    """The outcome of an item by its matches in the whole document."""
+    return F.when(found == 0, "unreachable_match").when(found != item.expected, "match_count_mismatch").when(F.lit(item.old == item.new), "no_op").otherwise("applied")
+
+
+def in_scope(blk: DataFrame, tables: bool = False, between: tuple[int, int] | None = None) -> DataFrame:
+    """The blocks that an item may reach: those of the body outside tables, or with them; of an inclusive range, or of one block as (n, n).
+
+    ``blk`` may have a column block_type; without it all blocks are paragraphs.
+    """
+    out = blk
+    if not tables and "block_type" in blk.columns:
+        out = out.where(F.col("block_type") != "table")
+    if between is not None:
+        if between[0] > between[1]:
+            raise ValueError("reversed range")
+        out = out.where(F.col("pos").between(*between))
+    return out
+
+
 #: Changes of a worklist at most.
 MOST_ITEMS = 100
 
@@ -41,15 +74,14 @@ def checked(items: list[Item]) -> list[Item]:
 def replace_gated(blk: DataFrame, item: Item) -> DataFrame:
     """The blocks of each document that has the text exactly as often as expected, with it replaced.
 
-    The census is a window over the document on counts alone; the text is changed
-    only on rows that passed, and only where it matches.
+    For tables that arrive as blocks: the census is a window over the document. Where
+    documents are rows, :func:`palimpsest.operators.lines.replace_gated` needs none.
     """
-    n = T.occurrences(F.col("text"), item.old)
-    counted = blk.withColumn("n", n).withColumn("found", F.sum("n").over(Window.partitionBy("doc_id")))
-    code = F.when(F.col("found") == 0, "unreachable_match").when(F.col("found") != item.expected, "match_count_mismatch").when(F.lit(item.old == item.new), "no_op").otherwise("applied")
-    hit = counted.where((F.col("n") > 0) | ((F.col("found") == 0) & (F.col("pos") == 0))).withColumn("outcome", code)
-    after = F.when(F.col("outcome") == "applied", F.replace("text", F.lit(item.old), F.lit(item.new)))
-    return hit.select("doc_id", "pos", F.col("found").alias("n_found"), "outcome", after.alias("new_text"), F.when(F.col("n") > 0, T.excerpt(F.col("text"), item.old)).alias("excerpt"))
+    n, after = matches(item)
+    counted = blk.withColumn("n", n(F.col("text"))).withColumn("found", F.sum("n").over(Window.partitionBy("doc_id")))
+    hit = counted.where((F.col("n") > 0) | ((F.col("found") == 0) & (F.col("pos") == 0))).withColumn("outcome", gate(F.col("found"), item))
+    new = F.when(F.col("outcome") == "applied", after(F.col("text")))
+    return hit.select("doc_id", "pos", F.col("found").alias("n_found"), "outcome", new.alias("new_text"), F.when(F.col("n") > 0, T.excerpt(F.col("text"), item.old)).alias("excerpt"))
 
 
 def replace_all(blk: DataFrame, word: str, new: str) -> DataFrame:
@@ -68,11 +100,14 @@ def straddling(segments: DataFrame, needle: str) -> DataFrame:
     return joined.select("doc_id", across.alias("across"), "inside").where("across > inside")
 
 
+def without_label(text: str) -> str:
+    return re.sub("^\\s*\\(?[0-9A-Za-z]{1,4}\\)\\s+", "", text)
+
+
 def diagnosis(blk: DataFrame, item: Item, scope_last: int) -> DataFrame:
-    """U4: why documents have no match in blocks up to ``scope_last``: already applied, out of scope, folding, label, none."""
+    """U4: why documents have no match in blocks up to ``scope_last``: already applied, out of scope, folding, label, across blocks, none."""
     text, inside = F.col("text"), F.col("pos") <= scope_last
-    label = "^\\s*\\(?[0-9A-Za-z]{1,4}\\)\\s+"
-    bare = re.sub(label, "", item.old)
+    bare = without_label(item.old)
 
     def some(test: Column) -> Column:
         return F.coalesce(F.bool_or(test), F.lit(False))
@@ -83,8 +118,9 @@ def diagnosis(blk: DataFrame, item: Item, scope_last: int) -> DataFrame:
         some(~inside & F.contains(text, F.lit(item.old))).alias("outside"),
         some(inside & F.contains(T.fold(text), T.fold(F.lit(item.old)))).alias("folded"),
         some(inside & F.contains(text, F.lit(bare)) & F.lit(bare != item.old)).alias("label"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(inside, F.struct("pos", "text")))), lambda r: r["text"]), "").alias("joined"),
     )
-    why = F.when(F.col("applied"), "already_applied").when(F.col("outside"), "out_of_scope").when(F.col("folded"), "normalize_ws_matches").when(F.col("label"), "label_strip_matches").otherwise("no_candidate")
+    why = F.when(F.col("applied"), "already_applied").when(F.col("outside"), "out_of_scope").when(F.col("folded"), "normalize_ws_matches").when(F.col("label"), "label_strip_matches").when(F.contains("joined", F.lit(item.old)), "wall_straddle").otherwise("no_candidate")
     return probes.where(~F.col("here")).select("doc_id", why.alias("diagnosis"))
 
 
@@ -121,24 +157,30 @@ def apply_worklist(blk: DataFrame, items: list[Item]) -> DataFrame:
     checked(items)
     share_package(blk.sparkSession)
 
-    schema = "doc_id long, seq int, item string, n_found long, outcome string, n_chars long"
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, *r) for doc, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in folded(lines, items)]
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, schema.split(", "))], [f.split()[0] for f in schema.split(", ")])
+            yield outcome_batch([(doc, *r) for doc, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in folded(lines, items)])
 
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
     texts = blk.groupBy("doc_id").agg(F.transform(ordered, lambda b: b["text"]).alias("lines"))
-    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "lines").mapInArrow(run, schema)
+    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "lines").mapInArrow(run, OUTCOMES)
+
+
+OUTCOMES = "doc_id long, seq int, item string, n_found long, outcome string, n_chars long"
+
+
+def outcome_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = [f.split() for f in OUTCOMES.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
 def folded(lines: list[str], items: list[Item]) -> Iterator[tuple[int, str, int, str, int]]:
     """(seq, item, matches, outcome, characters after) of each item on one document."""
     for seq, item in enumerate(items):
-        n = sum(line.count(item.old) for line in lines)
+        pattern = re.compile(T.folded_pattern(item.old)) if item.fold else None
+        n = sum(len(pattern.findall(line)) if pattern else line.count(item.old) for line in lines)
         if n == 0:
             code = "unreachable_match"
         elif n != item.expected:
@@ -147,10 +189,5 @@ def folded(lines: list[str], items: list[Item]) -> Iterator[tuple[int, str, int,
             code = "no_op"
         else:
             code = "applied"
-            lines = [line.replace(item.old, item.new) for line in lines]
+            lines = [pattern.sub(lambda _, new=item.new: new, line) if pattern else line.replace(item.old, item.new) for line in lines]
         yield seq, item.id, n, code, sum(map(len, lines)) + max(0, len(lines) - 1)
-
-
-def independent(items: list[Item]) -> bool:
-    """Whether the order of items cannot matter: no old text shares a character run with another's old or new text."""
-    return not any(a is not b and (a.old in b.new or a.old in b.old or b.old in a.old or set(a.old) & set(b.new)) for a in items for b in items)

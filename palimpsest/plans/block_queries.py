@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import audit, blocks, diffing, matching, ordered, roles, update
+from palimpsest.operators import audit, blocks, diffing, lines, matching, ordered, roles, update
 from palimpsest.operators.versions import revised
 from palimpsest.plans.registry import query
 
@@ -38,7 +38,7 @@ def blocks_explode(t):
 
 @query(f"WITH {BLK} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS plain FROM blk GROUP BY doc_id")
 def doc_plain_text(t):
-    return blocks.plain_text(blocks.blocks(t.documents))
+    return lines.plain_text(t.documents)
 
 
 @query(
@@ -47,12 +47,12 @@ def doc_plain_text(t):
     "length(text) AS char_len, CAST(strlen(text) AS BIGINT) AS byte_len FROM lv"
 )
 def outline_depth(t):
-    return blocks.outline(blocks.blocks(t.documents))
+    return lines.outline(t.documents)
 
 
 @query(f"WITH {BLK} SELECT doc_id, count(*) AS n_blocks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM blk GROUP BY doc_id")
 def outline_totals(t):
-    return blocks.outline_totals(blocks.blocks(t.documents))
+    return lines.outline_totals(t.documents)
 
 
 @query(
@@ -109,14 +109,14 @@ def high_value_tokens(t):
     "FROM s LEFT JOIN (SELECT * FROM blk WHERE pos BETWEEN 2 AND 4) b USING (doc_id) WHERE n > 4 OR coalesce(pos, 2) = 2"
 )
 def block_window(t):
-    return blocks.window(blocks.blocks(t.documents), 2, 4)
+    return lines.window(t.documents, 2, 4)
 
 
 @query(
     f"WITH {BLK}, s AS (SELECT doc_id, count(*) AS n FROM blk GROUP BY doc_id) SELECT doc_id, pos, text, n > 8 AS has_more, CASE WHEN n > 8 THEN CAST(8 AS BIGINT) END AS next_offset FROM blk JOIN s USING (doc_id) WHERE pos BETWEEN 4 AND 7"
 )
 def page_slice(t):
-    return blocks.pages(blocks.blocks(t.documents), 4, 4)
+    return lines.pages(t.documents, 4, 4)
 
 
 @query(
@@ -143,9 +143,9 @@ def markdown_html(t):
     return blocks.markdown(blocks.blocks(t.documents))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes, 'data:text/plain;base64,' || to_base64(encode(text)) AS data_uri FROM documents")
 def content_identity(t):
-    return blocks.identity(t.documents).drop("data_uri")
+    return blocks.identity(t.documents)
 
 
 # --- updates -----------------------------------------------------------------------------
@@ -160,7 +160,7 @@ _OLD, _NEW = "worthless", "of little worth"
     f"SELECT doc_id, pos, n_found, outcome, CASE WHEN outcome = 'applied' THEN replace(text, '{_OLD}', '{_NEW}') END AS new_text, CASE WHEN n > 0 THEN (CASE WHEN s > 1 THEN '...' ELSE '' END) || substring(text, s, mt - s) || '«{_OLD}»' || substring(text, mt + {len(_OLD)}, z - mt - {len(_OLD)} + 1) || (CASE WHEN z < length(text) THEN '...' ELSE '' END) END AS excerpt FROM e"
 )
 def replace_gated(t):
-    return update.replace_gated(blocks.blocks(t.documents), update.Item("w1", _OLD, _NEW, expected=2))
+    return lines.replace_gated(t.documents, update.Item("w1", _OLD, _NEW, expected=2))
 
 
 _PERSON = "regexp_replace({0}, '(?i)(^|[^\\p{{L}}\\p{{N}}])moron($|[^\\p{{L}}\\p{{N}}])', '\\1person\\2', 'g')"
@@ -175,24 +175,27 @@ def replace_all_ci(t):
 _ITEMS = [update.Item("a", "idiot", "person", 1), update.Item("b", "person", "reader", 1), update.Item("c", "clown", "clown", 1), update.Item("d", "Licensed under", "Used under", 2)]
 
 
-@query(
+_FOLDED = (
     "WITH d AS (SELECT doc_id, text AS t0 FROM documents), a AS (SELECT *, " + count_sql("idiot", "t0") + " AS na FROM d), a2 AS (SELECT *, CASE WHEN na = 1 THEN replace(t0, 'idiot', 'person') ELSE t0 END AS t1 FROM a), "
     "b AS (SELECT *, " + count_sql("person", "t1") + " AS nb FROM a2), b2 AS (SELECT *, CASE WHEN nb = 1 THEN replace(t1, 'person', 'reader') ELSE t1 END AS t2 FROM b), "
-    "c AS (SELECT *, " + count_sql("clown", "t2") + " AS nc, " + count_sql("Licensed under", "t2") + " AS nd FROM b2), c2 AS (SELECT *, CASE WHEN nd = 2 THEN replace(t2, 'Licensed under', 'Used under') ELSE t2 END AS t3 FROM c) "
-    "SELECT doc_id, CAST(0 AS INTEGER) AS seq, 'a' AS item, na AS n_found, CASE WHEN na = 0 THEN 'unreachable_match' WHEN na <> 1 THEN 'match_count_mismatch' ELSE 'applied' END AS outcome, length(t1) AS n_chars FROM c2 "
+    "c AS (SELECT *, " + count_sql("clown", "t2") + " AS nc, " + count_sql("Licensed under", "t2") + " AS nd FROM b2), c2 AS (SELECT *, CASE WHEN nd = 2 THEN replace(t2, 'Licensed under', 'Used under') ELSE t2 END AS t3 FROM c), "
+    "folded AS (SELECT doc_id, CAST(0 AS INTEGER) AS seq, 'a' AS item, na AS n_found, CASE WHEN na = 0 THEN 'unreachable_match' WHEN na <> 1 THEN 'match_count_mismatch' ELSE 'applied' END AS outcome, length(t1) AS n_chars FROM c2 "
     "UNION ALL SELECT doc_id, 1, 'b', nb, CASE WHEN nb = 0 THEN 'unreachable_match' WHEN nb <> 1 THEN 'match_count_mismatch' ELSE 'applied' END, length(t2) FROM c2 "
     "UNION ALL SELECT doc_id, 2, 'c', nc, CASE WHEN nc = 0 THEN 'unreachable_match' WHEN nc <> 1 THEN 'match_count_mismatch' ELSE 'no_op' END, length(t2) FROM c2 "
-    "UNION ALL SELECT doc_id, 3, 'd', nd, CASE WHEN nd = 0 THEN 'unreachable_match' WHEN nd <> 2 THEN 'match_count_mismatch' ELSE 'applied' END, length(t3) FROM c2"
+    "UNION ALL SELECT doc_id, 3, 'd', nd, CASE WHEN nd = 0 THEN 'unreachable_match' WHEN nd <> 2 THEN 'match_count_mismatch' ELSE 'applied' END, length(t3) FROM c2) "
 )
+
+
+@query(_FOLDED + "SELECT * FROM folded")
 def worklist_fold(t):
-    return update.apply_worklist(blocks.blocks(t.documents), _ITEMS)
+    return lines.apply_worklist(t.documents, _ITEMS)
 
 
 @query(
-    "WITH w AS (SELECT doc_id, " + count_sql("idiot") + " AS n FROM documents) SELECT count(*) AS total, count(*) FILTER (n = 1) AS applied, count(*) FILTER (n <> 1) AS refused, count(*) FILTER (n <> 1) = 0 AS deliverable FROM w"
+    _FOLDED + "SELECT count(*) AS total, count(*) FILTER (outcome = 'applied') AS applied, count(*) FILTER (outcome <> 'applied') AS refused, count(*) FILTER (outcome <> 'applied') = 0 AS deliverable FROM folded"
 )
 def worklist_summary(t):
-    return roles.summary(update.apply_worklist(blocks.blocks(t.documents), _ITEMS[:1]), "outcome")
+    return roles.summary(lines.apply_worklist(t.documents, _ITEMS), "outcome")
 
 
 @query(
@@ -200,14 +203,14 @@ def worklist_summary(t):
     "SELECT doc_id, CASE WHEN applied THEN 'already_applied' WHEN outside THEN 'out_of_scope' ELSE 'no_candidate' END AS diagnosis FROM p WHERE NOT here"
 )
 def zero_match_diagnosis(t):
-    return update.diagnosis(blocks.blocks(t.documents), update.Item("z", "stupid", "trash"), 3)
+    return lines.diagnosis(t.documents, update.Item("z", "stupid", "trash"), 3)
 
 
 @query(
     f"WITH {BLK}, j AS (SELECT doc_id, string_agg(text, '' ORDER BY pos) AS joined, CAST(sum({count_sql('.T')}) AS BIGINT) AS inside FROM blk GROUP BY doc_id) SELECT doc_id, {count_sql('.T', 'joined')} AS across, inside FROM j WHERE {count_sql('.T', 'joined')} > inside"
 )
 def straddled_matches(t):
-    return update.straddling(blocks.blocks(t.documents), ".T")
+    return lines.straddling(t.documents, ".T")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'stale' ELSE 'bound' END AS binding FROM documents")
@@ -307,33 +310,33 @@ def untouched_proof(t):
 
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def diff_reject_equals_base(t):
-    return diffing.rebuilt(diffing.inline_changes(diffing.aligned(*two(t))), accept=False)
+    return diffing.rebuilt_rows(diffing.compared(lines.revised_pairs(t.documents)), accept=False)
 
 
 @query(f"WITH {BLK}, {TGT} SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM tgt GROUP BY doc_id")
 def diff_accept_equals_target(t):
-    return diffing.rebuilt(diffing.inline_changes(diffing.aligned(*two(t))), accept=True)
+    return diffing.rebuilt_rows(diffing.compared(lines.revised_pairs(t.documents)), accept=True)
 
 
 @query("SELECT CAST(0 AS BIGINT) AS n_changes")
 def diff_self_empty(t):
-    base = blocks.blocks(t.documents)
-    return diffing.aligned(base, base).where("change_type <> 'matched'").agg(F.count("*").alias("n_changes"))
+    pairs = lines.with_lines(t.documents).select("doc_id", F.col("lines").alias("old"), F.col("lines").alias("new"))
+    return diffing.changes_of(diffing.compared(pairs)).where("change_type <> 'matched'").agg(F.count("*").alias("n_changes"))
 
 
 @query()
 def align_blocks(t):
-    return diffing.with_unrelated_split(diffing.aligned(*two(t)))
+    return diffing.with_unrelated_split(diffing.changes_of(diffing.compared(lines.revised_pairs(t.documents), words=False)))
 
 
 @query()
 def inline_ops(t):
-    return diffing.inline_changes(diffing.aligned(*two(t))).where("change_type = 'modified'")
+    return diffing.inline_of(diffing.compared(lines.revised_pairs(t.documents))).where("change_type = 'modified'")
 
 
 @query()
 def insertion_anchors(t):
-    return diffing.insertion_anchors(diffing.aligned(*two(t)))
+    return diffing.insertion_anchors(diffing.changes_of(diffing.compared(lines.revised_pairs(t.documents), words=False)))
 
 
 @query(

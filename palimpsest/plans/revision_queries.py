@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators import audit, blocks, cascade, diffing, grid, matching, ordered, revisions, roles, stories, transactions, validate
+from palimpsest.operators import audit, blocks, cascade, diffing, grid, lines, matching, ordered, revisions, roles, stories, transactions, validate
 from palimpsest.operators.versions import revised
 from palimpsest.plans.block_queries import BLK, TGT
 from palimpsest.plans.registry import query
@@ -538,5 +538,4 @@ def empty_selection(t):
 
 @query()
 def pair_render(t):
-    base = blocks.blocks(t.documents)
-    return stories.render(diffing.aligned(base, revised(base)))
+    return stories.render(diffing.changes_of(diffing.compared(lines.revised_pairs(t.documents), words=False)))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import audit, blocks, cascade, diffing, grid, matching, ordered, revisions, roles, transactions, update, validate
+from palimpsest.operators import audit, blocks, cascade, diffing, grid, lines, matching, ordered, revisions, roles, transactions, update, validate, versions
 from palimpsest.sources import docx, html
 
 
@@ -38,7 +38,7 @@ def test_text_functions(spark):
     got = one.select(T.color_hex(F.lit("#ff00aa")), T.color_hex(F.lit("red")), T.snake(F.lit("HeadingTwo Char")), T.quantized(F.lit(-36), 72), T.numbering_sort(F.lit("• x")), T.rels_path(F.lit("word/document.xml")), T.part_directory(F.lit("a.xml")))
     assert values(got) == [("FF00AA", None, "heading_two_char", -72, "bullet", "word/_rels/document.xml.rels", "")]
     assert values(one.select(T.level_text(F.lit("%1.%2"), [F.lit("3")]), T.level_text(F.lit("%1)"), [F.lit("c")]))) == [("", "c)")]
-    assert values(one.select(T.letters(F.lit(0)), T.letters(F.lit(27)), T.letters(F.lit(703)), T.roman(F.lit(0)), T.roman(F.lit(1994)))) == [("", "aa", "aaa", "", "mcmxciv")]
+    assert values(one.select(T.letters(F.lit(0)), T.letters(F.lit(27)), T.letters(F.lit(703)), T.letters(F.lit(18279)), T.letters(F.lit(475255)), T.roman(F.lit(0)), T.roman(F.lit(1994)))) == [("", "aa", "aaa", "aaaa", "aaaaa", "", "mcmxciv")]
 
 
 def blk(spark, *lines):
@@ -75,7 +75,46 @@ def test_gate_and_no_op(spark):
 def test_worklist_sees_earlier_edits(spark):
     items = [update.Item("a", "cat", "dog"), update.Item("b", "dog", "cow", 2)]
     got = values(update.apply_worklist(blk(spark, "cat and dog"), items).orderBy("seq"), "item", "n_found", "outcome")
-    assert got == [("a", 1, "applied"), ("b", 2, "applied")] and not update.independent(items)
+    assert got == [("a", 1, "applied"), ("b", 2, "applied")]
+
+
+def test_folded_items_match_alike_signs(spark):
+    item = update.Item("f", "it's \"so\" far", "done", 2, fold=True)
+    b = blk(spark, "it\u2019s\u00a0\u201cso\u201d far, \u00e9", "it's \"so\"\tfar")
+    want = [(0, 2, "applied", "done, \u00e9"), (1, 2, "applied", "done")]
+    assert sorted(values(update.replace_gated(b, item), "pos", "n_found", "outcome", "new_text")) == want
+    assert values(update.apply_worklist(b, [item]), "n_found", "outcome", "n_chars") == [(2, "applied", 12)]
+    assert values(update.replace_gated(b, update.Item("x", "it's", "x", 1)), "outcome") == ["applied"]
+    text = spark.createDataFrame([("aXaXXa",), ("",), ("XX",), ("a.a",)], "t string")
+    assert values(text.select(T.match_positions(F.col("t"), "X"), T.match_positions(F.col("t"), "XX"), T.match_positions(F.col("t"), "."))) == [([1, 3, 4], [3], []), ([], [], []), ([0, 1], [0], []), ([], [], [1])]
+
+
+def test_scope_of_an_item(spark):
+    b = spark.createDataFrame([(1, 0, "a", "paragraph"), (1, 1, "a", "table"), (1, 2, "a", "paragraph")], "doc_id long, pos int, text string, block_type string")
+    assert values(update.in_scope(b), "pos") == [0, 2] and values(update.in_scope(b, tables=True, between=(1, 1)), "pos") == [1]
+    with pytest.raises(ValueError):
+        update.in_scope(b, between=(2, 1))
+
+
+def test_lines_in_a_row_are_as_blocks(spark, data):
+    """Operators on arrays of lines against those on tables of blocks, and plans without a shuffle."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "one\n\ntwo words here that go on\n"), (-4, "moron.\nTmoron")], "doc_id long, text string"))
+    b, item = blocks.blocks(docs), update.Item("w", "worthless", "x", 2)
+    pairs = [
+        (lines.plain_text(docs), blocks.plain_text(b)), (lines.outline(docs), blocks.outline(b)), (lines.outline_totals(docs), blocks.outline_totals(b)), (lines.window(docs, 1, 3), blocks.window(b, 1, 3)),
+        (lines.pages(docs, 2, 3), blocks.pages(b, 2, 3)), (lines.replace_gated(docs, item), update.replace_gated(b, item)), (lines.straddling(docs, ".T"), update.straddling(b, ".T")),
+        (lines.diagnosis(docs, update.Item("z", "stupid", "trash"), 3), update.diagnosis(b, update.Item("z", "stupid", "trash"), 3)), (lines.apply_worklist(docs, [item]), update.apply_worklist(b, [item])),
+    ]
+    for one, two in pairs:
+        names = sorted(one.columns)
+        assert names == sorted(two.columns)
+        assert sorted(values(one, *names), key=str) == sorted(values(two, *names), key=str)
+        assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    revised = [(d, n, x) for d, new in values(lines.revised_pairs(docs), "doc_id", "new") for n, x in enumerate(new)]
+    assert sorted(revised) == sorted(values(versions.revised(b), "doc_id", "pos", "text"))
+    rows = diffing.compared(lines.revised_pairs(docs))
+    assert sorted(values(diffing.changes_of(rows)), key=str) == sorted(values(diffing.aligned(b, versions.revised(b))), key=str)
+    assert "Exchange" not in diffing.rebuilt_rows(rows, True)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_guard_ignores_how_runs_are_cut(spark):
