@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.functions.kernels import align, block_similarity, content_similarity, match_rows, word_changes
+from palimpsest.functions.inline import word_changes
+from palimpsest.functions.kernels import align, block_similarity, content_similarity, match_rows
 from palimpsest.session import share_package
 
 CHANGES = "array<struct<op:string,text:string>>"

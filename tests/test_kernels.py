@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from palimpsest.functions import inline
 from palimpsest.functions import kernels as k
 
 WORDS = st.lists(st.sampled_from("abcd"), max_size=12)
@@ -56,22 +59,19 @@ def test_patience_rebuilds_both_sides(a, b):
 @settings(max_examples=200)
 @given(st.text("ab .", max_size=90), st.text("ab .", max_size=90))
 def test_word_changes_rebuild_both_sides(a, b):
-    runs = k.word_changes(a, b)
+    runs = inline.word_changes(a, b)
     assert "".join(t for op, t in runs if op != "insert") == a
     assert "".join(t for op, t in runs if op != "delete") == b
 
 
 def test_word_changes_of_known_pairs():
-    assert k.word_changes("The quick brown fox jumps over the lazy dog.", "The quick red fox leaps over the lazy dog.") == [
+    assert inline.word_changes("The quick brown fox jumps over the lazy dog.", "The quick red fox leaps over the lazy dog.") == [
         ("equal", "The quick "),
-        ("delete", "brown"),
-        ("insert", "red"),
-        ("equal", " fox "),
-        ("delete", "jumps"),
-        ("insert", "leaps"),
+        ("delete", "brown fox jumps"),
+        ("insert", "red fox leaps"),
         ("equal", " over the lazy dog."),
     ]
-    assert k.word_changes("same", "same") == [("equal", "same")] and k.word_changes("", "") == []
+    assert inline.word_changes("same", "same") == [("equal", "same")] and inline.word_changes("", "") == []
 
 
 @given(st.lists(st.integers(0, 20), max_size=15))
@@ -97,6 +97,98 @@ def test_alignment_uses_each_block_once_in_order(a, b):
     assert all(a[i] == b[j] for kind, i, j in rows if kind == "matched")
 
 
+def slow_affine(a, b, similar):
+    """The three states cell by cell, over plain lists."""
+    n, m, far = len(a), len(b), float("inf")
+    cost = [[[far] * 3 for _ in range(m + 1)] for _ in range(n + 1)]
+    come = [[[0] * 3 for _ in range(m + 1)] for _ in range(n + 1)]
+    cost[0][0][0] = 0.0
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i and j:
+                s = min((0, 1, 2), key=cost[i - 1][j - 1].__getitem__)
+                cost[i][j][0], come[i][j][0] = cost[i - 1][j - 1][s] + k.match_cost(a[i - 1], b[j - 1], abs(i - j), similar), s
+            for state, x, y in ((1, i - 1, j), (2, i, j - 1)):
+                if x >= 0 and y >= 0:
+                    options = [(cost[x][y][s] + (k.GAP_EXTEND if s == state else k.GAP_OPEN), n, s) for n, s in enumerate((state, 0, 3 - state))]
+                    cost[i][j][state], _, come[i][j][state] = min(options)
+    out, i, j, state = [], n, m, min((0, 1, 2), key=cost[n][m].__getitem__)
+    while i or j:
+        was = come[i][j][state]
+        i, j = i - (state != 2), j - (state != 1)
+        out.append(("matched" if a[i] == b[j] else "modified", i, j) if state == 0 else ("deleted", i, None) if state == 1 else ("inserted", None, j))
+        state = was
+    return out[::-1]
+
+
+def test_alignment_is_that_of_the_plain_recurrence():
+    rng = random.Random(8)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    for _ in range(150):
+        a, b = ([" ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 9))] for _ in range(2))
+        assert k.affine(a, b, k.block_similarity) == slow_affine(a, b, k.block_similarity)
+
+
+def test_distant_pairs_are_not_compared():
+    """Beyond the reach the likeness is never asked for, and the result is that of asking for all."""
+    asked = []
+
+    def similar(x, y):
+        asked.append(1)
+        return k.block_similarity(x, y)
+
+    a = [f"line {n}" for n in range(60)]
+    b = ["new text here"] * 400 + [f"line {n} x" for n in range(60)]
+    assert k.affine(a, b, similar) == slow_affine(a, b, k.block_similarity)
+    assert len(asked) < 0.9 * len(a) * len(b)
+
+
+FORMATTED = st.lists(st.builds(inline.Piece, st.sampled_from(["The Term ", "means", " a fee", " of (i) ", "5 USD", ".", " and so on and so forth"]), st.sampled_from([None, "b", "i"])), max_size=6)
+
+
+@given(FORMATTED, FORMATTED, st.booleans())
+def test_formatted_changes_rebuild_both_sides_with_formats(a, b, whole):
+    def letters(pieces):
+        return [(c, p.format) for p in pieces for c in p.text]
+
+    runs = inline.changes(a, b, whole)
+    assert [c for c, _ in letters(a)] == [c for r in runs if r.op != "insert" for c in r.text]
+    new = [(c, r.format) for r in runs if r.op != "delete" for c in r.text]
+    assert [c for c, _ in new] == [c for c, _ in letters(b)]
+    assert all(x.look != y.look for x, y in zip(runs, runs[1:]))
+
+
+def test_formats_and_objects_of_changes():
+    P, obj = inline.Piece, "0123456789ab"
+    runs = inline.changes([P("The "), P("Term", "b"), P(" means this"), P("￼", None, obj)], [P("The "), P("Term"), P(" means that"), P("￼", None, obj)])
+    assert [(r.op, r.text, r.format, r.before, r.opaque) for r in runs] == [
+        ("equal", "The ", None, None, None), ("equal", "Term", None, "b", None), ("equal", " means ", None, None, None), ("delete", "this", None, None, None), ("insert", "that", None, None, None), ("equal", "￼", None, None, obj)
+    ]
+    gone = inline.changes([P("see "), P("￼", None, obj)], [P("see ")])
+    assert [(r.op, r.opaque) for r in gone] == [("equal", None), ("delete", obj)]
+    swapped = [(2, inline.Run("delete", "￼", opaque="a")), (3, inline.Run("delete", "￼", opaque="b")), (2, inline.Run("insert", "￼", opaque="c")), (9, inline.Run("equal", "x"))]
+    assert [(n, r.op) for n, r in inline.in_reading_order(swapped)] == [(2, "delete"), (2, "insert"), (3, "delete"), (9, "equal")]
+
+
+def test_fragments_become_replacements_between_anchors():
+    got = inline.word_changes("pay the sum of ten at noon to me", "ask a fee for two by dusk of us", whole=False)
+    assert [op for op, _ in got] == ["delete", "insert"]
+    anchored = inline.word_changes("Under this Agreement we pay five (5) years. Signed and sealed by them.", "Under this Agreement we pay two (2) years. Signed and sealed by them.")
+    assert anchored[0] == ("equal", "Under this Agreement we pay ") and anchored[-1] == ("equal", ") years. Signed and sealed by them.") and {op for op, _ in anchored} == {"equal", "delete", "insert"}
+    assert [t for op, t in anchored if op == "delete"] == ["five (5"] or [t for op, t in anchored if op == "delete"] == ["five", "5"]
+    # An enumerator, short as it is, is never swallowed.
+    kept = inline.word_changes("aa bb (ii) cc dd", "xx yy (ii) zz ww", whole=False)
+    assert ("equal", "(ii)") in [(op, t.strip()) for op, t in kept]
+    runs = [inline.Run("delete", "first of all"), inline.Run("insert", "first of some")]
+    assert [(r.op, r.text) for r in inline.with_shared_affixes(runs)] == [("equal", "first of "), ("delete", "all"), ("insert", "some")]
+    assert inline.with_shared_affixes([inline.Run("delete", "cat"), inline.Run("insert", "car")]) == [inline.Run("delete", "cat"), inline.Run("insert", "car")]
+
+
+def test_row_quality():
+    assert k.row_quality(["a", None], ["a", None]) == 1.0 and k.row_quality([], []) == 1.0
+    assert k.row_quality(["abcd", "x"], ["abcd"]) == 0.5 and k.row_quality(["ab"], ["xy"]) == 0.0
+
+
 def test_alignment_of_a_known_pair():
     base = ["Alpha paragraph one", "Beta paragraph two", "Gamma paragraph three", "Delta paragraph four"]
     target = ["Alpha paragraph uno", "Gamma paragraph three", "Delta paragraph vier", "Epsilon is all new text"]
