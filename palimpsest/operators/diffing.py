@@ -1,9 +1,8 @@
-"""Comparison of versions (D1-D12, D14-D17, D21, D26-D28, D30): aligned blocks, word changes, table cells, structural differences.
+"""Comparison of versions (D1-D12, D14-D17, D28-D30): aligned blocks, word changes, redlines, structural differences.
 
-Blocks with equal content are anchored by joins; alignment and word differences run
-in kernels by document or by row. Word changes are the data that both versions are
-rebuilt from. Of D16 only the joining of runs is built, of tables only cells by
-address; the README lists what is left out.
+Both versions of a document are one row, and alignment and word differences are one
+Arrow pass over it. Word changes are the data that both versions are rebuilt from.
+Tables are in ``table_diff``, formats and objects in words in ``functions.inline``.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.inline import word_changes
-from palimpsest.functions.kernels import align, block_similarity, content_similarity, match_rows
+from palimpsest.functions.kernels import align, block_similarity, content_similarity
 from palimpsest.session import share_package
 
 CHANGES = "array<struct<op:string,text:string>>"
@@ -37,16 +36,6 @@ def similarity(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def word_diff(old: Column, new: Column) -> Column:
-    """Word changes as an array; equal texts never reach Python."""
-
-    @F.pandas_udf(CHANGES)
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([[{"op": op, "text": t} for op, t in word_changes(p or "", q or "")] for p, q in zip(x, y)])
-
-    return run(old, new)
-
-
 def gathered(blk: DataFrame, name: str) -> DataFrame:
     """A row per document: its blocks in order, as an array of (pos, text)."""
     return blk.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "text"))).alias(name))
@@ -119,6 +108,50 @@ def rebuilt_rows(rows: DataFrame, accept: bool) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform(placed, lambda x: x["text"]), "\n").alias("text"))
 
 
+def redline(rows: DataFrame) -> DataFrame:
+    """(doc_id, paragraphs) of :func:`compared`: a tracked document whose accepted view is the target and whose rejected view is the base.
+
+    A paragraph is its mark's status and its (status, text) segments; the last
+    paragraph's mark cannot be tracked, so that of a run at the end stands one
+    paragraph earlier.
+    """
+    share_package(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("mark", pa.string()), ("segments", pa.list_(pa.struct([("status", pa.string()), ("text", pa.string())])))]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([redline_paragraphs(c) for c in part.column(1).to_pylist()], kind)], ["doc_id", "paragraphs"])
+
+    return rows.select("doc_id", "changes").mapInArrow(run, "doc_id long, paragraphs array<struct<mark:string,segments:array<struct<status:string,text:string>>>>")
+
+
+STATUS = {"equal": "normal", "delete": "deleted", "insert": "inserted"}
+
+
+def redline_paragraphs(changes: list[dict]) -> list[dict]:
+    own = [{"deleted": "deleted", "inserted": "inserted"}.get(c["change_type"], "normal") for c in changes]
+    marks = list(own)
+    kept = [n for n, s in enumerate(own) if s == "normal"]
+    if kept:
+        marks[kept[-1] :] = [*own[kept[-1] + 1 :], "normal"]
+    elif marks:
+        # Nothing stays: the other side's last mark goes both ways.
+        opposite = [n for n, s in enumerate(own) if s != own[-1]]
+        marks[-1] = "normal"
+        if opposite:
+            marks[opposite[-1]] = "stacked"
+    out = []
+    for c, status, mark in zip(changes, own, marks):
+        if c["ops"] is not None:
+            segments = [{"status": STATUS[o["op"]], "text": o["text"]} for o in c["ops"]]
+        else:
+            segments = [{"status": status, "text": c["new_text"] if status == "inserted" else c["old_text"]}]
+        out.append({"mark": mark, "segments": segments})
+    return out
+
+
 def aligned(base: DataFrame, target: DataFrame) -> DataFrame:
     """D1-D5 for tables of blocks: (doc_id, seq, change_type, base_pos, target_pos, old_text, new_text), positions being the tables' own."""
 
@@ -147,29 +180,6 @@ def with_unrelated_split(changes: DataFrame) -> DataFrame:
     return changes.withColumn("sim", sim).select("doc_id", "seq", F.explode(F.when(split, F.array(gone, come)).otherwise(F.array(same))).alias("c")).select("doc_id", "seq", "c.*")
 
 
-def inline_changes(changes: DataFrame) -> DataFrame:
-    """D12 on an alignment: (doc_id, seq, n, op, text); matched blocks are one equal run without Python."""
-    old, new = F.coalesce("old_text", F.lit("")), F.coalesce("new_text", F.lit(""))
-
-    def whole(op: str, text: Column) -> Column:
-        return F.array(F.struct(F.lit(op).alias("op"), text.alias("text"))).cast(CHANGES)
-
-    plain = changes.where("change_type <> 'modified'").withColumn(
-        "ops", F.when(F.col("change_type") == "matched", whole("equal", old)).when(F.col("change_type") == "deleted", whole("delete", old)).otherwise(whole("insert", new))
-    )
-    modified = changes.where("change_type = 'modified'").withColumn("ops", word_diff(old, new))
-    return plain.unionByName(modified).select("doc_id", "seq", "base_pos", "target_pos", "change_type", F.posexplode_outer("ops").alias("n", "c")).select("doc_id", "seq", "base_pos", "target_pos", "change_type", "n", F.col("c.op").alias("op"), F.coalesce("c.text", F.lit("")).alias("text"))
-
-
-def rebuilt(inline: DataFrame, accept: bool) -> DataFrame:
-    """Law: the target's text from what is not deleted, or the base's from what is not inserted, block by block."""
-    side, pos = ("delete", "target_pos") if accept else ("insert", "base_pos")
-    rows = F.array_sort(F.collect_list(F.when(F.coalesce("op", F.lit("")) != side, F.struct("n", "text"))))
-    lines = inline.where(F.col(pos).isNotNull()).groupBy("doc_id", pos).agg(F.array_join(F.transform(rows, lambda r: r["text"]), "").alias("text"))
-    ordered = F.array_sort(F.collect_list(F.struct(pos, "text")))
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"))
-
-
 def insertion_anchors(changes: DataFrame) -> DataFrame:
     """Inserted blocks after the last base block that was matched before them."""
     w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -178,13 +188,30 @@ def insertion_anchors(changes: DataFrame) -> DataFrame:
 
 
 def paragraph_splits(changes: DataFrame) -> DataFrame:
-    """A modified block followed by an inserted one that ends with what the first lost."""
+    """Modified blocks of which a part became a block of its own, before or after it.
+
+    After: the inserted block is the end that the modified one lost. Before: the
+    modified block is its own end, and what it lost is much like the inserted one.
+    What is left must be like its counterpart in length and words.
+    """
     w = Window.partitionBy("doc_id").orderBy("seq")
-    rows = changes.withColumn("next_type", F.lead("change_type").over(w)).withColumn("next_text", F.lead("new_text").over(w))
-    tail = F.trim("next_text")
-    suffix = F.endswith(F.trim("old_text"), tail) & (F.octet_length(tail) >= T.SPLIT_BYTES)
-    near = (F.char_length("new_text") + F.char_length("next_text")) / F.char_length("old_text")
-    return rows.where("change_type = 'modified' and next_type = 'inserted'").where(suffix & (near >= SPLIT_RATIO)).select("doc_id", "seq", "base_pos", "target_pos")
+    rows = changes.select("doc_id", "seq", "change_type", "base_pos", "target_pos", T.normalized(F.col("old_text")).alias("old"), T.normalized(F.col("new_text")).alias("new"))
+    for side, near in (("next", F.lead), ("last", F.lag)):
+        rows = rows.withColumn(f"{side}_type", near("change_type").over(w)).withColumn(f"{side}_text", near("new").over(w))
+    old, new, after, ahead = F.col("old"), F.col("new"), F.col("next_text"), F.col("last_text")
+
+    def lost(end: Column) -> Column:
+        return F.left(old, F.char_length(old) - F.char_length(end))
+
+    long_enough = [F.octet_length(x) >= T.SPLIT_BYTES for x in (after, new)]
+    one = (F.col("next_type") == "inserted") & long_enough[0] & F.endswith(old, after) & ~F.endswith(new, after) & (F.char_length(old) > F.char_length(after))
+    two = (F.col("last_type") == "inserted") & long_enough[1] & F.endswith(old, new) & (F.octet_length(old) > F.octet_length(new) + 5)
+    kind = F.when(F.coalesce(one, F.lit(False)), "after").when(F.coalesce(two, F.lit(False)), "before")
+    found = rows.where("change_type = 'modified'").withColumn("split", kind).where("split is not null")
+    found = found.withColumn("removed", F.when(F.col("split") == "after", lost(after)).otherwise(lost(new))).withColumn("beside", F.when(F.col("split") == "after", new).otherwise(ahead))
+    a, b = F.octet_length("removed"), F.octet_length("beside")
+    found = found.where((F.least(a, b) >= T.SPLIT_BYTES) & (F.least(a, b) / F.greatest(a, b) >= SPLIT_RATIO))
+    return found.where(similarity(F.col("removed"), F.col("beside")) >= SPLIT_SIMILARITY).select("doc_id", "seq", "base_pos", "target_pos", "split")
 
 
 def cell_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -201,23 +228,6 @@ def cell_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, keys, "full").select(*keys, kind.alias("cell_change"))
 
 
-def aligned_rows(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows (table_id, row, signature) of two tables: equal signatures anchor, the rest by similarity."""
-    share_package(old.sparkSession)
-
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("row", ignore_index=True), b.sort_values("row", ignore_index=True)
-        pairs = match_rows(a["signature"].tolist(), b["signature"].tolist())
-        used_a, used_b = {i for i, _ in pairs}, {j for _, j in pairs}
-        rows = [(key[0], int(a["row"][i]), int(b["row"][j]), "matched" if a["signature"][i] == b["signature"][j] else "modified") for i, j in pairs]
-        rows += [(key[0], int(r), None, "deleted") for i, r in enumerate(a["row"]) if i not in used_a]
-        rows += [(key[0], None, int(r), "inserted") for j, r in enumerate(b["row"]) if j not in used_b]
-        return pd.DataFrame(rows, columns=["table_id", "old_row", "new_row", "change"]).astype({"old_row": "Int64", "new_row": "Int64"})
-
-    one, two = (df.select(*(F.col(c).alias(c) for c in ("table_id", "row", "signature"))) for df in (old, new))
-    return one.groupBy("table_id").cogroup(two.groupBy("table_id")).applyInPandas(run, "table_id long, old_row long, new_row long, change string")
-
-
 def structural(one: DataFrame, two: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Every difference of two tables as (keys, path, left, right); null-safe, one full join."""
     a = one.select(*keys, *(F.col(c).cast("string").alias(f"l_{c}") for c in columns), F.lit(True).alias("in_l"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators import audit, blocks, cascade, diffing, grid, lines, matching, ordered, revisions, roles, stories, transactions, validate
+from palimpsest.operators import audit, blocks, cascade, diffing, grid, lines, matching, ordered, revisions, roles, stories, table_diff, transactions, validate
 from palimpsest.operators.versions import revised
 from palimpsest.plans.block_queries import BLK, TGT
 from palimpsest.plans.registry import query
@@ -290,10 +290,23 @@ def table_cell_diff(t):
     return diffing.cell_diff(old, new)
 
 
+@query(
+    f"WITH {CELLS}, d AS (SELECT table_id, row, cell AS col, 'r' || row || ' ' || text AS text, grid_span AS span FROM cells), n AS (SELECT table_id, row, col, CASE WHEN col = 1 THEN text || '!' ELSE text END AS text, CASE WHEN col = 2 THEN 1 ELSE span END AS span FROM d WHERE row % 7 <> 6), k AS (SELECT DISTINCT table_id, row FROM n) "
+    "SELECT CAST(table_id AS VARCHAR) AS table_id, CAST(d.row AS INTEGER) AS old_row, CASE WHEN k.row IS NOT NULL THEN CAST(d.row AS INTEGER) END AS new_row, CAST(d.col AS INTEGER) AS col, CASE WHEN k.row IS NULL THEN 'deleted' WHEN d.text <> n.text THEN 'modified' WHEN d.span <> n.span THEN 'merge_changed' ELSE 'unchanged' END AS cell_change, d.text AS old_text, n.text AS new_text "
+    "FROM d LEFT JOIN k USING (table_id, row) LEFT JOIN n USING (table_id, row, col)"
+)
+def table_comparison(t):
+    # Rows carry their number as paragraph id, so that the right alignment is known.
+    old = cells(t).select("table_id", "row", F.col("cell").alias("col"), F.concat(F.lit("r"), "row", F.lit(" "), "text").alias("text"), F.col("grid_span").alias("span"), F.concat(F.lit("p"), "row").alias("para_id"))
+    new = old.where("row % 7 <> 6").withColumn("text", F.when(F.col("col") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumn("span", F.when(F.col("col") == 2, 1).otherwise(F.col("span")))
+    return table_diff.of_cells(old, new).drop("ops")
+
+
 @query()
 def aligned_table_rows(t):
-    rows = grid.row_signature(cells(t))
-    return diffing.aligned_rows(rows, rows.where("row % 6 <> 5").withColumn("signature", F.replace("signature", F.lit("error"), F.lit("warning"))))
+    rows = cells(t).select("table_id", "row", F.col("cell").alias("col"), "text", F.col("grid_span").alias("span"))
+    new = rows.where("row % 6 <> 5").withColumn("text", F.replace("text", F.lit("error"), F.lit("warning")))
+    return table_diff.of_cells(rows, new).select("table_id", "old_row", "new_row", "col", "cell_change")
 
 
 # --- cascades, threads, validation, audit -----------------------------------------------------------

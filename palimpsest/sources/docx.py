@@ -9,6 +9,7 @@ not a failed job.
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 import zlib
@@ -25,6 +26,8 @@ from palimpsest.session import share_package
 #: Entries, bytes in all and bytes of a part at most; depth of elements at most.
 MOST_ENTRIES, MOST_BYTES, MOST_PART_BYTES, MOST_DEPTH = 1000, 500 << 20, 200 << 20, 512
 MAIN_PART = "word/document.xml"
+#: Fixed value: what stands for an object in a text.
+OBJECT = "\ufffc"
 
 #: Namespaces of WordprocessingML and of packages.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -135,6 +138,37 @@ def _number(value: str | None) -> int | None:
     return int(value) if value and value.lstrip("-").isdigit() else None
 
 
+#: Fields whose shown result depends on when or where it is read.
+VOLATILE = ("DATE", "TIME", "NOW", "CREATEDATE", "SAVEDATE", "PRINTDATE")
+
+
+def is_volatile(instruction: str) -> bool:
+    """Whether a field's shown result is no part of the text."""
+    return instruction.split()[:1] != [] and instruction.split()[0].upper() in VOLATILE
+
+
+def settled_fields(block: ElementTree.Element) -> ElementTree.Element:
+    """``block`` with one place holder for the shown result of each volatile field."""
+    state, instruction, put = None, "", False
+    for run in block.iter(f"{W}r"):
+        for child in list(run):
+            name = child.tag.removeprefix(W)
+            if name == "fldChar":
+                kind = child.get(f"{W}fldCharType")
+                state = {"begin": "code", "separate": "result"}.get(kind or "")
+                if kind == "begin":
+                    instruction, put = "", False
+            elif name in ("instrText", "delInstrText") and state == "code":
+                instruction += child.text or ""
+            elif name in ("t", "delText") and state == "result" and is_volatile(instruction):
+                child.text, put = ("" if put else OBJECT), True
+    for field in block.iter(f"{W}fldSimple"):
+        if is_volatile(field.get(f"{W}instr") or ""):
+            for n, text in enumerate(field.iter(f"{W}t")):
+                text.text = "" if n else OBJECT
+    return block
+
+
 def spans_of(block: ElementTree.Element) -> Iterator[tuple[str, int | None, str | None, str | None, str]]:
     """IO9, M18: (status, revision id, author, date, text) of a block, in order; what is inside of both is stacked."""
 
@@ -266,7 +300,7 @@ def spans(packages: DataFrame) -> DataFrame:
         try:
             main = _main(content)
             found = enumerate(x for x in body_blocks(main or b"<x/>") if x.tag != f"{W}sectPr")
-            return [(doc, n, k, *s) for n, b in found for k, s in enumerate(merged_spans(b))]
+            return [(doc, n, k, *s) for n, b in found for k, s in enumerate(merged_spans(settled_fields(b)))]
         except PackageError:
             return []
 
@@ -317,13 +351,17 @@ def properties(packages: DataFrame) -> DataFrame:
     return _mapped(packages, schema, rows)
 
 
-def paragraph_xml(segments: list[tuple[str, str]], author: str = "", date: str = "") -> str:
-    """IO8 for one paragraph: (status, text) segments as runs; insertions and deletions carry the author."""
+def paragraph_xml(segments: list[tuple[str, str]], author: str = "", date: str = "", mark: str = "normal") -> str:
+    """IO8 for one paragraph: (status, text) segments as runs; insertions and deletions carry the author, and so does its mark's status."""
     from xml.sax.saxutils import escape, quoteattr
 
-    out = ""
+    who = f"w:author={quoteattr(author)}" + (f" w:date={quoteattr(date)}" if date else "")
+    marks = "".join(f'<w:{k} w:id="0" {who}/>' for k, some in (("ins", ("inserted", "stacked")), ("del", ("deleted", "stacked"))) if mark in some)
+    out = f"<w:pPr><w:rPr>{marks}</w:rPr></w:pPr>" if marks else ""
     for n, (status, text) in enumerate(segments):
-        who = f"w:id={quoteattr(str(n + 1))} w:author={quoteattr(author)} w:date={quoteattr(date)}"
+        if not text:
+            continue
+        who = f"w:id={quoteattr(str(n + 1))} w:author={quoteattr(author)}" + (f" w:date={quoteattr(date)}" if date else "")
         gone = status in ("deleted", "stacked")
         run = f'<w:r><w:{"delText" if gone else "t"} xml:space="preserve">{escape(text)}</w:{"delText" if gone else "t"}></w:r>'
         run = f"<w:del {who}>{run}</w:del>" if gone else run
@@ -388,6 +426,24 @@ def with_parts(packages: DataFrame, changes: DataFrame) -> DataFrame:
     return packages.select("doc_id", "content").join(wanted, "doc_id", "left").mapInArrow(run, "doc_id string, content binary, outcome string")
 
 
+def numbered_revisions(xml: str) -> str:
+    """The ids of revisions counted through a document, so that each has its own."""
+    ids = itertools.count(1)
+    return re.sub(r'(<w:(?:ins|del) )w:id="[0-9]+"', lambda m: f'{m[1]}w:id="{next(ids)}"', xml)
+
+
+def write_redlines(redlines: DataFrame, author: str = "", date: str = "") -> DataFrame:
+    """D29, IO8: (doc_id, content): packages of (doc_id, paragraphs) as :func:`palimpsest.operators.diffing.redline` has them."""
+    share_package(redlines.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = [package([numbered_revisions("".join(paragraph_xml([(s["status"], s["text"]) for s in p["segments"]], author, date, p["mark"]) for p in doc or []))]) for doc in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], ["doc_id", "content"])
+
+    return redlines.select(F.col("doc_id").cast("string").alias("doc_id"), "paragraphs").mapInArrow(run, "doc_id string, content binary")
+
+
 def write_packages(texts: DataFrame) -> DataFrame:
     """IO8: (doc_id, content) of (doc_id, segments): each document's paragraphs as arrays of (status, text)."""
     share_package(texts.sparkSession)

@@ -23,8 +23,16 @@ from palimpsest.sources.docx import W, PackageError, _mapped, packed, parts_of,
 #: What marks a revision: elements under any prefix, with wrappers by what accepting does.
 MARKS = re.compile(rb"<(?:[^\s<>/:]+:)?(?:ins|del|moveFrom|moveTo|cellIns|cellDel|cellMerge|numberingChange|[A-Za-z]+PrChange|tblGridChange)[\s/>]")
 ADDED, REMOVED = (f"{W}ins", f"{W}moveTo"), (f"{W}del", f"{W}moveFrom")
+#: Markers without width, which a join of paragraphs steps over (M3).
+MARKERS = frozenset(
+    f"{W}{name}"
+    for name in (
+        "bookmarkStart bookmarkEnd commentRangeStart commentRangeEnd proofErr permStart permEnd moveFromRangeStart moveFromRangeEnd moveToRangeStart moveToRangeEnd customXmlInsRangeStart customXmlInsRangeEnd "
+        "customXmlDelRangeStart customXmlDelRangeEnd customXmlMoveFromRangeStart customXmlMoveFromRangeEnd customXmlMoveToRangeStart customXmlMoveToRangeEnd"
+    ).split()
+)
 #: Prefixes that written parts keep.
-for prefix, uri in {
+PREFIXES = {
     "w": W[1:-1],
     "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
     "wp": "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing",
@@ -32,7 +40,8 @@ for prefix, uri in {
     "m": "http://schemas.openxmlformats.org/officeDocument/2006/math",
     "mc": "http://schemas.openxmlformats.org/markup-compatibility/2006",
     "w14": "http://schemas.microsoft.com/office/word/2010/wordml",
-}.items():
+}
+for prefix, uri in PREFIXES.items():
     ElementTree.register_namespace(prefix, uri)
 COUNTS = "doc_id string, part string, insertions long, deletions long, moves long, property_changes long, cells long, comment_anchors long, error string"
 
@@ -134,7 +143,7 @@ def resolved_xml(data: bytes, accept: bool) -> bytes:
         waiting: list[ElementTree.Element] = []
         for child in list(parent):
             if child.tag != f"{W}p":
-                if waiting and len(child.tag) and child.tag in (f"{W}tbl", f"{W}sectPr"):
+                if child.tag not in MARKERS:  # any other content parts the paragraphs; emptied tables are gone already
                     waiting = []
                 continue
             if waiting:
@@ -150,6 +159,13 @@ def resolved_xml(data: bytes, accept: bool) -> bytes:
     return ElementTree.tostring(root, encoding="utf-8", xml_declaration=True)
 
 
+def resolved_fragment(xml: str, accept: bool) -> str:
+    """A piece of a body, such as an opaque block kept as it was, with its revisions settled."""
+    spaces = "".join(f' xmlns:{p}="{u}"' for p, u in PREFIXES.items())
+    whole = resolved_xml(f"<w:body{spaces}>{xml}</w:body>".encode(), accept)
+    return "".join(ElementTree.tostring(x, encoding="unicode") for x in tree(whole))
+
+
 def resolved(packages: DataFrame, accept: bool) -> DataFrame:
     """M5: (doc_id, content, outcome): packages with all revisions accepted, or all rejected."""
     share_package(packages.sparkSession)

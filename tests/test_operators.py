@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import audit, blocks, cascade, diffing, grid, lines, matching, ordered, revisions, roles, transactions, update, validate, versions
-from palimpsest.sources import docx, html
+from palimpsest.operators import audit, blocks, cascade, diffing, grid, lines, matching, ordered, package_rules, revisions, roles, table_diff, transactions, update, validate, versions
+from palimpsest.sources import docx, docx_elements, docx_resolve, html
 
 
 def values(df, *columns):
@@ -150,9 +150,75 @@ def test_unlike_modifications_split(spark):
 
 
 def test_paragraph_split_is_found(spark):
-    rows = [(1, 0, "modified", 0, 0, "First part of it. Second part of it.", "First part of it."), (1, 1, "inserted", None, 1, None, "Second part of it.")]
+    whole, first, second = "The first part of the clause. And the second part of it.", "The first part of the clause.", "And the second part of it."
+    rows = [
+        (1, 0, "modified", 0, 0, whole, first), (1, 1, "inserted", None, 1, None, second),
+        (2, 0, "inserted", None, 0, None, "The first part of that clause."), (2, 1, "modified", 0, 1, whole, second),
+        (3, 0, "modified", 0, 0, whole, "Quite another thing stands here now"), (3, 1, "inserted", None, 1, None, second),
+        (4, 0, "modified", 0, 0, whole, first), (4, 1, "deleted", 1, None, second, None),
+    ]
     changes = spark.createDataFrame(rows, "doc_id long, seq int, change_type string, base_pos int, target_pos int, old_text string, new_text string")
-    assert values(diffing.paragraph_splits(changes), "base_pos") == [0]
+    assert sorted(values(diffing.paragraph_splits(changes), "doc_id", "seq", "split")) == [(1, 0, "after"), (2, 1, "before")]
+
+
+def rows_of_table(*rows):
+    return [{"row": n, "para_id": p, "cells": [{"col": c, "text": t, "span": 1} for c, t in enumerate(texts)]} for n, (p, *texts) in enumerate(rows)]
+
+
+def test_rows_of_tables_align():
+    old = rows_of_table((None, "head", "sum"), ("A", "x", "1"), (None, "some words here", "2"), (None, "gone for good", "77"))
+    new = rows_of_table((None, "head", "sum"), (None, "some words there", "2"), ("A", "entirely new", "9"), (None, "zzzz", "qqqq"))
+    assert table_diff.aligned_rows(old[:1], []) == [(0, None)] and table_diff.aligned_rows([], new[:1]) == [(None, 0)]
+    got = table_diff.aligned_rows(old, new)
+    assert (0, 0) in got and (1, 2) in got and sorted(i for i, _ in got if i is not None) == [0, 1, 2, 3] and sorted(j for _, j in got if j is not None) == [0, 1, 2, 3]
+    for side in (0, 1):
+        places = [p[side] for p in got if p[side] is not None]
+        assert places == sorted(places)
+    # A shared signature pattern but cells without anything in common come apart.
+    assert table_diff.aligned_rows(rows_of_table((None, "aaaa", "")), rows_of_table((None, "bbbb", ""))) in ([(0, None), (None, 0)], [(None, 0), (0, None)])
+
+
+def test_tables_are_compared(spark):
+    cells = "table_id long, row int, col int, text string, span int"
+    old = spark.createDataFrame([(1, 0, 0, "a", 1), (1, 0, 1, "the old words", 1), (1, 1, 0, "goes", 2), (2, 0, 0, "same", 1), (3, 0, 0, "only here", 1)], cells)
+    new = spark.createDataFrame([(1, 0, 0, "a", 2), (1, 0, 1, "the new words", 1), (2, 0, 0, "same", 1), (4, 0, 0, "only there", 1)], cells)
+    changes = table_diff.of_cells(old, new)
+    got = sorted(values(changes, "table_id", "old_row", "new_row", "col", "cell_change"), key=str)
+    assert got == sorted([("1", 0, 0, 0, "merge_changed"), ("1", 0, 0, 1, "modified"), ("1", 1, None, 0, "deleted"), ("2", 0, 0, 0, "unchanged"), ("3", 0, None, 0, "deleted"), ("4", None, 0, 0, "inserted")], key=str)
+    ops = changes.where("cell_change = 'modified'").first()["ops"]
+    assert "".join(o["text"] for o in ops if o["op"] != "insert") == "the old words" and "".join(o["text"] for o in ops if o["op"] != "delete") == "the new words"
+    kinds = "table_id long, row int, col int, kinds string"
+    none = spark.createDataFrame([], kinds)
+    assert dict(values(table_diff.table_changes(changes, none, none))) == {"1": "structure_changed", "2": "unchanged", "3": "structure_changed", "4": "structure_changed"}
+    two = spark.createDataFrame([(2, 0, 0, "paragraph,paragraph")], kinds)
+    assert dict(values(table_diff.table_changes(changes, none, two)))["2"] == "structure_changed"
+    nested = "table_id string, parent_id long, row int, col int, nth int"
+    pairs = table_diff.nested_pairs(changes, spark.createDataFrame([("n1", 1, 0, 1, 0), ("n2", 1, 1, 0, 0)], nested), spark.createDataFrame([("m1", 1, 0, 1, 0), ("m9", 4, 0, 0, 0)], nested))
+    assert sorted(values(pairs), key=str) == sorted([("n1", "m1", "paired"), ("n2", None, "deleted"), (None, "m9", "inserted")], key=str)
+
+
+def test_tracked_tables_have_two_texts(spark):
+    rows = [(1, 0, 0, 0, 0, "kept ", False, False), (1, 0, 0, 0, 1, "new", True, False), (1, 0, 0, 0, 2, "old", False, True), (1, 0, 1, 0, 0, " ", False, False), (1, 1, 0, 0, 0, "both", True, True), (1, 2, 0, 0, 0, "row", True, False)]
+    seg = spark.createDataFrame(rows, "table_id long, row int, col int, block int, seq int, text string, has_ins boolean, has_del boolean")
+    assert values(table_diff.tracked_texts(seg)) == [(1, "kept old", "kept new row")]
+
+
+PAIRS = [(["a"], ["a"]), (["a", "b"], ["a"]), (["a"], ["a", "b"]), (["a", "old end"], ["a", "fresh words"]), (["x y z"], ["q r s"]), (["one", "two"], ["three is new", "four is new", "five too"]), (["k", "", "m"], ["", "m", "n"]), (["d1 gone", "d2 gone"], ["kept not"]), ([""], ["a"]), (["a long line of words here", "b"], ["a long line of other words here", "c", "b"])]
+
+
+def test_redlines_accept_to_the_target_and_reject_to_the_base(spark):
+    """As written packages, resolved on their XML."""
+    pairs = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(PAIRS)], "doc_id long, old array<string>, new array<string>")
+    made = docx.write_redlines(diffing.redline(diffing.compared(pairs)), "me", "2024-01-01T00:00:00Z")
+    for accept in (True, False):
+        done = docx_resolve.resolved(made, accept)
+        got = {}
+        for doc, pos, text in sorted(values(docx.blocks(done), "doc_id", "pos", "text")):
+            got.setdefault(int(doc), []).append(text)
+        assert got == {n: list(b if accept else a) for n, (a, b) in enumerate(PAIRS)}
+    facts = docx_elements.package_facts(made)
+    assert [r for r in values(package_rules.findings_of(facts), "rule_id") if r != "I-REL-001"] == []
+
 
 
 def test_grid_orphans(spark):

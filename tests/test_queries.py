@@ -53,8 +53,8 @@ def test_full_numbering_agrees_with_counters(spark, data):
 
 def test_table_rows_align(spark, data):
     rows = ASSETS["aligned_table_rows"](spark, data).toPandas()
-    assert set(rows.change) <= {"matched", "modified", "deleted", "inserted"}
-    assert not rows.dropna(subset=["old_row"]).duplicated(["table_id", "old_row"]).any()
+    assert set(rows.cell_change) <= {"modified", "deleted", "inserted", "unchanged", "merge_changed"}
+    assert not rows.duplicated(["table_id", "old_row", "new_row", "col"]).any() and not rows.dropna(subset=["old_row"]).duplicated(["table_id", "old_row", "col"]).any()
 
 
 def test_html_blocks_have_text_only(spark, data):
