@@ -1,4 +1,4 @@
-"""Revision semantics over tracked segments.
+"""Revision semantics over tracked segments.
 
 A segment has ``has_ins`` and ``has_del``; both together are the stacked state,
 inserted and then deleted. Accepting and rejecting are one projection each, and a
@@ -38,8 +38,13 @@ def part_counts(revisions: DataFrame, document: str, part: str, kind: str) -> Da
     return revisions.rollup(document, part).agg(F.count("*").alias("n"), F.count_distinct(kind).alias("kinds")).where(F.col(document).isNotNull())
 
 
-def joined_marks(blk: DataFrame, removed: Column, props: str) -> DataFrame:
-    """M2, M7: a block whose mark is resolved away merges into the following one, whose properties win."""
+def joined_marks(blk: DataFrame, removed: Column, props: str, marker: Column | None = None) -> DataFrame:
+    """M2, M7: a block whose mark is resolved away merges into the following one, whose properties win.
+
+    Rows of ``marker`` have no width: joins step over them (M3), and they are in no group.
+    """
+    if marker is not None:
+        blk = blk.where(~F.coalesce(marker, F.lit(False)))
     before = F.coalesce(F.lag(removed).over(Window.partitionBy("doc_id").orderBy("pos")), F.lit(False))
     group = F.sum(F.when(before, 0).otherwise(1)).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
@@ -69,12 +74,38 @@ def resolved(segments: DataFrame, selection: DataFrame, action: str) -> DataFram
     return out.select(*segments.columns)
 
 
-def mixed_plan(segments: DataFrame, accepts: DataFrame, rejects: DataFrame) -> DataFrame:
-    """Accepts first, then rejects, whose ids must still be there; ids in both are a contradiction."""
-    both = accepts.select("revision_id").intersect(rejects.select("revision_id"))
-    after = resolved(segments, accepts, "accept")
-    done = resolved(after, rejects.join(both, "revision_id", "left_anti"), "reject")
-    return done.withColumn("status", status(F.col("has_ins"), F.col("has_del")))
+def mixed_plan(segments: DataFrame, accepts: DataFrame, rejects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segments after, refusals). Accepts come first, then rejects, whose ids must still be there.
+
+    A plan is refused as a whole for a document in which it names an id for both, an
+    id that the document has not, or a reject that the accepts have already settled:
+    the document's segments stay as they were, and each such id is a row with its
+    code. ``accepts``, ``rejects``: (doc_id, revision_id).
+    """
+    sides = segments.select("doc_id", F.explode(F.array_compact(F.array(F.when(F.col("has_ins"), F.col("ins_id")), F.when(F.col("has_del"), F.col("del_id"))))).alias("revision_id"))
+    known = sides.distinct().withColumn("known", F.lit(True))
+    a = accepts.select("doc_id", "revision_id").distinct().withColumn("a", F.lit(True))
+    r = rejects.select("doc_id", "revision_id").distinct().withColumn("r", F.lit(True))
+    keys = ["doc_id", "revision_id"]
+    named = a.join(r, keys, "full").join(known, keys, "left")
+    # An insertion that goes with an accepted deletion of the same segment cannot be rejected after it.
+    gone = segments.where("has_ins and has_del").join(a.select("doc_id", F.col("revision_id").alias("del_id")), ["doc_id", "del_id"], "left_semi").select("doc_id", F.col("ins_id").alias("revision_id"))
+    left = segments.join(a.select("doc_id", F.col("revision_id").alias("del_id")), ["doc_id", "del_id"], "left_anti")
+    still = left.select("doc_id", F.explode(F.array_compact(F.array(F.when(F.col("has_ins"), F.col("ins_id")), F.when(F.col("has_del"), F.col("del_id"))))).alias("revision_id")).distinct()
+    settled = gone.distinct().join(still, keys, "left_anti").withColumn("settled", F.lit(True))
+    code = F.when(F.col("a") & F.col("r"), "contradiction").when(F.col("known").isNull(), "unknown").when(F.col("r") & F.col("settled"), "settled_by_accept")
+    refused = named.join(settled, keys, "left").withColumn("code", code).where("code is not null").select("doc_id", "revision_id", "code")
+    bad = refused.select("doc_id").distinct()
+    live = segments.join(bad, "doc_id", "left_anti")
+    after = resolved(live, a.join(bad, "doc_id", "left_anti"), "accept")
+    done = resolved(after, r.join(bad, "doc_id", "left_anti"), "reject")
+    out = done.unionByName(segments.join(bad, "doc_id", "left_semi").select(*segments.columns))
+    return out.withColumn("status", status(F.col("has_ins"), F.col("has_del"))), refused
+
+
+def changed_blocks(revisions: DataFrame) -> DataFrame:
+    """The blocks that revisions touch, each once and in order."""
+    return revisions.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("blocks"))
 
 
 def plan_sets(known: DataFrame, accepts: DataFrame, rejects: DataFrame) -> DataFrame:

@@ -169,6 +169,8 @@ def outcomes(state: State, edits: DataFrame, owned: DataFrame | None = None) ->
     wide = plan.withColumn("prop_target", F.coalesce("target", F.col("pos").cast("string"), F.lit("")))
     for other in (faults, spoken, side, found, at):
         wide = wide.join(other, keys, "left")
+    there = state.blocks.select("doc_id", F.col("pos").alias("to"), F.lit(True).alias("to_there"))
+    wide = wide.withColumn("to", F.when(F.col("act") == "blocks.move", F.col("value").try_cast("int"))).join(there, ["doc_id", "to"], "left")
     wide = wide.join(blk, ["doc_id", "pos"], "left").join(props, ["doc_id", "kind", "prop_target", "name"], "left")
 
     def is_act(name: str) -> Column:
@@ -185,6 +187,7 @@ def outcomes(state: State, edits: DataFrame, owned: DataFrame | None = None) ->
         .when(F.col("act").isNull(), "unsupported_op")
         .when(F.col("impersonated"), "author_impersonation")
         .when(anchored & F.col("block_text").isNull(), "anchor_not_found")
+        .when(is_act("blocks.move") & F.col("to_there").isNull(), "anchor_not_found")
         .when(needs_cell & F.col("cell_there").isNull(), "target_not_found")
         .when(is_act("side.add") & F.col("side_there"), "duplicate_target")
         .when(on_side & ~is_act("side.add") & F.col("side_there").isNull(), "target_not_found")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import audit, blocks, cascade, diffing, grid, lines, matching, ordered, package_rules, revisions, roles, table_diff, transactions, update, validate, versions
+from palimpsest.operators import audit, blocks, cascade, diffing, grid, lines, matching, ordered, package_rules, revisions, roles, stories, table_diff, transactions, update, validate, versions
 from palimpsest.sources import docx, docx_elements, docx_resolve, html
 
 
@@ -136,6 +136,78 @@ def test_chains_and_threads_end_in_cycles(spark):
     assert sorted(values(cascade.flattened(styles, ["size"]), "style_id", "size", "depth")) == [("a", 2, 2), ("b", 2, 1), ("c", 3, 0)]
     edges = spark.createDataFrame([(1, 1, 2, True), (1, 2, 1, False), (1, 3, 9, False)], "doc_id long, para_id long, parent_id long, done boolean")
     assert sorted(values(audit.thread_roots(edges), "para_id", "root_id")) == [(1, 2), (2, 1), (3, 3)]
+    loop = spark.createDataFrame([("a", "b", 1), ("b", "c", None), ("c", "b", 3), ("d", "d", 4), ("e", "none", None)], "style_id string, based_on string, size int")
+    assert sorted(values(cascade.style_chains(loop), "style_id", "ancestor", "depth")) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("b", "b", 0), ("b", "c", 1), ("c", "b", 1), ("c", "c", 0), ("d", "d", 0), ("e", "e", 0)]
+
+
+def test_chains_and_threads_of_any_length(spark):
+    n = 700
+    styles = spark.createDataFrame([(k, k - 1 if k else None, 5 if k == 0 else None) for k in range(n)], "style_id int, based_on int, size int")
+    assert sorted(values(cascade.flattened(styles, ["size"]).where("style_id in (0, 350, 699)"))) == [(0, 5, 0), (350, 5, 350), (699, 5, 699)]
+    edges = spark.createDataFrame([(d, k, k - 1 if k else None, k == 0) for d in (1, 2) for k in range(n)] + [(2, -1, -2, True), (2, -2, -1, False), (2, -3, -2, False)], "doc_id long, para_id long, parent_id long, done boolean")
+    got = {(d, p): (r, k, done) for d, p, r, k, done in values(audit.thread_roots(edges))}
+    assert len(got) == 2 * n + 3 and all(got[d, k] == (0, k, True) for d in (1, 2) for k in range(n))
+    assert got[2, -1][0] == -2 and got[2, -2][0] == -1 and got[2, -3] == (-1, 2, True)
+
+
+def test_plans_that_contradict_are_refused(spark):
+    seg = spark.createDataFrame([(1, 0, "a", True, False, 1, None), (2, 0, "b", True, True, 2, 3), (3, 0, "c", True, False, 4, None), (4, 0, "d", True, False, 5, None)], "doc_id long, pos int, text string, has_ins boolean, has_del boolean, ins_id long, del_id long")
+    ids = "doc_id long, revision_id long"
+    accepts, rejects = spark.createDataFrame([(1, 1), (2, 3), (3, 9), (4, 5)], ids), spark.createDataFrame([(1, 1), (2, 2)], ids)
+    after, refused = revisions.mixed_plan(seg, accepts, rejects)
+    assert sorted(values(refused)) == [(1, 1, "contradiction"), (2, 2, "settled_by_accept"), (3, 9, "unknown")]
+    assert sorted(values(after, "doc_id", "status")) == [(1, "i"), (2, "s"), (3, "i"), (4, "n")]
+
+
+def test_audit_of_two_tracked_versions(spark):
+    schema = "doc_id long, pos int, seq int, text string, has_ins boolean, has_del boolean, author string"
+    same = [(1, 0, 0, "kept", False, False, None), (1, 1, 0, "prior", True, False, "you")]
+    before = spark.createDataFrame([*same, (2, 0, 0, "x", False, False, None), (2, 1, 0, "y", False, True, "you")], schema)
+    after = spark.createDataFrame([*same, (1, 0, 1, " and more", True, False, "me"), (2, 0, 0, "changed", False, False, None)], schema)
+    got = audit.audited(before, after)
+    rows = {r["doc_id"]: r for r in got["counts"].collect()}
+    assert (rows[1]["direct"], rows[1]["untouched"], rows[1]["new"], rows[1]["violations"], rows[1]["delivers"]) == (0, 1, 1, 0, True)
+    assert rows[2]["direct"] > 0 and rows[2]["resolved"] == 1 and not rows[2]["delivers"]
+    assert {r["prior"] for r in got["direct"].where("doc_id = 2 and base_pos = 1").collect()} == {"delete:you:1"}
+    ids = "artifact string, revision_id long"
+    task = audit.verified_task(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], ids), spark.createDataFrame([("a", 1), ("b", 7), ("c", 3)], ids), spark.createDataFrame([("a", True), ("b", True), ("c", False)], "artifact string, delivers boolean"))
+    assert {r["artifact"]: (r["missing"], r["undeclared"], r["verified"]) for r in task.collect()} == {"a": (0, 0, True), "b": (1, 1, False), "c": (0, 0, False)}
+
+
+def test_cascades_of_paragraphs_and_fonts(spark):
+    styles = spark.createDataFrame([("A", None, "left", 10), ("B", "A", None, 20)], "style_id string, based_on string, alignment string, spacing int")
+    paragraphs = spark.createDataFrame([(1, 0, "B", None, None), (1, 1, "B", "right", None), (1, 2, "No", None, None), (1, 3, None, None, 5)], "doc_id long, pos int, style_id string, alignment string, spacing int")
+    defaults = spark.createDataFrame([("both", 0)], "alignment string, spacing int")
+    assert sorted(values(cascade.paragraph_cascade(paragraphs, styles, defaults), "pos", "alignment", "spacing")) == [(0, "left", 20), (1, "right", 20), (2, "both", 0), (3, "both", 5)]
+    runs = spark.createDataFrame([(1, "minorAscii", "Times"), (1, "majorBidi", "Times"), (1, None, "Times"), (2, "minorHAnsi", None)], "doc_id long, theme_ref string, font string")
+    fonts = spark.createDataFrame([(1, "minor_latin", "Calibri")], "doc_id long, slot string, font string")
+    assert sorted(values(cascade.resolved_fonts(runs, fonts), "doc_id", "theme_ref", "effective_font"), key=str) == sorted([(1, "minorAscii", "Calibri"), (1, "majorBidi", "Times"), (1, None, "Times"), (2, "minorHAnsi", None)], key=str)
+    lists = "num_id int, ilvl int, kind string, start int"
+    one, two = spark.createDataFrame([(1, 0, "decimal", None), (2, 0, "roman", 1), (3, 0, "x", 1)], lists), spark.createDataFrame([(1, 0, "decimal", None), (2, 0, "roman", 2)], lists)
+    assert sorted(values(cascade.same_numbering(one, two, ["num_id", "ilvl"], ["kind", "start"]))) == [(1, 0, True), (2, 0, False), (3, 0, False)]
+
+
+def test_revision_tables(spark):
+    rows = spark.createDataFrame([(1, "new", "old"), (2, "new", None)], "id long, props string, previous_props string")
+    assert sorted(values(revisions.restored_properties(rows, False), "id", "props")) == [(1, "old"), (2, "new")] and sorted(values(revisions.restored_properties(rows, True), "id", "props")) == [(1, "new"), (2, "new")]
+    ids = "note_id long"
+    assert values(revisions.unreferenced(spark.createDataFrame([(1,), (2,)], ids), spark.createDataFrame([(2,), (2,)], ids))) == [2]
+    marks = spark.createDataFrame([(1, "start"), (1, "end"), (2, "start")], "range_id long, side string")
+    assert values(revisions.torn_ranges(marks), "range_id") == [2]
+    moves = spark.createDataFrame([(7, 1), (7, 2), (8, 3)], "move_id long, revision_id long")
+    assert sorted(values(revisions.whole_moves(spark.createDataFrame([(1,)], "revision_id long"), moves))) == [1, 2]
+    b = spark.createDataFrame([(1, 0, "a", "p0"), (1, 1, "mark", "m"), (1, 2, "b", "p2")], "doc_id long, pos int, text string, props string")
+    assert values(revisions.joined_marks(b, F.col("pos") == 0, "props", F.col("props") == "m"), "text", "props") == [("ab", "p2")]
+    assert values(spark.range(1).select(T.identity_tag(F.lit("field"), F.lit("x")), ordered.tab_stops(2000, 720))) == [("field:2d711642b726", [720, 1440])]
+    changes = spark.createDataFrame([(1, 0, "deleted", 0, None, "e1", None), (1, 1, "inserted", None, 0, None, "e2"), (1, 2, "matched", 1, 1, "t", "t")], "doc_id long, seq int, change_type string, base_pos int, target_pos int, old_text string, new_text string")
+    alike = F.coalesce("old_text", "new_text").startswith("e")
+    assert sorted(values(stories.paired_replacements(changes, alike), "seq", "change_type", "base_pos", "target_pos", "new_text")) == [(0, "modified", 0, 0, "e2"), (2, "matched", 1, 1, "t")]
+    paths = spark.createDataFrame([("/a/b",), ("/a/c",)], "path string")
+    assert values(validate.nested_in(paths, "path", "/b$", "R"), "subject") == ["/a/b"] and values(validate.too_many(paths, 1, "R"), "subject") == ["2"]
+    set_ = transactions.set_property(spark.createDataFrame([(1, "a")], "id long, p string"), spark.createDataFrame([(1, 0, "b"), (1, 1, "c")], "id long, seq int, value string"), ["id"], "p")
+    assert values(set_, "p", "previous_p") == [("c", "a")]
+
+
 
 
 def test_toggles_inherit_null(spark):
