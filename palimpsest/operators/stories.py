@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.kernels import content_similarity
+from palimpsest.operators import diffing
 from palimpsest.session import share_package
 
 
@@ -58,6 +59,23 @@ def paired_by_likeness(before: DataFrame, after: DataFrame) -> DataFrame:
     return one.groupBy("doc_id").cogroup(two.groupBy("doc_id")).applyInPandas(run, "doc_id long, old long, new long, how string")
 
 
+def compared_stories(before_refs: DataFrame, after_refs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, old, new, change, changes): stories of two versions paired by slot, and by likeness where no slot fits, with their lines compared.
+
+    ``before_refs``, ``after_refs``: (doc_id, story_id, section, kind); ``before``, ``after``: (doc_id, story_id, text).
+    """
+    slots = paired_by_slot(before_refs, after_refs).select("doc_id", "old", "new")
+    sure = slots.where("old is not null and new is not null")
+    one = before.join(sure.select("doc_id", F.col("old").alias("story_id")), ["doc_id", "story_id"], "left_anti")
+    two = after.join(sure.select("doc_id", F.col("new").alias("story_id")), ["doc_id", "story_id"], "left_anti")
+    pairs = sure.unionByName(paired_by_likeness(one, two).select("doc_id", "old", "new"))
+    texts = pairs.join(before.select("doc_id", F.col("story_id").alias("old"), F.col("text").alias("a")), ["doc_id", "old"], "left").join(after.select("doc_id", F.col("story_id").alias("new"), F.col("text").alias("b")), ["doc_id", "new"], "left")
+    kind = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "deleted").when(F.col("a").eqNullSafe(F.col("b")), "matched").otherwise("modified")
+    rows = texts.withColumn("change", kind).withColumn("key", F.xxhash64("doc_id", "old", "new"))
+    changed = diffing.compared(rows.where("change = 'modified'").select(F.col("key").alias("doc_id"), F.split(F.coalesce("a", F.lit("")), "\n").alias("old"), F.split(F.coalesce("b", F.lit("")), "\n").alias("new")))
+    return rows.join(changed.withColumnRenamed("doc_id", "key"), "key", "left").select("doc_id", "old", "new", "change", "changes")
+
+
 def paired_replacements(changes: DataFrame, alike: Column) -> DataFrame:
     """A deletion followed by an insertion of a like sort (as of equations) is one modification."""
     w = Window.partitionBy("doc_id").orderBy("seq")
@@ -140,6 +158,38 @@ def render(changes: DataFrame) -> DataFrame:
     )
 
 
+def render_single(blk: DataFrame) -> DataFrame:
+    """One row per block of a plain document: its text as one segment, and its list, if it is in one. ``blk`` may have num_id, ilvl and label."""
+    listed = F.lit(None).cast("struct<num_id:bigint,ilvl:int,label:string>")
+    if {"num_id", "ilvl"} <= set(blk.columns):
+        label = F.col("label") if "label" in blk.columns else F.lit(None).cast("string")
+        listed = F.when(F.col("num_id").isNotNull() & (F.col("num_id") != 0), F.struct(F.col("num_id").cast("bigint").alias("num_id"), F.col("ilvl").cast("int").alias("ilvl"), label.alias("label")))
+    segment = F.array(F.struct(F.lit("equal").alias("op"), F.col("text").alias("text")))
+    return blk.select("doc_id", "pos", F.concat(F.lit("b_"), "pos").alias("block_id"), F.when(F.col("text") == "", F.array().cast("array<struct<op:string,text:string>>")).otherwise(segment).alias("segments"), listed.alias("list"))
+
+
+def render_tracked(segments: DataFrame) -> DataFrame:
+    """One row per block of a tracked document: its runs in order as (op, text, author), neighbours of one look joined, objects apart.
+
+    ``segments``: (doc_id, pos, seq, text, has_ins, has_del, author). A stacked run is a deletion; a block is inserted or deleted if all its text is.
+    """
+    op = F.when(F.col("has_del"), "delete").when(F.col("has_ins"), "insert").otherwise("equal")
+    runs = F.array_sort(F.collect_list(F.struct("seq", op.alias("op"), "text", F.coalesce("author", F.lit("")).alias("author"))))
+    kind = "array<struct<op:string,text:string,author:string>>"
+
+    def joined(done, r):
+        last = F.try_element_at(done, F.lit(-1))
+        same = (F.size(done) > 0) & (last["op"] == r["op"]) & (last["author"] == r["author"]) & ~F.contains(F.concat(last["text"], r["text"]), F.lit("\ufffc"))
+        own = F.struct(r["op"].alias("op"), r["text"].alias("text"), r["author"].alias("author"))
+        longer = F.struct(r["op"].alias("op"), F.concat(last["text"], r["text"]).alias("text"), r["author"].alias("author"))
+        return F.when(same, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(own)))
+
+    rows = segments.groupBy("doc_id", "pos").agg(runs.alias("runs")).withColumn("segments", F.aggregate("runs", F.array().cast(kind), joined))
+    ops = F.array_distinct(F.transform(F.filter("segments", lambda x: x["text"] != ""), lambda x: x["op"]))
+    status = F.when(ops == F.array(F.lit("insert")), "inserted").when(ops == F.array(F.lit("delete")), "deleted").when(F.size(F.array_except(ops, F.array(F.lit("equal")))) > 0, "modified").otherwise("unchanged")
+    return rows.select("doc_id", "pos", status.alias("status"), "segments")
+
+
 def content_tags(blk: DataFrame) -> DataFrame:
     """What a block holds: text, digits, symbols, links, tables of bars."""
     text = F.col("text")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -33,3 +35,38 @@ def share_package(spark: SparkSession) -> SparkSession:
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     return spark
+
+
+class Sessions:
+    """IO16: cached versions of tables under handles, evicted by the caller's clock.
+
+    A handle is a DataFrame that Spark caches and can compute anew, so nothing here
+    must survive an executor. Handles idle for ``ttl`` seconds go with :meth:`evict`.
+    """
+
+    def __init__(self, ttl: float):
+        self.ttl = ttl
+        self._held: dict[str, tuple[DataFrame, float]] = {}
+
+    def put(self, df: DataFrame, now: float) -> str:
+        handle = uuid.uuid4().hex
+        self._held[handle] = (df.persist(StorageLevel.MEMORY_AND_DISK), now)
+        return handle
+
+    def get(self, handle: str, now: float) -> DataFrame:
+        if handle not in self._held:
+            raise KeyError(f"no session {handle}")
+        df, _ = self._held[handle]
+        self._held[handle] = (df, now)
+        return df
+
+    def clone(self, handle: str, now: float) -> str:
+        """Another handle for the same version; each goes by its own clock."""
+        return self.put(self.get(handle, now).select("*"), now)
+
+    def evict(self, now: float) -> list[str]:
+        """The handles that were idle too long, which are gone now."""
+        gone = [h for h, (_, last) in self._held.items() if now - last > self.ttl]
+        for h in gone:
+            self._held.pop(h)[0].unpersist()
+        return gone

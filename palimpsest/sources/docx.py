@@ -234,7 +234,7 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
 
 def _mapped(packages: DataFrame, schema: str, rows) -> DataFrame:
     fields = schema.split(", ")
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

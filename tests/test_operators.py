@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import session
 from palimpsest.functions import text as T
 from palimpsest.operators import audit, blocks, cascade, diffing, grid, lines, matching, ordered, package_rules, revisions, roles, stories, table_diff, transactions, update, validate, versions
 from palimpsest.sources import docx, docx_elements, docx_resolve, html
@@ -475,3 +476,31 @@ def test_data_uri_holds_all_bytes(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = dict(values(blocks.identity(df), "doc_id", "data_uri"))
     assert got == {n: "data:text/plain;base64," + base64.b64encode(t.encode()).decode() for n, t in enumerate(texts)}
+
+
+def test_sessions_are_evicted_when_idle(spark):
+    held = session.Sessions(ttl=10)
+    one = held.put(spark.range(3), now=0)
+    two = held.clone(one, now=8)
+    assert held.get(one, now=9).count() == 3 and held.evict(now=15) == [] and held.evict(now=18.5) == [two] and held.evict(now=19.5) == [one]
+    held.put(spark.range(1), now=19)
+    assert held.evict(now=50) and held.evict(now=50) == []
+    with pytest.raises(KeyError):
+        held.get(two, now=51)
+
+
+def test_renders_of_blocks(spark):
+    b = spark.createDataFrame([(1, 0, "a", 3, 1), (1, 1, "", 0, 0), (1, 2, "c", None, None)], "doc_id long, pos int, text string, num_id long, ilvl int")
+    got = {r["pos"]: (len(r["segments"]), r["list"] and (r["list"]["num_id"], r["list"]["ilvl"])) for r in stories.render_single(b).collect()}
+    assert got == {0: (1, (3, 1)), 1: (0, None), 2: (1, None)} and stories.render_single(b.select("doc_id", "pos", "text")).where("list is not null").count() == 0
+    rows = [(1, 0, 0, "a", False, False, None), (1, 0, 1, "b", False, False, None), (1, 0, 2, "x", True, False, "me"), (1, 0, 3, "y", True, True, "me"), (1, 1, 0, "gone", False, True, "me"), (1, 2, 0, "new", True, False, "me"), (1, 3, 0, "s", False, False, None), (1, 3, 1, "\ufffc", False, False, None)]
+    seg = spark.createDataFrame(rows, "doc_id long, pos int, seq int, text string, has_ins boolean, has_del boolean, author string")
+    got = {r["pos"]: (r["status"], [(x["op"], x["text"]) for x in r["segments"]]) for r in stories.render_tracked(seg).collect()}
+    assert got == {0: ("modified", [("equal", "ab"), ("insert", "x"), ("delete", "y")]), 1: ("deleted", [("delete", "gone")]), 2: ("inserted", [("insert", "new")]), 3: ("unchanged", [("equal", "s"), ("equal", "\ufffc")])}
+
+
+def test_comments_pair_as_notes_do(spark):
+    """The comments of two packages, through the same three passes."""
+    schema = "doc_id long, comment_id long, text string"
+    old, new = (spark.createDataFrame(rows, schema).withColumnRenamed("comment_id", "note_id") for rows in ([(1, 1, "why"), (1, 2, "moved away")], [(1, 1, "why not"), (1, 5, "moved away")]))
+    assert set(values(matching.note_pairs(old, new), "old", "new", "how")) == {(1, 1, "modified"), (2, 5, "renumbered")}

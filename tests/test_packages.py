@@ -105,3 +105,66 @@ def test_markup_runs():
     for bad in ("<b>x", "</b>", "<b><i>x</b></i>"):
         with pytest.raises(ValueError):
             docx_parts.markup_runs(bad)
+
+
+def test_settings_themes_equations_and_interiors(spark):
+    settings = f'<w:settings {NS}><w:evenAndOddHeaders w:val="0"/><w:updateFields/><w:defaultTabStop w:val="720"/><w:documentProtection w:edit="readOnly" w:enforcement="1"/><w:compat><w:compatSetting w:name="compatibilityMode" w:val="15"/></w:compat></w:settings>'
+    bad = f'<w:settings {NS}><w:updateFields w:val="maybe"/></w:settings>'
+    got = values(docx_parts.settings(packages(spark, with_parts("", settings=settings), with_parts(""), with_parts("", settings=bad), b"x")), "even_and_odd", "update_fields", "tab_stop", "protection", "protection_enforced", "compat", "error")
+    assert got == [(False, True, 720, "readOnly", True, "compatibilityMode=15", None), (None,) * 7, (None,) * 6 + ("updateFields: neither on nor off",), (None,) * 6 + ("not a package",)]
+    theme = f'<a:theme xmlns:a="{docx_parts.A[1:-1]}"><a:themeElements><a:fontScheme><a:majorFont><a:latin typeface="Cambria"/><a:ea typeface=""/></a:majorFont><a:minorFont><a:latin typeface="Calibri"/></a:minorFont></a:fontScheme></a:themeElements></a:theme>'
+    content = docx.packed({docx.MAIN_PART: b"<x/>", "word/theme/theme1.xml": theme.encode()})
+    assert values(docx_parts.theme_fonts(packages(spark, content, b"x")), "slot", "font") == [("major_latin", "Cambria"), ("minor_latin", "Calibri")]
+    body = (
+        f'<w:p><m:oMath xmlns:m="{docx_parts.M[1:-1]}"><m:r/></m:oMath></w:p><w:p><w:r><w:txbxContent><w:p><w:r><w:t>in</w:t></w:r></w:p><w:p><w:r><w:t>side</w:t></w:r></w:p></w:txbxContent></w:r></w:p>'
+        '<w:sdt><w:sdtPr><w:tag w:val="a"/></w:sdtPr><w:sdtContent><w:p><w:r><w:t>free</w:t></w:r></w:p></w:sdtContent></w:sdt><w:sdt><w:sdtPr><w:lock w:val="contentLocked"/></w:sdtPr><w:sdtContent><w:p/></w:sdtContent></w:sdt>'
+    )
+    df = packages(spark, with_parts(body), b"x")
+    assert values(docx_parts.editable_interiors(df), "pos", "kind", "nth", "tag", "text") == [(1, "textbox", 0, None, "in\nside"), (2, "control", 0, "a", "free")]
+    assert [(p, "oMath" in x) for p, x in values(docx_parts.equations(df), "pos", "xml")] == [(0, True)]
+
+
+def test_choices_of_markup():
+    head = f'xmlns:mc="{docx_parts.MC[1:-1]}" {NS} xmlns:w14="{docx_parts.W14[1:-1]}" xmlns:q="urn:q"'
+
+    def chosen(inner):
+        return docx_parts.with_chosen_branches(f"<w:p {head}>{inner}</w:p>".encode()).decode()
+
+    both = '<mc:AlternateContent><mc:Choice Requires="q"><w:a/></mc:Choice><mc:Choice Requires="w14 w"><w:b/></mc:Choice><mc:Fallback><w:c/></mc:Fallback></mc:AlternateContent>'
+    assert "<w:b" in chosen(both) and "<w:a" not in chosen(both) and "<w:c" not in chosen(both) and "AlternateContent" not in chosen(both)
+    only = '<mc:AlternateContent><mc:Choice Requires="q"><w:a/></mc:Choice><mc:Fallback><w:c/></mc:Fallback></mc:AlternateContent>'
+    assert "<w:c" in chosen(only) and "<w:c" not in chosen(only.replace("<mc:Fallback><w:c/></mc:Fallback>", ""))
+    with pytest.raises(docx.PackageError):
+        chosen('<mc:AlternateContent><mc:Choice Requires="nowhere"><w:a/></mc:Choice></mc:AlternateContent>')
+
+
+def test_tolerated_shapes_become_regular():
+    root = docx.tree(f'<w:body {NS}><w:p><w:pPr><w:shd w:val="none"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>a</w:t><w:r><w:t>b</w:t></w:r><w:t>c</w:t></w:r><w:tbl/></w:p><w:p><w:pPr><w:shd w:val="none" w:fill="FF0000"/></w:pPr></w:p></w:body>'.encode())
+    assert sorted(docx_parts.normalized_shapes(root)) == ["nested_run", "shading_none", "shading_none", "table_in_paragraph"]
+    assert [c.tag.removeprefix(docx.W) for c in root] == ["p", "tbl", "p"]
+    runs = root[0].findall(f"{docx.W}r")
+    assert [r.find(f"{docx.W}t").text for r in runs] == ["a", "b", "c"] and [r.find(f"{docx.W}rPr") is not None for r in runs] == [True, False, True]
+    assert root[0].find(f".//{docx.W}shd") is None and root[2].find(f".//{docx.W}shd").attrib == {f"{docx.W}fill": "FF0000"}
+    assert docx_parts.normalized_shapes(root) == []
+
+
+def test_volatile_fields_are_place_holders(spark):
+    field = '<w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText> {} </w:instrText></w:r><w:r><w:fldChar w:fldCharType="separate"/></w:r><w:r><w:t>1 May</w:t></w:r><w:r><w:t> 2024</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r>'
+    body = f'<w:p><w:r><w:t>On </w:t></w:r>{field.format("DATE \\@ d")}</w:p><w:p>{field.format("REF x")}</w:p><w:p><w:fldSimple w:instr="time"><w:r><w:t>12:00</w:t></w:r></w:fldSimple></w:p>'
+    assert values(docx.spans(packages(spark, with_parts(body))), "text") == ["On \ufffc", "1 May 2024", "\ufffc"]
+
+
+def test_fragments_and_markers_are_resolved(spark):
+    fragment = '<w:p><w:ins w:id="1"><w:r><w:t>in</w:t></w:r></w:ins><w:del w:id="2"><w:r><w:delText>out</w:delText></w:r></w:del></w:p>'
+    assert "in" in docx_resolve.resolved_fragment(fragment, True) and "out" not in docx_resolve.resolved_fragment(fragment, True)
+    assert "out" in docx_resolve.resolved_fragment(fragment, False) and "delText" not in docx_resolve.resolved_fragment(fragment, False)
+    joined = '<w:p><w:pPr><w:rPr><w:del w:id="1"/></w:rPr></w:pPr><w:r><w:t>a</w:t></w:r></w:p>{}<w:p><w:r><w:t>b</w:t></w:r></w:p>'
+    contents = [with_parts(joined.format(x)) for x in ('<w:bookmarkStart w:id="5"/><w:proofErr/>', "<w:sdt/>", '<w:tbl><w:tr><w:trPr><w:del w:id="9"/></w:trPr></w:tr></w:tbl>')]
+    done = docx_resolve.resolved(packages(spark, *contents), True)
+    texts = {}
+    for doc, kind, text in values(docx.blocks(done), "doc_id", "block_type", "text"):
+        if kind == "paragraph":
+            texts.setdefault(doc, []).append(text)
+    assert texts == {"0": ["ab"], "1": ["a", "b"], "2": ["ab"]}
+    glossary = docx.packed({docx.MAIN_PART: b"<x/>", "word/glossary/document.xml": f"<w:p {NS}>{fragment[5:]}".encode()})
+    assert b"out" not in dict(docx.parts_of(docx_resolve.resolved(packages(spark, glossary), True).first()["content"]))["word/glossary/document.xml"]

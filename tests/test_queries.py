@@ -3,7 +3,7 @@
 import pytest
 from results import rows_of, rows_of_sql
 
-from palimpsest.plans import block_queries, registry, revision_queries
+from palimpsest.plans import block_queries, edit_queries, registry, revision_queries
 
 ASSETS = registry.queries()
 SQL = registry.oracle_sql()
@@ -16,7 +16,7 @@ def test_query_equals_sql(name, spark, data, oracle):
 
 def test_all_are_registered():
     assert len(ASSETS) > 70
-    assert block_queries.replace_gated and revision_queries.mixed_plan
+    assert block_queries.replace_gated and revision_queries.mixed_plan and edit_queries.package_findings
 
 
 def test_ordered_anchors_keep_their_order(spark, data):
