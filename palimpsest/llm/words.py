@@ -12,7 +12,7 @@ _WRAP = 1 << 64
 class WordHashes(dict):
     """xxh3 hashes of words (bytes); emptied at ``most`` entries."""
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
