@@ -59,12 +59,12 @@ SCHEMA = (
 def repeated_words(hashes: np.ndarray, spans: Spans, width: int = 5) -> int:
     """Words in windows of ``width`` that are found twice or more, of a text's word hashes."""
     windows = spans.windows(hashes, width)
-    order = np.argsort(windows, kind="stable")
-    same = windows[order[1:]] == windows[order[:-1]]
+    ordered = np.sort(windows)
+    same = ordered[1:] == ordered[:-1]
     if not same.any():
         return 0
-    twice = np.zeros(len(windows) + 1, dtype=bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    some = ordered[1:][same]
+    twice = some[np.minimum(np.searchsorted(some, windows), len(some) - 1)] == windows
     edges = np.zeros(len(hashes) + 1, dtype=np.int64)  # windows that begin, less those that ended
     starts = np.flatnonzero(twice)
     edges[starts] += 1
