@@ -79,16 +79,14 @@ def raw_changes(old: Sequence[Piece], new: Sequence[Piece]) -> list[Run]:
 def merged(runs: Sequence[Run]) -> list[Run]:
     """Neighbours of one look as one run; objects stay apart."""
     out: list[Run] = []
-    for r in runs:
-        if out and r.opaque is None and out[-1].opaque is None and out[-1].look == r.look:
-            out[-1] = replace(out[-1], text=out[-1].text + r.text)
-        else:
-            out.append(r)
+    for (look, opaque), group in groupby(runs, key=lambda r: (r.look, r.opaque is not None)):
+        some = list(group)
+        out += some if opaque or len(some) == 1 else [Run(look[0], "".join(r.text for r in some), *look[1:])]
     return out
 
 
 def visible(text: str) -> int:
-    return sum(not c.isspace() for c in text)
+    return len("".join(text.split()))
 
 
 def is_anchor(run: Run) -> bool:

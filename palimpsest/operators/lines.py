@@ -19,6 +19,12 @@ from palimpsest.operators import blocks, update
 from palimpsest.session import share_package
 
 
+def spread(documents: DataFrame) -> DataFrame:
+    """A scan of fewer pieces than there are cores, dealt to all of them, for comparisons that cost far more than a shuffle; others as they are."""
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return documents if documents.rdd.getNumPartitions() >= cores else documents.repartition(cores)
+
+
 def with_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, lines) of documents that have a text."""
     return documents.where(F.col("text").isNotNull()).select("doc_id", F.split("text", "\n").alias("lines"))

@@ -310,33 +310,33 @@ def untouched_proof(t):
 
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def diff_reject_equals_base(t):
-    return diffing.rebuilt_rows(diffing.compared(lines.revised_pairs(t.documents)), accept=False)
+    return diffing.rebuilt_rows(diffing.compared(lines.revised_pairs(lines.spread(t.documents))), accept=False)
 
 
 @query(f"WITH {BLK}, {TGT} SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM tgt GROUP BY doc_id")
 def diff_accept_equals_target(t):
-    return diffing.rebuilt_rows(diffing.compared(lines.revised_pairs(t.documents)), accept=True)
+    return diffing.rebuilt_rows(diffing.compared(lines.revised_pairs(lines.spread(t.documents))), accept=True)
 
 
 @query("SELECT CAST(0 AS BIGINT) AS n_changes")
 def diff_self_empty(t):
-    pairs = lines.with_lines(t.documents).select("doc_id", F.col("lines").alias("old"), F.col("lines").alias("new"))
+    pairs = lines.with_lines(lines.spread(t.documents)).select("doc_id", F.col("lines").alias("old"), F.col("lines").alias("new"))
     return diffing.changes_of(diffing.compared(pairs)).where("change_type <> 'matched'").agg(F.count("*").alias("n_changes"))
 
 
 @query()
 def align_blocks(t):
-    return diffing.with_unrelated_split(diffing.changes_of(diffing.compared(lines.revised_pairs(t.documents), words=False)))
+    return diffing.with_unrelated_split(diffing.changes_of(diffing.compared(lines.revised_pairs(lines.spread(t.documents)), words=False)))
 
 
 @query()
 def inline_ops(t):
-    return diffing.inline_of(diffing.compared(lines.revised_pairs(t.documents))).where("change_type = 'modified'")
+    return diffing.inline_of(diffing.compared(lines.revised_pairs(lines.spread(t.documents)))).where("change_type = 'modified'")
 
 
 @query()
 def insertion_anchors(t):
-    return diffing.insertion_anchors(diffing.changes_of(diffing.compared(lines.revised_pairs(t.documents), words=False)))
+    return diffing.insertion_anchors(diffing.changes_of(diffing.compared(lines.revised_pairs(lines.spread(t.documents)), words=False)))
 
 
 @query(

@@ -136,7 +136,7 @@ def package_preflight(t):
 
 
 def redlines(t):
-    return docx.write_redlines(diffing.redline(diffing.compared(lines.revised_pairs(t.documents))), "me", "2024-01-01T00:00:00Z")
+    return docx.write_redlines(diffing.redline(diffing.compared(lines.revised_pairs(lines.spread(t.documents)))), "me", "2024-01-01T00:00:00Z")
 
 
 def _texts(resolved):

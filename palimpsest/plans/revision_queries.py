@@ -583,4 +583,4 @@ def empty_selection(t):
 
 @query()
 def pair_render(t):
-    return stories.render(diffing.changes_of(diffing.compared(lines.revised_pairs(t.documents), words=False)))
+    return stories.render(diffing.changes_of(diffing.compared(lines.revised_pairs(lines.spread(t.documents)), words=False)))
