@@ -110,12 +110,17 @@ def acts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*rows, ("table_op", "cells", None)], "op string, act string, kind string")
 
 
-def schema_faults(edits: DataFrame) -> DataFrame:
-    """Edits that no state could satisfy, each a row with its code."""
-    known = F.broadcast(operation_catalog(edits.sparkSession).join(acts(edits.sparkSession), "op", "left"))
+def planned(edits: DataFrame) -> DataFrame:
+    """Edits with the pattern and the act of their operation."""
+    spark = edits.sparkSession
+    return edits.join(F.broadcast(operation_catalog(spark).select("op", "pattern").join(acts(spark), "op", "left")), "op", "left")
+
+
+def fault() -> Column:
+    """What is wrong with a planned edit whatever the state."""
     on_block = F.col("act").startswith("blocks.")
     by_target = F.col("act").startswith("side.") | (F.col("act") == "cells")
-    code = (
+    return (
         F.when(F.col("pattern").isNull(), "unknown_op")
         .when(on_block & (F.col("pos").isNull() | (F.col("pos") < 0)), "missing_target")
         .when(by_target & F.col("target").isNull(), "missing_target")
@@ -124,7 +129,16 @@ def schema_faults(edits: DataFrame) -> DataFrame:
         .when((F.col("act") == "cells") & ~F.coalesce(F.col("name").isin(*TABLE_OPS), F.lit(False)), "unsupported_op")
         .when(F.col("op").isin("replace", "insert", "move", "comment_create", "comment_reply", "edit_note", "rename_bookmark") & F.col("value").isNull(), "missing_value")
     )
-    return edits.join(known, "op", "left").withColumn("code", code).where("code is not null").select("txn_id", "doc_id", "seq", "op", "code")
+
+
+def schema_faults(edits: DataFrame) -> DataFrame:
+    """Edits that no state could satisfy, each a row with its code."""
+    return planned(edits).withColumn("code", fault()).where("code is not null").select("txn_id", "doc_id", "seq", "op", "code")
+
+
+def acts_of(edits: DataFrame) -> set[str]:
+    """The acts that edits ask for, of which there are a dozen; what no edit asks for needs no join."""
+    return {r["act"] for r in planned(edits).select("act").where("act is not null").distinct().collect()}
 
 
 def impersonated(edits: DataFrame, revisions: DataFrame) -> DataFrame:
@@ -139,15 +153,15 @@ def address(k: int) -> Column:
     return F.when(part != "", part)
 
 
-def outcomes(state: State, edits: DataFrame, owned: DataFrame | None = None) -> DataFrame:
+def outcomes(state: State, edits: DataFrame, owned: DataFrame | None = None, present: set[str] | None = None) -> DataFrame:
     """Each edit with its act and its code: ok, or the first reason against it, before anything is applied.
 
     ``owned``: revisions (doc_id, author) that are there already, for U13.
     """
     keys = ["txn_id", "doc_id", "seq"]
-    plan = edits.join(F.broadcast(acts(edits.sparkSession)), "op", "left")
-    faults = schema_faults(edits).select(*keys, F.col("code").alias("fault"))
-    spoken = impersonated(edits, owned).select(*keys, F.lit(True).alias("impersonated")) if owned is not None else faults.select(*keys, F.lit(True).alias("impersonated")).where("false")
+    present = acts_of(edits) if present is None else present
+    plan = planned(edits)
+    none = F.lit(None)
     blk = state.blocks.select("doc_id", "pos", F.col("text").alias("block_text"))
     # Side rows by kind and key: those that are there, and those that the transaction adds earlier.
     added = plan.where("act = 'side.add'").select("doc_id", "kind", F.col("target").alias("key"), F.col("seq").alias("since"), F.col("txn_id").alias("by"))
@@ -166,12 +180,24 @@ def outcomes(state: State, edits: DataFrame, owned: DataFrame | None = None) ->
     tables = plan.where("act = 'cells' or kind in ('cell', 'row', 'table')").select(*keys, address(0).alias("table_id"), address(1).cast("int").alias("r"), address(2).cast("int").alias("c"))
     at = tables.join(cells, ["doc_id", "table_id"]).where("(r is null or r = row) and (c is null or c = col)").groupBy(*keys).agg(F.min("cell_text").alias("cell_text"), F.lit(True).alias("cell_there"))
     props = state.properties.select("doc_id", F.col("scope").alias("kind"), F.col("target").alias("prop_target"), "name", F.col("value").alias("prop_value"))
-    wide = plan.withColumn("prop_target", F.coalesce("target", F.col("pos").cast("string"), F.lit("")))
-    for other in (faults, spoken, side, found, at):
-        wide = wide.join(other, keys, "left")
+    on_sides, on_cells, on_properties = any(a.startswith("side.") for a in present), "cells" in present, "properties.set" in present
+    wide = plan.withColumn("fault", fault()).withColumn("prop_target", F.coalesce("target", F.col("pos").cast("string"), F.lit("")))
+    absent = {"side_text": none.cast("string"), "done": none.cast("boolean"), "side_there": none.cast("boolean"), "ref_there": none.cast("boolean"), "cell_text": none.cast("string"), "cell_there": none.cast("boolean"), "impersonated": none.cast("boolean"), "prop_value": none.cast("string"), "to_there": none.cast("boolean")}
+    if owned is not None:
+        wide = wide.join(impersonated(edits, owned).select(*keys, F.lit(True).alias("impersonated")), keys, "left")
+    if on_sides:
+        wide = wide.join(side, keys, "left")
+    if on_sides or on_properties:
+        wide = wide.join(found, keys, "left")
+    if on_cells or on_properties:
+        wide = wide.join(at, keys, "left")
     there = state.blocks.select("doc_id", F.col("pos").alias("to"), F.lit(True).alias("to_there"))
-    wide = wide.withColumn("to", F.when(F.col("act") == "blocks.move", F.col("value").try_cast("int"))).join(there, ["doc_id", "to"], "left")
-    wide = wide.join(blk, ["doc_id", "pos"], "left").join(props, ["doc_id", "kind", "prop_target", "name"], "left")
+    if "blocks.move" in present:
+        wide = wide.withColumn("to", F.when(F.col("act") == "blocks.move", F.col("value").try_cast("int"))).join(there, ["doc_id", "to"], "left")
+    if on_properties:
+        wide = wide.join(props, ["doc_id", "kind", "prop_target", "name"], "left")
+    wide = wide.join(blk, ["doc_id", "pos"], "left")
+    wide = wide.withColumns({c: v for c, v in absent.items() if c not in wide.columns})
 
     def is_act(name: str) -> Column:
         return F.col("act") == name
@@ -202,12 +228,15 @@ def outcomes(state: State, edits: DataFrame, owned: DataFrame | None = None) ->
 
 def applied(state: State, edits: DataFrame, owned: DataFrame | None = None) -> tuple[State, DataFrame]:
     """(state after, outcomes)."""
-    judged = outcomes(state, edits, owned)
+    present = acts_of(edits)
+    judged = outcomes(state, edits, owned, present)
     failed = F.max((F.col("code") != "ok").cast("int")).over(Window.partitionBy("txn_id", "doc_id"))
     judged = judged.withColumn("outcome", F.when(failed == 1, F.when(F.col("code") == "ok", "rolled_back").otherwise("refused")).otherwise("applied"))
     live = judged.where("outcome = 'applied'")
-    blocks, made = blocks_after(state.blocks, live)
-    after = replace(state, blocks=blocks, cells=cells_after(state.cells, live).unionByName(made), properties=properties_after(state.properties, live), side=side_after(state.side, live))
+    blocks, made = blocks_after(state.blocks, live, present)
+    cells = cells_after(state.cells, live) if "cells" in present else state.cells.select("doc_id", "table_id", "row", "col", "text")
+    side = side_after(state.side, live) if any(a.startswith("side.") for a in present) else state.side
+    after = replace(state, blocks=blocks, cells=cells.unionByName(made), properties=properties_after(state.properties, live), side=side)
     return after, judged.select("txn_id", "doc_id", "seq", "op", "code", "outcome")
 
 
@@ -222,7 +251,7 @@ def _renumbered(df: DataFrame, keys: list[str], order: list[str], name: str) ->
     return df.withColumn(name, (F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("int"))
 
 
-def blocks_after(blk: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+def blocks_after(blk: DataFrame, live: DataFrame, present: set[str]) -> tuple[DataFrame, DataFrame]:
     """Blocks after live edits, and the cells of the tables that blocks became. Added and moved blocks stand after their anchor."""
     act = F.col("act")
     edits = live.where(act.startswith("blocks."))
@@ -235,7 +264,7 @@ def blocks_after(blk: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]
     )
     now = blk.join(own, ["doc_id", "pos"], "left").withColumn("text", F.coalesce("new_text", "text"))
     to_table = ranged.groupBy("doc_id", "pos").agg(F.min(F.struct("seq", "sign")).alias("t"))
-    now = now.join(to_table, ["doc_id", "pos"], "left")
+    now = now.join(to_table, ["doc_id", "pos"], "left") if "blocks.table" in present else now.withColumn("t", F.lit(None).cast("struct<seq:int,sign:string>"))
     moved = edits.where(act == "blocks.move").select("doc_id", "pos", "seq", F.col("value").cast("int").alias("to")).join(now.select("doc_id", "pos", "text"), ["doc_id", "pos"])
     arriving = moved.groupBy("doc_id", F.col("to").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("seq", F.col("text").alias("value")))).alias("arriving"))
     stays = ~F.coalesce("removed", F.lit(False)) & F.col("t").isNull()
@@ -243,7 +272,8 @@ def blocks_after(blk: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]
     rows = F.concat(
         F.when(stays, F.array(F.struct(F.lit(-1).alias("seq"), F.col("text").alias("value")))).otherwise(nothing), F.array_sort(F.concat(F.coalesce("added", nothing), F.coalesce("arriving", nothing)))
     )
-    flat = now.join(arriving, ["doc_id", "pos"], "left").select("doc_id", F.col("pos").alias("old_pos"), F.posexplode(rows).alias("n", "r"))
+    now_too = now.join(arriving, ["doc_id", "pos"], "left") if "blocks.move" in present else now.withColumn("arriving", F.lit(None).cast(_ROWS))
+    flat = now_too.select("doc_id", F.col("pos").alias("old_pos"), F.posexplode(rows).alias("n", "r"))
     pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("old_pos", "n")) - 1
     after = flat.select("doc_id", pos.alias("pos"), F.col("r.value").alias("text"))
     table_rows = _renumbered(now.where("t is not null").withColumn("table_id", F.concat(F.lit("new"), F.col("t.seq"))), ["doc_id", "table_id"], ["pos"], "row")
