@@ -91,7 +91,7 @@ class State:
     @classmethod
     def of(cls, blocks: DataFrame, cells: DataFrame | None = None, properties: DataFrame | None = None, side: DataFrame | None = None) -> State:
         def or_empty(df: DataFrame | None, schema: str) -> DataFrame:
-            return blocks.sparkSession.createDataFrame([], schema) if df is None else df
+            return empty(blocks.sparkSession, schema) if df is None else df
 
         return cls(blocks, or_empty(cells, CELLS), or_empty(properties, PROPERTIES), or_empty(side, SIDE))
 
@@ -102,18 +102,40 @@ def operation_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "op string, op_group string, pattern string")
 
 
-def acts(spark: SparkSession) -> DataFrame:
+def act_rows() -> list[tuple[str, str, str | None]]:
     """(op, act, kind): the table an operation acts on with what it does there, as blocks.text or side.add, and the side kind or scope."""
-    rows = [(op, f"blocks.{act}", None) for op, act in ON_BLOCKS.items()]
+    rows: list[tuple[str, str, str | None]] = [(op, f"blocks.{act}", None) for op, act in ON_BLOCKS.items()]
     rows += [(op, f"side.{act}", kind) for act, ops in ON_SIDE.items() for op, kind in ops.items()]
     rows += [(op, "properties.set", scope) for op, scope in ON_PROPERTIES.items()]
-    return spark.createDataFrame([*rows, ("table_op", "cells", None)], "op string, act string, kind string")
+    return [*rows, ("table_op", "cells", None)]
+
+
+def acts(spark: SparkSession) -> DataFrame:
+    """:func:`act_rows` as a table."""
+    return spark.createDataFrame(act_rows(), "op string, act string, kind string")
+
+
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of a schema, without a Python worker."""
+    return spark.range(0).selectExpr(*(f"cast(null as {kind}) as {name}" for name, kind in (c.split() for c in schema.split(", "))))
 
 
 def planned(edits: DataFrame) -> DataFrame:
-    """Edits with the pattern and the act of their operation."""
-    spark = edits.sparkSession
-    return edits.join(F.broadcast(operation_catalog(spark).select("op", "pattern").join(acts(spark), "op", "left")), "op", "left")
+    """Edits with the pattern, the act and the kind of their operation; plain expressions, no join."""
+
+    def chosen(pairs: dict[str, list[str]]) -> Column:
+        return F.coalesce(*(F.when(F.col("op").isin(*ops), F.lit(name)) for name, ops in pairs.items()), F.lit(None).cast("string"))
+
+    patterns: dict[str, list[str]] = {}
+    for (_, pattern), ops in CATALOG.items():
+        patterns.setdefault(pattern, []).extend(ops.split())
+    by_act: dict[str, list[str]] = {}
+    by_kind: dict[str, list[str]] = {}
+    for op, act, kind in act_rows():
+        by_act.setdefault(act, []).append(op)
+        if kind:
+            by_kind.setdefault(kind, []).append(op)
+    return edits.withColumns({"pattern": chosen(patterns), "act": chosen(by_act), "kind": chosen(by_kind)})
 
 
 def fault() -> Column:
@@ -330,5 +352,5 @@ def set_property(rows: DataFrame, edits: DataFrame, key: list[str], name: str, i
 
 def edits_of(*frames: DataFrame) -> DataFrame:
     """Edits from frames that leave columns out; those are null."""
-    spark = frames[0].sparkSession
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames, spark.createDataFrame([], EDITS))
+    fields = [c.split() for c in EDITS.split(", ")]
+    return reduce(DataFrame.unionByName, (f.select(*((F.col(n) if n in f.columns else F.lit(None)).cast(k).alias(n) for n, k in fields)) for f in frames))
