@@ -16,6 +16,9 @@ FOLDED_TO = " " * len(FOLDED_SPACES) + "'''" + '""'
 #: Lengths of previews, excerpts' radius, and least bytes of moves and splits.
 PREVIEW_CHARS, EXCERPT_RADIUS, MOVE_BYTES, SPLIT_BYTES = 120, 32, 20, 10
 
+#: A word as tokens know it: letters, digits and underscores.
+WORD = "[\\p{L}\\p{N}_]+"
+
 
 def n_words(text: Column) -> Column:
     """Words parted by single spaces; an empty text has one empty word."""

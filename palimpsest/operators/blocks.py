@@ -7,13 +7,21 @@ Document order is data: every table carries ``pos``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.session import share_package
 
 #: Rows of a page by default and at most, patterns of a search at most.
 PAGE_ROWS, PAGE_MOST, PATTERNS_MOST = 16, 64, 8
+#: Words that a worker lays out at once; a longer block is laid out whole.
+WORDS_AT_ONCE = 100_000
 
 
 def so_far():
@@ -118,14 +126,42 @@ def section_of(blk: DataFrame, heading: int) -> DataFrame:
     return after.withColumn("ends", ends).where("ends = 0").select("doc_id", "pos", "text")
 
 
+def cut_by_words(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows with about ``most`` words in all; a longer row is a run of its own."""
+    at = np.cumsum(counts) // most
+    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(counts)]
+    yield from ((a, z) for a, z in zip(edges, edges[1:]) if a < z)
+
+
 def span_handles(blk: DataFrame) -> DataFrame:
-    """Dense handles s_0.. of a block's words, with offsets."""
-    parts = F.transform(T.simple_tokens(F.col("text")), lambda t: F.struct(t.alias("text"), F.char_length(t).alias("n")))
-    start = F.aggregate(F.slice("parts", 1, F.col("at")), F.lit(0), lambda a, p: a + p["n"])
-    rows = blk.withColumn("parts", parts).select("doc_id", "pos", "parts", F.posexplode("parts").alias("at", "part"))
-    spans = rows.where(F.col("part.text").rlike("[\\p{L}\\p{N}_]")).withColumn("start", start)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "pos").orderBy("at")) - 1
-    return spans.select("doc_id", "pos", F.concat(F.lit("s_"), nth).alias("handle"), F.col("start").cast("long").alias("start"), F.col("part.text").alias("text"))
+    """Dense handles s_0.. of a block's words, with offsets.
+
+    A word begins where the words and gaps before it end: one running sum over the
+    words of a batch, without a shuffle, and no row carries its block along.
+    """
+    share_package(blk.sparkSession)
+    gaps = F.transform(F.split("text", T.WORD, -1), lambda g: F.char_length(g))
+    rows = blk.where("text is not null").select("doc_id", "pos", F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0)).alias("words"), gaps.alias("gaps"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = batch.column("words").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, end in cut_by_words(counts, WORDS_AT_ONCE):
+                some, n = batch.slice(first, end - first), counts[first:end]
+                words, begins = some.column("words").flatten(), np.cumsum(n) - n
+                row = np.repeat(np.arange(len(n)), n)
+                nth = np.arange(len(row)) - begins[row]
+                # A block has a gap before each word and one after the last.
+                before = some.column("gaps").flatten().to_numpy(zero_copy_only=False)[np.arange(len(row)) + row]
+                length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+                ends = np.cumsum(before.astype(np.int64) + length)
+                of_rows = np.concatenate([[0], ends])[begins]
+                columns = [some.column("doc_id").take(pa.array(row)), some.column("pos").take(pa.array(row)), pa.array(nth), pa.array(ends - length - of_rows[row]), words]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "nth", "start", "text"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in blk.schema}
+    spans = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, pos {kinds['pos']}, nth long, start long, text string")
+    return spans.select("doc_id", "pos", F.concat(F.lit("s_"), F.col("nth")).alias("handle"), "start", "text")
 
 
 def markdown(blk: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Truth tables, refusals and edge cases that whole tables do not reach."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,18 @@ def test_null_and_empty_texts(spark):
     assert sorted(values(blocks.plain_text(b))) == [(2, ""), (3, "a\n\n\n\nb")]
 
 
+def test_span_handles_of_long_and_odd_blocks(spark):
+    """Offsets are code points of the text; separators that no token has count too, and no step grows by the square of a block."""
+    odd = ["", "  ", "a", " a, b_1 ", "x\u2028y\u0085z", "\U0001f600 \U00020000\u00e9 \u0661", "...", "\r\vq"]
+    got = values(blocks.span_handles(blk(spark, *odd)))
+    assert sorted(got) == sorted((1, p, f"s_{n}", m.start(), m.group()) for p, t in enumerate(odd) for n, m in enumerate(re.finditer(r"\w+", t)))
+    many = 150_000
+    spans = blocks.span_handles(blk(spark, "a b", "ab, " * many, "c"))
+    assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
+    assert values(spans.where("pos = 1").agg(F.count("*"), F.sum("start"), F.max("start"), F.count_distinct("handle"))) == [(many, 2 * many * (many - 1), 4 * (many - 1), many)]
+    assert values(spans.where("pos = 2"), "handle", "start", "text") == [("s_0", 0, "c")]
+
+
 def test_reads_refuse_bad_ranges(spark):
     with pytest.raises(ValueError):
         blocks.window(blk(spark, "a"), 3, 1)
