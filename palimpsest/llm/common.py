@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,11 @@ _OWN: dict[str, str] = {}
 #: Links from which an id is a hub: its links are joined with a broadcast label.
 HUB_LINKS = 100_000
 
+#: Without its native library Hadoop runs a chmod process for each file and folder that it makes on a local path, and
+#: a process that a JVM launches counts as large as the JVM until it has begun. So tables get no mark of success and no
+#: checksum files (Parquet has its own), and :func:`stored` makes their folders.
+QUIET = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 #: The separators of words: space, and the code points 9 to 13.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
@@ -39,7 +46,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = share_package(df.sparkSession)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    local = urlsplit(path)
+    if local.scheme in ("", "file"):
+        os.makedirs(f"{local.path}/_temporary/0/_temporary")
+    df.write.mode("append").options(**QUIET).parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     back = spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """Operators over the whole collection: passages, leaks, shards, packing, near copies, urls, and the pipeline."""
 
 import hashlib
+import os
 import zlib
 
 import brute
@@ -489,3 +490,14 @@ def test_one_row_of_a_group_stays_whatever_its_ids(spark, data):
     item = spark.read.parquet(f"{data}/benchmark.parquet").first()["text"]
     some = spark.createDataFrame([(None, f"a lead and {item} and a tail", "en", "s", 1), (1, other, "en", "s", 1), (1, item, "en", "s", 1)], docs.schema)
     assert [(r["doc_id"], r["text"]) for r in stages["benchmark_decontamination"](spark, some, data).collect()] == [(1, other)]
+
+
+def test_stored_tables_make_no_files_or_folders_beside_their_rows(spark):
+    """Each would be a chmod process of the JVM, which counts as large as the JVM while it begins."""
+    made = common.stored(spark.range(0, 1000, 1, 3), "made")
+    assert [f for f in os.listdir(made.stored_path.removeprefix("file:")) if not f.startswith("part-") or f.endswith(".crc")] == []
+    assert sorted(r["id"] for r in made.collect()) == list(range(1000))
+    assert common.stored(spark.range(0), "none").count() == 0
+    path = made.stored_path
+    common.dropped(made)
+    assert not os.path.exists(path.removeprefix("file:"))
