@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +65,7 @@ def terms_of(text: str | None) -> tuple[Counter, int]:
 class _Hits(dict):
     """The known terms of a word, found once a word; emptied when it has ``most`` words."""
 
-    def __init__(self, weights: dict[str, float], most: int = 1_000_000):
+    def __init__(self, weights: dict[str, float], most: int = 300_000):
         self.weights, self.most = weights, most
         self.lengths = sorted({len(t) - 1 for t in weights if t.endswith("~")})
 
@@ -159,11 +160,16 @@ def linear_classifier(x: np.ndarray, target: np.ndarray, penalty: float = 0.02,
 
 def train(terms: list[str], docs: list[tuple[dict[int, int], int]], gold: np.ndarray) -> Model:
     """``docs``: for each document its counts by index of term, and its number of words."""
-    n = len(docs)
-    counts, sizes = np.zeros((n, len(terms)), dtype=np.float32), np.array([d[1] for d in docs], dtype=np.float32)
+    counts, sizes = np.zeros((len(docs), len(terms)), dtype=np.float32), np.array([d[1] for d in docs], dtype=np.float32)
     for i, (found, _) in enumerate(docs):
         for j, c in found.items():
             counts[i, j] = c
+    return trained(terms, counts, sizes, gold)
+
+
+def trained(terms: list[str], counts: np.ndarray, sizes: np.ndarray, gold: np.ndarray) -> Model:
+    """``counts``: documents x terms; ``sizes``: their numbers of words. Next to the counts there is one matrix of their size."""
+    n = len(counts)
     y = gold.astype(np.float64)
     if not n or not len(terms) or y.min() == y.max():
         mean = float(y.mean()) if n else 0.0
@@ -181,8 +187,11 @@ def train(terms: list[str], docs: list[tuple[dict[int, int], int]], gold: np.nda
     chosen = chosen[gain[chosen] > 0]
     votes = np.column_stack([counts[:, k // len(VOTE_COUNTS)] >= VOTE_COUNTS[k % len(VOTE_COUNTS)] for k in chosen]).astype(np.float64) if len(chosen) else np.zeros((n, 0))
     post, _, _ = label_model(votes, gold)
-    x = density(counts.astype(np.float64), sizes[:, None].astype(np.float64))
-    del counts, votes
+    del votes
+    x = counts.astype(np.float64)
+    x *= 1000
+    x /= sizes[:, None].astype(np.float64) + 50
+    np.log1p(x, out=x)  # density(), in place
     w, b = linear_classifier(x, post)
     return Model({t: float(v) for t, v in zip(terms, w) if v != 0.0}, b)
 
@@ -248,8 +257,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
                 ["doc_id", "toxic", "at", "count", "words"],
             )
 
-    rows = sorted(sample.mapInArrow(vectors, "doc_id long, toxic int, at array<int>, count array<int>, words long").collect(), key=lambda r: r["doc_id"])
-    return train(terms, [(dict(zip(r["at"], r["count"])), r["words"]) for r in rows], np.array([r["toxic"] for r in rows]))
+    rows = sample.mapInArrow(vectors, "doc_id long, toxic int, at array<int>, count array<int>, words long").toArrow().sort_by("doc_id").combine_chunks()
+    counts = np.zeros((rows.num_rows, len(terms)), dtype=np.float32)
+    row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows["at"]).to_numpy())
+    counts[row, pc.list_flatten(rows["at"]).to_numpy()] = pc.list_flatten(rows["count"]).to_numpy()
+    return trained(terms, counts, rows["words"].to_numpy().astype(np.float32), rows["toxic"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import brute
@@ -334,3 +335,18 @@ def test_op9_edges(spark, edge, with_null_id, none, model):
     assert toxicity.fit(edge, empty).scorer()("x") < 1e-6
     labels = spark.createDataFrame([(None, 1, 1), (1, None, None), (5, 1, 0), (5, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.fit(with_null_id, labels).scorer()("x") < 0.3 and toxicity.fit(none, labels).scorer()("x") < 0.3
+
+
+def test_the_fit_holds_one_matrix_beside_the_counts():
+    rng = np.random.default_rng(5)
+    gold = (rng.random(3000) < 0.4).astype(int)
+    counts = (rng.random((3000, 600)) < 0.02 + 0.1 * gold[:, None] * (np.arange(600) < 50)).astype(np.float32)
+    docs = [({int(j): int(row[j]) for j in np.flatnonzero(row)}, 80) for row in counts]
+    terms = [f"=t{k}" for k in range(600)]
+    tracemalloc.start()
+    model = toxicity.train(terms, docs, gold)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.weights) == 600 and peak < 3 * counts.astype(np.float64).nbytes
+    hits = toxicity._Hits(model.weights)
+    assert not any(hits[f"w{k}"] for k in range(320_000)) and len(hits) <= 300_000
